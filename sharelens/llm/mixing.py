@@ -85,7 +85,7 @@ def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPO
     plan = stage(plan, "plan")
 
     rows = rows.join(plan, _LEAF)
-    full = rows.where("whole > 0").select("doc_id", *_LEAF, F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).cast("int").alias("epoch"), "tokens", F.col("tokens").alias("taken"))
+    full = rows.where("whole > 0").select("doc_id", *_LEAF, F.explode(F.sequence(F.lit(0), (F.col("whole") - 1).cast("int"))).alias("epoch"), "tokens", F.col("tokens").alias("taken"))
 
     # The epoch that the budget ends in: sums by hash bucket find the bucket; only its rows are put in order.
     turn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
