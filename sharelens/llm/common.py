@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,16 +103,22 @@ def components(edges: DataFrame) -> DataFrame:
     return root.join(least, "r").select("node", "comp")
 
 
-def linked_classes(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2) -> DataFrame:
+def pairs_of_lists(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes of each key of `marked` (key, node, comp) that lie in different components."""
+    x, y = (marked.select("key", F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
+    return x.join(y, "key").where("a < b AND ca <> cb").select("a", "b")
+
+
+def linked_classes(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2, rest: Callable[[DataFrame], DataFrame] = pairs_of_lists) -> DataFrame:
     """Components (node, comp) of the nodes that `verify` links among those that meet under a key of `posts` (key, node).
 
     Not all pairs under a key are formed. In each of `stars` rounds every node
     is held against one pivot of its key (the smallest node, then the largest)
     unless the two are known to be in one component. What is left then is each
     pair of nodes of a key that lie in different components and of which
-    neither was a pivot; those pairs are formed once each and verified too, so
-    that no link between components is lost. A group of near copies closes in
-    the first rounds and leaves no pairs.
+    neither was a pivot; `rest` forms those pairs, or the ones of them that can
+    pass `verify`, so that no link between components is lost. A group of near
+    copies closes in the first rounds and leaves no pairs.
     """
     posts = stage(posts.select("key", "node").distinct(), "posts")
     comps, links, held = None, [], None
@@ -126,8 +134,7 @@ def linked_classes(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], s
             pivots = marked.groupBy("key").agg(pivot.alias("p")).select("key", F.col("p.node").alias("pn"), F.col("p.comp").alias("pc"))
             pairs = marked.join(pivots, "key").where("comp <> pc").select(F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b"))
         else:
-            x, y = (marked.select("key", F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
-            pairs = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b")
+            pairs = rest(stage(marked.select("key", "node", "comp"), "open"))
         pairs = pairs.distinct()
         if held is not None:
             pairs = pairs.join(held, ["a", "b"], "left_anti")
@@ -143,3 +150,8 @@ def linked_classes(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     if comps is None:
         comps = stage(posts.select("node", F.col("node").alias("comp")).limit(0), "comps")
     return comps
+
+
+def ship(module_name: str) -> None:
+    """Sends the functions of a module to tasks by value, so that executors needn't have this package installed."""
+    register_pickle_by_value(sys.modules[module_name])

@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stage, table
+from .common import row_key, ship, stage, table
+
+ship(__name__)
 
 WINDOW = 10
 PART_WINDOWS = 200_000

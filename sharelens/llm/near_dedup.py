@@ -14,6 +14,12 @@ order and need no list, so a class with too many of them is skipped outright,
 and the longest lists, such as those of a passage in a third of all documents,
 are skipped by all that have enough shorter ones. Agreements of the pairs that
 meet are counted on the signatures; links are confirmed on the full sets.
+Lists of more than SHORT classes that stars leave open are merged in blocks:
+members are split by set size (a link needs sizes within 3:4) and hash into
+blocks of about BLOCK, and each pair of blocks is compared in one small task.
+There a second signature of LONG one-byte coordinates, made for these classes
+only, must agree in LONG_MATCHES (3.5 standard deviations below what 0.75
+gives), so that lists of merely similar texts don't ask for many full sets.
 """
 
 from __future__ import annotations
@@ -22,11 +28,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely_in, linked_classes, stage
+from .common import likely_in, linked_classes, pairs_of_lists, ship, stage
+
+ship(__name__)
 
 WORDS, THRESHOLD, COORDINATES, MATCHES, SEED = 5, 0.75, 48, 26, 20
 _rng = np.random.default_rng(SEED)
@@ -34,6 +43,8 @@ _A = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.u
 _B = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _CACHE_WORDS, _SLICE = 200_000, 4096
+SHORT, BLOCK, LONG, LONG_MATCHES = 64, 512, 512, 350
+_LA = _rng.integers(1, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _Words(dict):
@@ -90,6 +101,55 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([m.view(np.int64) for m in members], pa.list_(pa.int64()))], ["node", "c1", "c2", "members"])
 
 
+def _long_signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sigs = []
+        for members in batch["members"]:
+            members, least = members.values.to_numpy().view(np.uint64), np.full(LONG, 2**64 - 1, np.uint64)
+            for at in range(0, len(members), _SLICE // 8):
+                least = np.minimum(least, (members[at : at + _SLICE // 8, None] * _LA).min(axis=0))
+            sigs.append(((least * _MUL) >> np.uint64(56)).astype(np.uint8).tobytes())  # the top byte of a minimum is nearly always 0, so it is mixed again
+        yield pa.RecordBatch.from_arrays([batch["node"], batch["sig"], pa.array([len(m) for m in batch["members"]], pa.int64()), pa.array(sigs, pa.binary())], ["node", "sig", "n", "long_sig"])
+
+
+def _agreeing(group: pd.DataFrame) -> pd.DataFrame:
+    """Pairs across the two sides of a block pair (within the block, where it is paired with itself) with MATCHES agreements."""
+    left, right = group[group["side"] != 2], group[group["side"] != 1]
+    out = []
+    if len(left) and len(right):
+        x, y = np.stack(left["sig"].to_list()), np.stack(right["sig"].to_list())
+        p, q = (np.stack([np.frombuffer(s, np.uint8) for s in side["long_sig"]]) for side in (left, right))
+        for at in range(0, len(x), 64):
+            i, j = np.nonzero((x[at : at + 64, None, :] == y[None, :, :]).sum(axis=2) >= MATCHES)
+            near = np.concatenate([(p[at + i[k : k + 4096]] == q[j[k : k + 4096]]).sum(axis=1) >= LONG_MATCHES for k in range(0, len(i), 4096)] or [np.empty(0, bool)])
+            i, j = i[near], j[near]
+            a, b = left["node"].to_numpy()[at + i], right["node"].to_numpy()[j]
+            apart = left["comp"].to_numpy()[at + i] != right["comp"].to_numpy()[j]
+            out.append(pd.DataFrame({"a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]}))
+    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+
+
+def _merge_long_lists(marked: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) that meet in a list of `marked` (key, node, comp), lie in different components and agree in MATCHES coordinates or more."""
+    asked = sets.join(marked.select("node").distinct(), "node").select("node", "sig", "members")
+    signed = stage(asked.mapInArrow(_long_signed, "node long, sig array<int>, n long, long_sig binary"), "long")
+    rows = marked.join(signed.select("node", "sig", "long_sig", F.floor(F.log("n") / float(np.log(4 / 3)) + 1e-9).alias("band")), "node")
+    bands = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = rows.join(bands, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    above = bands.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = bands.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    rows = rows.join(above, ["key", "band"], "left").join(below, ["key", "band"], "left")
+    to = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    pair = lambda lo, x, hi, y, side: F.struct(lo.alias("lo"), x.alias("x"), hi.alias("hi"), y.alias("y"), side.cast("int").alias("side"))
+    band, block = F.col("band"), F.col("block")
+    own = F.transform(to(F.col("blocks")), lambda o: pair(band, F.least(block, o), band, F.greatest(block, o), F.when(block < o, 1).when(block > o, 2).otherwise(0)))
+    up = F.when(F.col("above").isNotNull(), F.transform(to(F.col("above")), lambda o: pair(band, block, band + 1, o, F.lit(1))))
+    down = F.when(F.col("below").isNotNull(), F.transform(to(F.col("below")), lambda o: pair(band - 1, o, band, block, F.lit(2))))
+    none = F.filter(own, lambda x: F.lit(False))
+    dealt = rows.select("key", "node", "comp", "sig", "long_sig", F.explode(F.concat(own, F.coalesce(up, none), F.coalesce(down, none))).alias("p")).select("key", "node", "comp", "sig", "long_sig", "p.*")
+    return dealt.groupBy("key", "lo", "x", "hi", "y").applyInPandas(_agreeing, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `docs`.
 
@@ -126,7 +186,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         both = near.join(sides[0], "a").join(sides[1], "b").withColumn("common", F.size(F.array_intersect("set_a", "set_b")))
         return both.where(100 * F.col("common") >= round(100 * THRESHOLD) * (F.size("set_a") + F.size("set_b") - F.col("common"))).select("a", "b")
 
-    comps = linked_classes(prefix, verify)
+    def rest(marked: DataFrame) -> DataFrame:
+        sizes = stage(marked.groupBy("key").agg(F.count("*").alias("length")), "lengths")
+        marked = marked.join(sizes, "key")
+        return pairs_of_lists(marked.where(F.col("length") <= SHORT)).unionByName(_merge_long_lists(marked.where(F.col("length") > SHORT).drop("length"), sets))
+
+    comps = linked_classes(prefix, verify, rest=rest)
     joined = classes.join(comps, "node", "left").where("copies > 1 OR comp IS NOT NULL").select("c1", "c2", F.coalesce("comp", "node").alias("comp"))
     out = rows.select("doc_id", "n_shingles", "c1", "c2").join(joined, ["c1", "c2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("comp", "doc_id"))
