@@ -109,29 +109,55 @@ def pairs_of_lists(marked: DataFrame) -> DataFrame:
     return x.join(y, "key").where("a < b AND ca <> cb").select("a", "b")
 
 
+def similar_pairs(marked: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs_of_lists whose sets reach a Jaccard similarity of `threshold`; `sets` has node and members.
+
+    A member that only one component holds is in no intersection between
+    components. What else a set has bounds the intersection, so pairs whose
+    bound is too small are passed over: in a group of copies that are edited each
+    in its own way these are most. The others are compared within the join of a
+    list with itself, so that only links leave it.
+    """
+    held = sets.join(marked.select("node", "comp").distinct(), "node").select("node", "comp", F.size("members").alias("n"), F.explode("members").alias("member"))
+    shared = held.groupBy("member").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("member")
+    rooms = held.join(shared, "member").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("m")).where(F.col("m") >= threshold * F.col("n"))
+    rows = stage(marked.join(rooms, "node").join(sets.select("node", "members"), "node").select("key", "node", "comp", "n", "m", "members"), "rooms")
+    x, y = (rows.select("key", *[F.col(c).alias(f"{c}{side}") for c in ("node", "comp", "n", "m", "members")]) for side in "ab")
+    common = F.size(F.array_intersect("membersa", "membersb"))
+    fits = F.least("ma", "mb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb"))
+    both = x.join(y, (x["key"] == y["key"]) & (F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb")) & fits & (common * (1 + threshold) >= threshold * (F.col("na") + F.col("nb"))))
+    return both.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
+
+
 def linked_classes(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2, rest: Callable[[DataFrame], DataFrame] = pairs_of_lists) -> DataFrame:
-    """Components (node, comp) of the nodes that `verify` links among those that meet under a key of `posts` (key, node).
+    """Components (node, comp) of the nodes that `verify` links among those that meet under a key of `posts` (key, node, and perhaps score).
 
     Not all pairs under a key are formed. In each of `stars` rounds every node
-    is held against one pivot of its key (the smallest node, then the largest)
-    unless the two are known to be in one component. What is left then is each
+    is held against one pivot of its key (the node with the highest score, then
+    one drawn by hash from the key's largest component) unless the two are known
+    to be in one component. What is left then is each
     pair of nodes of a key that lie in different components and of which
     neither was a pivot; `rest` forms those pairs, or the ones of them that can
     pass `verify`, so that no link between components is lost. A group of near
     copies closes in the first rounds and leaves no pairs.
     """
-    posts = stage(posts.select("key", "node").distinct(), "posts")
+    posts = posts if "score" in posts.columns else posts.withColumn("score", F.lit(0))
+    posts = stage(posts.select("key", "node", "score").distinct(), "posts")
     comps, links, held = None, [], None
     for turn in range(stars + 1):
         if comps is None:
             marked = posts.withColumn("comp", F.col("node"))
         else:
-            marked = posts.join(comps, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
+            marked = posts.join(comps, "node", "left").select("key", "node", "score", F.coalesce("comp", "node").alias("comp"))
             open_keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
             marked = marked.join(open_keys, "key")
         if turn < stars:
-            pivot = (F.min if turn % 2 == 0 else F.max)(F.struct("node", "comp"))
-            pivots = marked.groupBy("key").agg(pivot.alias("p")).select("key", F.col("p.node").alias("pn"), F.col("p.comp").alias("pc"))
+            if turn == 0:
+                pivots = marked.groupBy("key").agg(F.max(F.struct("score", "node", "comp")).alias("p"))
+            else:
+                parts = marked.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+                pivots = parts.groupBy("key").agg(F.max(F.struct("size", "node", "comp")).alias("p"))
+            pivots = pivots.select("key", F.col("p.node").alias("pn"), F.col("p.comp").alias("pc"))
             pairs = marked.join(pivots, "key").where("comp <> pc").select(F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b"))
         else:
             pairs = rest(stage(marked.select("key", "node", "comp"), "open"))
