@@ -124,9 +124,11 @@ def node_features(nodes: list[Node], i: int) -> list[tuple[str, float]]:
 
 
 def prior_mean(feature: str) -> float:
+    if feature == "tag:body":
+        return 8.0  # a page nearly always holds some
     kind, _, word = feature.partition(":")
     if kind in ("tag", "name"):
-        return -4.0 if word in AGAINST or word in RAW else 1.5 if word in FAVOURED else 0.0
+        return -4.0 if word in AGAINST or word in RAW else 2.5 if word in FAVOURED else 0.0
     return -2.0 if feature == "links" else 0.0
 
 
