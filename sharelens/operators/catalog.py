@@ -49,6 +49,17 @@ def replay_status(events: DataFrame, root: str = "/myfs") -> DataFrame:
     depth = F.size(F.filter(F.split("path", "/"), lambda x: x != ""))
     log = events.select("event_id", "t", "kind", "path").withColumn("depth", depth).withColumn("parent", split_path(F.col("path"))["parent"]).checkpoint()
     deepest = log.agg(F.max("depth")).first()[0] or 0
+    failed = log.select("event_id").limit(0)
+    while True:
+        out = _walk(events, log, deepest, failed, root)
+        found = out.where("status = 'ENOTEMPTY'").select("event_id").checkpoint()
+        if found.exceptAll(failed).isEmpty() and failed.exceptAll(found).isEmpty():
+            return out
+        failed = found
+
+
+def _walk(events: DataFrame, log: DataFrame, deepest: int, failed: DataFrame, root: str) -> DataFrame:
+    known = failed.withColumn("fails", F.lit(True))
     settled = None
     for d in range(1, deepest + 1):
         level = log.where(F.col("depth") == d)
@@ -62,19 +73,20 @@ def replay_status(events: DataFrame, root: str = "/myfs") -> DataFrame:
             rows = both.withColumn("alive", F.last("up", True).over(asof)).where("kind IS NOT NULL").withColumn("parent_alive", F.coalesce("alive", F.col("parent") == root)).withColumn("depth", F.lit(d))
             rows = rows.select("event_id", "t", "kind", "path", "depth", "parent", "parent_alive")
         order = Window.partitionBy("path").orderBy("t", "event_id")
-        tried = rows.withColumn("tries", F.when(~want, F.lit(False)).when(F.col("parent_alive"), F.lit(True)))
+        rows = rows.join(known, "event_id", "left")
+        tried = rows.withColumn("tries", F.when(F.col("fails"), None).when(~want, F.lit(False)).when(F.col("parent_alive"), F.lit(True)))
         was = F.coalesce(F.last("tries", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-        status = F.when(want & F.col("was"), F.when(F.col("kind") == "mkdir", "EEXIST").otherwise("OPENED")).when(want & ~F.col("parent_alive"), "ENOENT").when(~want & ~F.col("was"), "ENOENT").otherwise("OK")
+        status = F.when(want & F.col("was"), F.when(F.col("kind") == "mkdir", "EEXIST").otherwise("OPENED")).when(want & ~F.col("parent_alive"), "ENOENT").when(~want & ~F.col("was"), "ENOENT").when(F.col("fails"), "ENOTEMPTY").otherwise("OK")
         level = tried.withColumn("was", was).withColumn("status", status).select("event_id", "t", "kind", "path", "depth", "status")
         settled = level.checkpoint() if settled is None else settled.unionByName(level).checkpoint()
     if settled is None:
         return events.select("event_id", "t", "kind", "path", F.lit("OK").alias("status")).limit(0)
     # Entries that exist when a directory is removed.
     child = settled.where("status = 'OK'").select(split_path(F.col("path"))["parent"].alias("path"), "t", "event_id", F.when(F.col("kind").isin("mkdir", "create"), 1).otherwise(-1).alias("step"))
-    asked = settled.where("kind = 'rmdir' AND status = 'OK'").select("path", "t", "event_id", F.lit(0).alias("step"))
+    asked = settled.where("kind = 'rmdir' AND status IN ('OK', 'ENOTEMPTY')").select("path", "t", "event_id", F.lit(0).alias("step"))
     upto = Window.partitionBy("path").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     full = child.unionByName(asked).withColumn("entries", F.sum("step").over(upto)).where("step = 0 AND entries > 0").select("event_id", F.lit(True).alias("full"))
-    out = settled.join(full, "event_id", "left").withColumn("status", F.when(F.col("full"), "ENOTEMPTY").otherwise(F.col("status")))
+    out = settled.join(full, "event_id", "left").withColumn("status", F.when(F.col("full"), "ENOTEMPTY").when(F.col("status") == "ENOTEMPTY", "OK").otherwise(F.col("status")))
     return out.select("event_id", "t", "kind", "path", "status")
 
 
