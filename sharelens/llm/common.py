@@ -139,7 +139,9 @@ def linked_classes(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     pair of nodes of a key that lie in different components and of which
     neither was a pivot; `rest` forms those pairs, or the ones of them that can
     pass `verify`, so that no link between components is lost. A group of near
-    copies closes in the first rounds and leaves no pairs.
+    copies closes in the first rounds and leaves no pairs. A star round may have
+    no new pair because it drew a pivot again; only when no key is open does the
+    work end before `rest`.
     """
     posts = posts if "score" in posts.columns else posts.withColumn("score", F.lit(0))
     posts = stage(posts.select("key", "node", "score").distinct(), "posts")
@@ -166,7 +168,9 @@ def linked_classes(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], s
             pairs = pairs.join(held, ["a", "b"], "left_anti")
         pairs = stage(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            if turn == 0 or marked.isEmpty():  # in round 0 any key of two nodes has a pair
+                break
+            continue
         held = pairs if held is None else held.unionByName(pairs)
         links.append(stage(verify(pairs).select("a", "b"), "links"))
         found = links[0]

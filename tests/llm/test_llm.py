@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sharelens.llm import chat_format, decontamination, html_extraction, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, toxicity
-from sharelens.llm.common import components
+from sharelens.llm.common import components, linked_classes
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, node string"
@@ -41,6 +41,23 @@ def test_components(spark):
     assert found == {**{i: 0 for i in range(31)}, 50: 50, 70: 50, 100: 50}
 
 
+def linked(spark, nodes, links):
+    """The classes of one list of `nodes` in which just `links` are similar."""
+    true = spark.createDataFrame(links, "a long, b long")
+    return {r.node: r.comp for r in linked_classes(spark.createDataFrame([(7, n) for n in nodes], "key long, node long"), lambda pairs: pairs.join(true, ["a", "b"])).collect()}
+
+
+def test_links_beside_a_pivot_without_links(spark):
+    assert linked(spark, [1, 2, 3], [(1, 2)]) == {1: 1, 2: 1}
+
+
+def test_links_beside_a_pivot_drawn_twice(spark):
+    """A chain in which the second round draws the pivot of the first one again."""
+    drawn = {r.id: r.h for r in spark.range(1, 40).select("id", F.xxhash64("id", F.lit(1)).alias("h")).collect()}
+    last = next(i for i in range(3, 40) if drawn[i] < drawn[i - 1])
+    assert linked(spark, [last - 2, last - 1, last], [(last - 2, last - 1), (last - 1, last)]) == dict.fromkeys([last - 2, last - 1, last], last - 2)
+
+
 def test_near_duplicates(docs, none):
     rows = near_dedup.near_duplicates(docs).collect()
     assert len(rows) == docs.count()
