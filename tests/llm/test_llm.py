@@ -94,6 +94,20 @@ def test_line_dedup(spark, docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def shingles(line, size=5):
+    return {line[i : i + size] for i in range(max(1, len(line) - size + 1))}
+
+
+def test_line_dedup_sees_every_character(spark):
+    lines = ["https://www.example.org/news/alpha", "https://www.example.org/shop/omega-77", "See https://example.com/foo for", "See https://example.com/bar for", "今天的天气非常好我们一起去公园散步吧", "今天的天气非常好我们一起回家看电视剧", "d41d8cd98f00b204e9800998ecf8427e", "d41d8cd98f00ffffffffffffffffffff"]
+    for a, b in zip(lines[::2], lines[1::2]):
+        assert len(shingles(a) & shingles(b)) < 0.75 * len(shingles(a) | shingles(b))
+    rows = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in rows} == dict(enumerate(lines))
+    found = spark.createDataFrame([(x,) for x in [*lines, "abcd", "😀a😀b😀c😀"]], "line string").select("line", F.size(line_dedup.shingle_hashes(F.col("line"))).alias("n")).collect()
+    assert all(r.n == len(shingles(r.line)) for r in found)
+
+
 def test_decontamination(spark, docs, none):
     items = [(1, text(1)), (2, "one two"), (3, None), (4, ""), (5, "beta gamma"), (5, text(6))]
     bench = spark.createDataFrame(items, "item_id long, text string")
