@@ -108,6 +108,23 @@ def test_line_dedup_sees_every_character(spark):
     assert all(r.n == len(shingles(r.line)) for r in found)
 
 
+def test_band_keys_by_set_size(spark):
+    """Sets of at most EVERY members with J >= 0.75 always share a key, larger ones nearly always: brute force over random sets."""
+    import random
+
+    draw, pairs = random.Random(5), []
+    for common, left, right in [(3, 0, 1), (4, 0, 1), (6, 1, 1), (6, 0, 2), (9, 1, 2), (12, 2, 2), (12, 0, 4)] + [(15, 2, 3), (30, 5, 5), (60, 10, 10)]:
+        for _ in range(150):
+            h = [draw.randrange(-(2**63), 2**63) for _ in range(common + left + right)]
+            pairs.append((common + max(left, right), sorted(h[: common + left]), sorted(h[:common] + h[common + left :])))
+    rows = line_dedup.with_band_keys(spark.createDataFrame([(2 * i + k, s) for i, p in enumerate(pairs) for k, s in enumerate(p[1:])], "id long, hashes array<long>"))
+    keys = {r.id: set(r["keys"]) for r in rows.collect()}
+    missed = {}
+    for i, (size, _, _) in enumerate(pairs):
+        missed[size] = missed.get(size, 0) + (not keys[2 * i] & keys[2 * i + 1])
+    assert all(n <= (0 if size <= 16 else 8) for size, n in missed.items()), missed
+
+
 def test_decontamination(spark, docs, none):
     items = [(1, text(1)), (2, "one two"), (3, None), (4, ""), (5, "beta gamma"), (5, text(6))]
     bench = spark.createDataFrame(items, "item_id long, text string")
