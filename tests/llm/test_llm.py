@@ -177,6 +177,17 @@ def test_toxicity(spark, none):
     assert toxicity.toxicity(none, marks).count() == 0
 
 
+def test_toxicity_keeps_all_terms_and_rows(spark):
+    rows = [(i, text(i) + (" vile nasty" if i % 4 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    shared, _, _ = toxicity.train(docs, labels(spark, [(i, 1, int(i % 4 == 0)) for i in range(300)]))
+    kept = [i for i in range(300) if i in set(shared.value.ids)]
+    assert kept == [r.doc_id for r in docs.where(~toxicity.held_out()).where("doc_id < 300").orderBy("doc_id").collect()]
+    assert set(shared.value.idf) == {w.encode() for i in kept for w in rows[i][1].lower().split()}
+    alone, long = (c[0] for _, c in shared.value.nearest_each([(toxicity.Counter(x.encode().split()), None) for x in ("vile", "vile " + " ".join(f"other{i}" for i in range(10000)))]))
+    assert long < 0.1 * alone  # words that no example has count in the norm
+
+
 def test_block_max_is_exact():
     terms = [bytes([97 + i]) for i in range(8)]
     idf = {t: 1 + i / 3 for i, t in enumerate(terms)}
