@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import split_path
+from ..jobs.shared import shared_dir
 
 PAGE_LIMIT = 1 << 20
 
@@ -15,16 +16,14 @@ def catalog_snapshot(events: DataFrame, as_of: int | None = None) -> DataFrame:
 
     Events are (event_id, t, kind, path, new_path, max_range), kind mkdir,
     create, close, unlink, rmdir or rename (of a file). A rename removes the
-    source and makes the destination with the size the source had. Ties in
-    time go by event_id.
+    source and makes the destination with the size that the source's current
+    life had, its earlier names included. Ties in time go by event_id.
     """
     log = events if as_of is None else events.where(F.col("t") <= as_of)
-    moves = log.where("kind = 'rename'")
+    moves = log.where("kind = 'rename' AND path <> new_path")
     steps = log.where("kind <> 'rename'").select("path", "t", "event_id", "kind", "max_range")
     gone = moves.select("path", "t", "event_id", F.lit("unlink").alias("kind"), F.lit(None).cast("long").alias("max_range"))
-    life = log.select(F.col("path").alias("p"), F.col("t").alias("pt"), F.col("event_id").alias("pid"), F.col("max_range").alias("r"))
-    before = moves.join(life, (F.col("path") == F.col("p")) & (F.struct("pt", "pid") < F.struct("t", "event_id")), "left")
-    made = before.groupBy("event_id", "new_path", "t").agg(F.max("r").alias("max_range")).select(F.col("new_path").alias("path"), "t", "event_id", F.lit("create").alias("kind"), "max_range")
+    made = moves.join(_moved_sizes(steps, moves), "event_id", "left").select(F.col("new_path").alias("path"), "t", "event_id", F.lit("create").alias("kind"), F.col("own").alias("max_range"))
     steps = steps.unionByName(gone).unionByName(made)
     order = Window.partitionBy("path").orderBy("t", "event_id")
     born = F.when(F.col("kind").isin("mkdir", "create", "unlink", "rmdir"), F.struct("t", "event_id", "kind"))
@@ -35,6 +34,32 @@ def catalog_snapshot(events: DataFrame, as_of: int | None = None) -> DataFrame:
     return out.select("path", F.when(F.col("k") == "mkdir", 4).otherwise(8).alias("type"), "size", parts["parent"].alias("parent"), parts["entry"].alias("entry"))
 
 
+def _moved_sizes(steps: DataFrame, moves: DataFrame) -> DataFrame:
+    """(event_id, own): the size a file has when the rename `event_id` takes it, from closes under all its names.
+
+    The current life of the source begins at its last event that makes or ends a
+    file. If that is a rename too, the size it brought counts as well; `up` points to it, and
+    pointers are doubled until none is left.
+    """
+    if moves.isEmpty():
+        return moves.select("event_id", F.col("max_range").cast("long").alias("own"))
+    shared_dir(moves.sparkSession)
+    none = F.lit(None).cast("long")
+    out, into = (moves.select(F.col(path).alias("path"), "t", "event_id", F.lit(kind).alias("kind"), none.alias("max_range")) for path, kind in (("path", "out"), ("new_path", "in")))
+    turns = F.col("kind").isin("mkdir", "create", "unlink", "rmdir", "in", "out")
+    order = Window.partitionBy("path").orderBy("t", "event_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = steps.unionByName(out).unionByName(into).withColumn("life", F.count(F.when(turns, 1)).over(upto) - (F.col("kind") == "out").cast("int"))
+    lives = Window.partitionBy("path", "life")
+    begun = F.when(F.col("kind") == "in", F.col("event_id"))
+    rows = rows.withColumns({"own": F.max("max_range").over(lives), "up": F.max(begun).over(lives)})
+    found = rows.where("kind = 'out'").select("event_id", "own", "up").checkpoint()
+    while not found.where("up IS NOT NULL").isEmpty():
+        above = found.select(F.col("event_id").alias("up"), F.col("own").alias("brought"), F.col("up").alias("next"))
+        found = found.join(above, "up", "left").select("event_id", F.greatest("own", "brought").alias("own"), F.col("next").alias("up")).checkpoint()
+    return found.select("event_id", "own")
+
+
 def replay_status(events: DataFrame, root: str = "/myfs") -> DataFrame:
     """Adds `status` to mkdir, create, unlink and rmdir events (event_id, t, kind, path) replayed in order.
 

@@ -90,6 +90,18 @@ def test_empty_frames(spark):
     assert catalog.catalog_snapshot(spark.createDataFrame([], "event_id long, t long, kind string, path string, new_path string, max_range long")).count() == 0
 
 
+def test_sizes_follow_renames(spark):
+    def sizes(*log):
+        rows = [(i, i, *e, *[None] * (4 - len(e))) for i, e in enumerate(log)]
+        events = spark.createDataFrame([(i, t, k, p, to, r) for i, t, k, p, to, r in rows], "event_id long, t long, kind string, path string, new_path string, max_range long")
+        return {r.path: r.size for r in catalog.catalog_snapshot(events).collect()}
+
+    assert sizes(("create", "/a"), ("close", "/a", None, 5), ("rename", "/a", "/b"), ("rename", "/b", "/c")) == {"/c": 5}
+    assert sizes(("create", "/a"), ("close", "/a", None, 100), ("unlink", "/a"), ("create", "/a"), ("rename", "/a", "/b")) == {"/b": 0}
+    chain = [("rename", f"/{i}", f"/{i + 1}") for i in range(6)]
+    assert sizes(("create", "/0"), ("close", "/0", None, 5), *chain[:3], ("close", "/3", None, 9), *chain[3:], ("create", "/0"), ("rename", "/0", "/x")) == {"/6": 9, "/x": 0}
+
+
 def test_replay(spark, tmp_path):
     spark.sparkContext.setCheckpointDir(str(tmp_path))
     log = [(1, "mkdir", "/myfs/a"), (2, "mkdir", "/myfs/a"), (3, "create", "/myfs/a/f"), (4, "rmdir", "/myfs/a"), (5, "unlink", "/myfs/a/f"), (6, "unlink", "/myfs/a/f"), (7, "rmdir", "/myfs/a"), (8, "create", "/myfs/a/g"), (9, "create", "/myfs/b/h")]
