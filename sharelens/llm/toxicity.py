@@ -11,7 +11,8 @@ The index holds the postings of each term. Those of rare terms are added up one
 text at a time, those of common ones as a product of matrices for BATCH texts at
 once; what single precision says may reach the K-th best cosine is scored again
 in full, so the neighbours are the exact ones. (Block-max bounds skip little
-where all terms count: they were slower than no bounds at all.)
+where all terms count: 3.3 to 5.9 ms a text of check_s, by the cut between rare
+and common, 4.3 ms without bounds.)
 Their similarity-weighted vote, drawn toward the overall share, is
 calibrated by a logistic curve that is fitted on the labelled rows, each scored
 without itself.
