@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,58 +64,78 @@ def _moved_sizes(steps: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def replay_status(events: DataFrame, root: str = "/myfs") -> DataFrame:
-    """Adds `status` to mkdir, create, unlink and rmdir events (event_id, t, kind, path) replayed in order.
-
-    A path's own state before an event comes from its last event that took
-    effect, its parent's from the parent's events of the depth above, which are
-    settled first; so the log is walked depth by depth. As an existing path
-    can't be made and a missing one can't be removed, within one path an event
-    takes effect when it changes the wanted state. Removing a directory fails
-    with ENOTEMPTY only against entries that exist at that time, which is looked
-    up from the depth below on a first walk that takes removals as allowed.
+    """Adds `status` to mkdir, create, unlink and rmdir events (event_id, t, kind, path) replayed in order of (t, event_id).
+
+    A path that exists can't be made again (EEXIST, for create OPENED), nor one
+    below a directory that doesn't exist (ENOENT); unlink removes files and rmdir directories
+    only (ENOENT), the latter once they are empty (ENOTEMPTY). `root` and paths
+    directly below "/" need no directory. An event without path or kind has status null.
+
+    A directory that the log names once, to make it, exists from then on; what
+    lies below its entries is independent of one another. So events are
+    split at such directories, whose chains are settled depth by depth, and each part
+    is replayed as a stream of its own, whose state is the paths that exist in it. Only a directory
+    that is also removed keeps all below it in one part.
     """
-    depth = F.size(F.filter(F.split("path", "/"), lambda x: x != ""))
-    log = events.select("event_id", "t", "kind", "path").withColumn("depth", depth).withColumn("parent", split_path(F.col("path"))["parent"]).checkpoint()
+    shared_dir(events.sparkSession)
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    log = events.select("event_id", "t", "kind", "path").withColumn("parts", parts).withColumn("depth", F.size("parts"))
+    above = F.size(F.filter(F.split(F.lit(root), "/"), lambda x: x != ""))
+    under = F.concat_ws("/", F.lit(""), F.slice("parts", F.lit(1), above)) == root
+    # `base` is the number of leading parts that are settled, `since` when they exist: (0, ...) always, (1, t, event_id) from then on, (2, ...) never.
+    since = lambda level, t, e: F.struct(F.lit(level).alias("level"), t.cast("long").alias("t"), e.cast("long").alias("e"))
+    zero = F.lit(0)
+    start = F.when(under & (F.col("depth") > above), above).otherwise(F.lit(0))
+    log = log.withColumns({"base": start, "since": since(0, zero, zero)}).checkpoint()
+    once = log.groupBy("path").agg(F.count("*").alias("n"), F.max("kind").alias("kind")).where("n = 1 AND kind = 'mkdir'").select("path")
     deepest = log.agg(F.max("depth")).first()[0] or 0
-    failed = log.select("event_id").limit(0)
-    while True:
-        out = _walk(events, log, deepest, failed, root)
-        found = out.where("status = 'ENOTEMPTY'").select("event_id").checkpoint()
-        if found.exceptAll(failed).isEmpty() and failed.exceptAll(found).isEmpty():
-            return out
-        failed = found
-
-
-def _walk(events: DataFrame, log: DataFrame, deepest: int, failed: DataFrame, root: str) -> DataFrame:
-    known = failed.withColumn("fails", F.lit(True))
-    settled = None
-    for d in range(1, deepest + 1):
-        level = log.where(F.col("depth") == d)
-        want = F.col("kind").isin("mkdir", "create")
-        if settled is None:
-            rows = level.withColumn("parent_alive", (F.col("parent") == "") | (F.col("parent") == root) | (F.col("path") == root))
-        else:
-            above = settled.where(F.col("depth") == d - 1).where("status = 'OK'").select(F.col("path").alias("parent"), "t", "event_id", F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("kind"), F.when(F.col("kind") == "mkdir", True).when(F.col("kind") == "rmdir", False).alias("up"))
-            both = level.select("parent", "t", "event_id", "path", "kind", F.lit(None).cast("boolean").alias("up")).unionByName(above)
-            asof = Window.partitionBy("parent").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-            rows = both.withColumn("alive", F.last("up", True).over(asof)).where("kind IS NOT NULL").withColumn("parent_alive", F.coalesce("alive", F.col("parent") == root)).withColumn("depth", F.lit(d))
-            rows = rows.select("event_id", "t", "kind", "path", "depth", "parent", "parent_alive")
-        order = Window.partitionBy("path").orderBy("t", "event_id")
-        rows = rows.join(known, "event_id", "left")
-        tried = rows.withColumn("tries", F.when(F.col("fails"), None).when(~want, F.lit(False)).when(F.col("parent_alive"), F.lit(True)))
-        was = F.coalesce(F.last("tries", True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
-        status = F.when(want & F.col("was"), F.when(F.col("kind") == "mkdir", "EEXIST").otherwise("OPENED")).when(want & ~F.col("parent_alive"), "ENOENT").when(~want & ~F.col("was"), "ENOENT").when(F.col("fails"), "ENOTEMPTY").otherwise("OK")
-        level = tried.withColumn("was", was).withColumn("status", status).select("event_id", "t", "kind", "path", "depth", "status")
-        settled = level.checkpoint() if settled is None else settled.unionByName(level).checkpoint()
-    if settled is None:
-        return events.select("event_id", "t", "kind", "path", F.lit("OK").alias("status")).limit(0)
-    # Entries that exist when a directory is removed.
-    child = settled.where("status = 'OK'").select(split_path(F.col("path"))["parent"].alias("path"), "t", "event_id", F.when(F.col("kind").isin("mkdir", "create"), 1).otherwise(-1).alias("step"))
-    asked = settled.where("kind = 'rmdir' AND status IN ('OK', 'ENOTEMPTY')").select("path", "t", "event_id", F.lit(0).alias("step"))
-    upto = Window.partitionBy("path").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    full = child.unionByName(asked).withColumn("entries", F.sum("step").over(upto)).where("step = 0 AND entries > 0").select("event_id", F.lit(True).alias("full"))
-    out = settled.join(full, "event_id", "left").withColumn("status", F.when(F.col("full"), "ENOTEMPTY").when(F.col("status") == "ENOTEMPTY", "OK").otherwise(F.col("status")))
-    return out.select("event_id", "t", "kind", "path", "status")
+    for d in range(1, deepest):
+        made = log.where((F.col("depth") == d) & (F.col("base") == d - 1)).join(once, "path")
+        own = since(1, F.col("t"), F.col("event_id"))
+        made = made.select(F.col("path").alias("dir"), F.when(F.col("since") < own, own).otherwise(since(2, zero, zero)).alias("made"))
+        if made.isEmpty():
+            continue
+        deeper = (F.col("depth") > d) & (F.col("base") == d - 1)
+        at = F.when(deeper, F.concat_ws("/", F.lit(""), F.slice("parts", 1, d)))
+        log = log.withColumn("dir", at).join(made, "dir", "left")
+        log = log.withColumns({"base": F.when(F.col("made").isNotNull(), d).otherwise(F.col("base")), "since": F.coalesce("made", "since")}).drop("dir", "made").checkpoint()
+    key = F.concat_ws("/", F.lit(""), F.slice("parts", F.lit(1), F.col("base") + 1))
+    rows = log.select("event_id", "t", "kind", "path", F.coalesce(key, F.lit("")).alias("key"), F.when(F.col("base") > 0, F.concat_ws("/", F.lit(""), F.slice("parts", F.lit(1), F.col("base")))).otherwise("").alias("base"), "since")
+    rows = rows.select("event_id", "t", "kind", "path", "key", "base", (since(1, F.col("t"), F.col("event_id")) > F.col("since")).alias("alive"))
+    kinds = {c: events.schema[c].dataType.simpleString() for c in ("event_id", "t", "kind", "path")}
+    return rows.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInPandas(_replayed, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", status string")
+
+
+def _replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Replays parts one after the other; `alive` says whether the part's base exists at an event."""
+    part, types, entries = None, {}, {}
+    for batch in batches:
+        found = []
+        for kind, path, key, base, alive in zip(batch["kind"], batch["path"], batch["key"], batch["base"], batch["alive"]):
+            if key != part:
+                part, types, entries = key, {}, {}
+            if kind not in ("mkdir", "create", "unlink", "rmdir") or not isinstance(path, str):
+                found.append(None)
+                continue
+            parent, kept = path.rpartition("/")[0], types.get(path)
+            if kind in ("mkdir", "create"):
+                if kept:
+                    status = "EEXIST" if kind == "mkdir" else "OPENED"
+                elif not (alive if parent == base else types.get(parent) == "mkdir"):
+                    status = "ENOENT"
+                else:
+                    status, types[path] = "OK", kind
+                    entries[parent] = entries.get(parent, 0) + 1
+            elif kept != ("mkdir" if kind == "rmdir" else "create"):
+                status = "ENOENT"
+            elif entries.get(path):
+                status = "ENOTEMPTY"
+            else:
+                status = "OK"
+                del types[path]
+                entries[parent] -= 1
+            found.append(status)
+        yield batch[["event_id", "t", "kind", "path"]].assign(status=found)
 
 
 def list_directory(catalog: DataFrame, parent: str, offset: int = 0, limit: int = PAGE_LIMIT, dots: bool = False) -> DataFrame:

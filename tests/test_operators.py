@@ -127,3 +127,40 @@ def test_partitions_do_not_matter(spark):
     df = spark.createDataFrame(rows, "hour int, key int, weight int, n int").groupBy("hour", "key").agg(F.max("weight").alias("weight"), F.sum("n").alias("n"))
     one, eight = (values(fairshare.share_report(df.repartition(k), ["hour"]), "hour", "key", "observed", "promised") for k in (1, 8))
     assert one == eight
+
+
+def replayed(log, root="/myfs"):
+    """The rules of a replay, event after event."""
+    types, found = {root: "mkdir"}, {}
+    for i, kind, path in log:
+        parent = path.rpartition("/")[0]
+        if kind in ("mkdir", "create"):
+            if path in types and path != root:
+                found[i] = "EEXIST" if kind == "mkdir" else "OPENED"
+            elif parent and types.get(parent) != "mkdir":
+                found[i] = "ENOENT"
+            else:
+                types[path], found[i] = kind, "OK"
+        elif types.get(path) != ("mkdir" if kind == "rmdir" else "create"):
+            found[i] = "ENOENT"
+        elif any(p.startswith(path + "/") for p in types):
+            found[i] = "ENOTEMPTY"
+        else:
+            found[i] = "OK"
+            del types[path]
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_replay_of_random_logs(spark, tmp_path, seed):
+    """Files and directories of the same names, kinds that don't fit, some directories that are made once."""
+    import random
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    draw, log = random.Random(seed), []
+    for i in range(600):
+        path = "/myfs" + "".join(f"/{draw.choice('abc')}" for _ in range(draw.randint(1, 4)))
+        kind = draw.choice(["mkdir", "mkdir", "create", "unlink", "rmdir"])
+        log.append((i, "mkdir", f"/myfs/once{i}") if i % 40 == 0 else (i, kind, path.replace("/myfs", f"/myfs/once{draw.randrange(15) * 40}") if i % 3 == 0 else path))
+    df = spark.createDataFrame([(i, i // 2, k, p) for i, k, p in log], "event_id long, t long, kind string, path string")
+    assert {r.event_id: r.status for r in catalog.replay_status(df).collect()} == replayed(log)
