@@ -172,18 +172,19 @@ def _(spark, d):
 
 # Joins
 
-KNOWN = "(SELECT * FROM jobs WHERE jobid % 10 <> 3)"
+#: Requests of whose orders a tenth names a job that nobody registered.
+ASKED = "SELECT CASE WHEN okey % 10 = 3 THEN -jobid ELSE jobid END AS jobid, op, nlen FROM {trace}"
 
 
-@query("j1_enrich_requests", f"SELECT t.op, j.uid AS job_uid, j.nnode, count(*) AS n, CAST(sum(nlen) AS BIGINT) AS bytes FROM trace t JOIN {KNOWN} j USING (jobid) GROUP BY ALL")
+@query("j1_enrich_requests", f"SELECT t.op, j.uid AS job_uid, j.nnode, count(*) AS n, CAST(sum(nlen) AS BIGINT) AS bytes FROM ({ASKED.format(trace='trace')}) t JOIN jobs j USING (jobid) GROUP BY ALL")
 def _(spark, d):
-    ok, _ = jo.enrich_requests(view(spark, d, "trace"), view(spark, d, "jobs").where("jobid % 10 <> 3"))
+    ok, _ = jo.enrich_requests(spark.sql(ASKED, trace=view(spark, d, "trace")), view(spark, d, "jobs"))
     return ok.groupBy("op", "job_uid", "nnode").agg(F.count("*").alias("n"), F.sum("nlen").alias("bytes"))
 
 
-@query("j1_rejects", f"SELECT jobid, count(*) AS n FROM trace WHERE jobid NOT IN (SELECT jobid FROM {KNOWN}) GROUP BY jobid")
+@query("j1_rejects", f"SELECT jobid, count(*) AS n FROM ({ASKED.format(trace='trace')}) WHERE jobid NOT IN (SELECT jobid FROM jobs) GROUP BY jobid")
 def _(spark, d):
-    _, rejects = jo.enrich_requests(view(spark, d, "trace"), view(spark, d, "jobs").where("jobid % 10 <> 3"))
+    _, rejects = jo.enrich_requests(spark.sql(ASKED, trace=view(spark, d, "trace")), view(spark, d, "jobs"))
     return rejects.groupBy("jobid").agg(F.count("*").alias("n"))
 
 
@@ -204,13 +205,14 @@ def _(spark, d):
     return jo.align_slices(runs, ["run"])
 
 
-@query("j4_apply_scale", "SELECT jobid, CASE WHEN jobid % 2 = 0 THEN jobid / 10 ELSE 1.0 END AS scale FROM jobs")
+@query("j4_apply_scale", "SELECT jobid, CASE WHEN nnode > 4 THEN jobid / 10 ELSE 1.0 END AS scale FROM jobs")
 def _(spark, d):
     jobs = view(spark, d, "jobs")
-    return fs.apply_scale(jobs, jobs.where("jobid % 2 = 0").select("jobid", (F.col("jobid") / 10).alias("scale"))).select("jobid", "scale")
+    return fs.apply_scale(jobs, jobs.where("nnode > 4").select("jobid", (F.col("jobid") / 10).alias("scale"))).select("jobid", "scale")
 
 
-MAKES = "SELECT concat('/myfs/c', o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('/o', o_orderkey + o_orderkey % 2) END) AS path, CASE WHEN o_orderkey % 3 = 0 THEN '/myfs' ELSE concat('/myfs/c', o_custkey) END AS parent, CASE WHEN o_orderkey % 3 = 0 THEN 'mkdir' ELSE 'open' END AS kind, o_orderkey FROM {orders}"
+#: Every third order makes or removes its customer's directory, the others a file in it; a seventh of all name a directory that isn't there.
+MAKES = "SELECT concat(dir, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE concat('/o', o_orderkey + o_orderkey % 2) END) AS path, CASE WHEN o_orderkey % 3 = 0 THEN '/myfs' ELSE dir END AS parent, CASE WHEN o_orderkey % 3 = 0 THEN 'mkdir' ELSE 'open' END AS kind, o_orderkey FROM (SELECT o_orderkey, concat('/myfs/', CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE 'c' END, o_custkey) AS dir FROM {orders})"
 ROOTED = "SELECT path, type, size, parent, entry FROM {catalog} UNION ALL SELECT '/myfs', 4, 0, '', '/myfs'"
 
 
@@ -249,7 +251,10 @@ def _extents(spark, d):
 @query("j7_locate_blocks", f"""
 SELECT t.path, t.off, t.nlen, e.file_offset, e.block_size FROM trace t LEFT JOIN ({EXTENTS}) e ON t.path = e.path AND e.file_offset = t.off // 2097152 * 2097152""")
 def _(spark, d):
-    return jo.locate_blocks(view(spark, d, "trace").select("path", "off", "nlen"), _extents(spark, d))
+    trace = view(spark, d, "trace")
+    runs = trace.groupBy("path").agg(F.max(F.expr("(off + nlen) div 2097152")).alias("blocks")).where("blocks > 0")
+    runs = runs.select("path", F.lit(0).cast("long").alias("file_offset"), F.lit(2097152).cast("long").alias("block_size"), "blocks")
+    return jo.locate_blocks(trace.select("path", "off", "nlen"), runs)
 
 
 @query("j8_verify_readback", """
@@ -402,10 +407,9 @@ def _(spark, d):
     return ag.space_report(view(spark, d, "catalog"), _extents(spark, d))
 
 
-@query("a16_file_count", "SELECT count(*) AS files FROM catalog WHERE path LIKE '/myfs/c1%/%' AND type = 8")
+@query("a16_file_count", "SELECT count(*) AS files FROM catalog WHERE path LIKE '/myfs/%' AND type = 8")
 def _(spark, d):
-    below = view(spark, d, "catalog").where(F.col("parent").startswith("/myfs/c1"))
-    return ag.file_count(below, "/myfs")
+    return ag.file_count(view(spark, d, "catalog"), "/myfs")
 
 
 # Shares
@@ -435,12 +439,14 @@ def _(spark, d):
     return rounded(fs.cumulative_probability(view(spark, d, "jobs")), "upto").select("jobid", "upto")
 
 
-SCALED = f"SELECT jobid, CASE WHEN ops + 1 < 20 THEN 0.0002 ELSE least(nnode * sum(ops) OVER () / ((ops + 1) * sum(nnode) OVER ()), {SERVERS}.0) END AS scale FROM (SELECT jobid, nnode, count(*) AS ops FROM trace JOIN jobs USING (jobid) WHERE jobid % 3 <> 0 OR okey % 20 = 0 GROUP BY ALL)"
+#: Every third job counts a twentieth of its operations, so that some have few.
+OPS = "CAST(CASE WHEN jobid % 3 = 0 THEN floor(n / 20) ELSE n END AS BIGINT)"
+SCALED = f"SELECT jobid, CASE WHEN ops + 1 < 20 THEN 0.0002 ELSE least(nnode * sum(ops) OVER () / ((ops + 1) * sum(nnode) OVER ()), {SERVERS}.0) END AS scale FROM (SELECT jobid, nnode, {OPS} AS ops FROM (SELECT jobid, nnode, count(*) AS n FROM trace JOIN jobs USING (jobid) GROUP BY ALL))"
 
 
 def _scaled(spark, d):
-    ok, _ = jo.enrich_requests(view(spark, d, "trace").where("jobid % 3 <> 0 OR okey % 20 = 0"), view(spark, d, "jobs"))
-    return fs.global_scale(ok.groupBy("jobid", "nnode").agg(F.count("*").alias("ops")), SERVERS)
+    ok, _ = jo.enrich_requests(view(spark, d, "trace"), view(spark, d, "jobs"))
+    return fs.global_scale(ok.groupBy("jobid", "nnode").agg(F.count("*").alias("n")).select("jobid", "nnode", F.expr(OPS).alias("ops")), SERVERS)
 
 
 @query("f4_global_scale", f"SELECT jobid, round(scale, 6) AS scale FROM ({SCALED})")
@@ -623,9 +629,10 @@ def _(spark, d):
 
 @query("c2_replay_status")
 def _(spark, d):
-    """Directories of even customers are made, files of all are created and some removed again, then all directories are removed."""
+    """Directories are made, those of odd customers under another name, files of all are created and some removed again, then all directories are removed."""
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", F.concat(F.lit("/myfs/c"), "c_custkey").alias("path"))
-    dirs = c.where("c_custkey % 2 = 0").select((-F.col("c_custkey") - 1).alias("event_id"), F.lit(0).cast("long").alias("t"), F.lit("mkdir").alias("kind"), "path")
+    made = F.when(F.col("c_custkey") % 2 == 0, F.col("path")).otherwise(F.concat("path", F.lit("x")))
+    dirs = c.select((-F.col("c_custkey") - 1).alias("event_id"), F.lit(0).cast("long").alias("t"), F.lit("mkdir").alias("kind"), made.alias("path"))
     ends = c.select((F.col("c_custkey") + (1 << 40)).alias("event_id"), F.lit(1 << 40).cast("long").alias("t"), F.lit("rmdir").alias("kind"), "path")
     files = _file_events(spark, d).where("kind IN ('create', 'unlink')").select("event_id", "t", "kind", "path")
     from ..jobs.shared import shared_dir
@@ -651,6 +658,30 @@ def _(spark, d):
     return so.parse_run_reports(runs.select(line.alias("value"))).select("jobid", "tag", "end_s", "nn", "mbps", "slices")
 
 
+@query("s2_parse_run_headers", f"""
+SELECT 'job' || (conn_id % 3) AS tag, CAST(epoch(day) AS BIGINT) AS start_s, CAST(48 AS INT) AS np, nnode AS nn, 'h' || uid AS rank0host, '/myfs/c' || jobid AS prefix, CAST(1048576 AS BIGINT) AS iosize, CAST((1 + gid) * 1048576 AS BIGINT) AS filesize, 60.0 + gid AS run_time FROM connections""")
+def _(spark, d):
+    rows = view(spark, d, "connections")
+    line = F.format_string("rw_speed time=%s np=48 nn=%d sim_nn=1 rank0host=h%d -prefix=/myfs/c%d -iosize=1m -filesize=%dm -time=%d.0 -tag=job%d", F.date_format("day", "yyyy-MM-dd:HH:mm:ss"), "nnode", "uid", "jobid", F.col("gid") + 1, F.col("gid") + 60, F.col("conn_id") % 3)
+    return so.parse_run_headers(rows.select(line.alias("value"))).drop("sim_nn")
+
+
+@query("s4_slice_table", """
+SELECT CAST(pkey AS INT) AS time_in_seconds, 'job' || k AS tag, round(coalesce(sum(nlen) FILTER (jobid % 3 = k), 0) / 1048576.0, 1) AS mbps FROM trace, (SELECT unnest(range(3)) AS k) GROUP BY pkey, k""")
+def _(spark, d):
+    tags = [F.round(F.coalesce(F.sum(F.when(F.col("jobid") % 3 == k, F.col("nlen"))), F.lit(0)) / 1048576, 1).alias(f"job{k}.mbps") for k in range(3)]
+    return so.long_slices(view(spark, d, "trace").groupBy(F.col("pkey").alias("time_in_seconds")).agg(*tags))
+
+
+@query("s5_scaling_table", """
+SELECT CAST(server AS INT) AS nodes, policy, direction, CAST(coalesce(sum(nlen) FILTER ((jobid % 2 = 0) = (policy = 'FIFO') AND (op = 18) = (direction = 'read')), 0) AS DOUBLE) AS mbps
+FROM trace, (SELECT unnest(['FIFO', 'Job-fair']) AS policy), (SELECT unnest(['write', 'read']) AS direction) GROUP BY ALL""")
+def _(spark, d):
+    series = [(p, r) for p in ("FIFO", "Job-fair") for r in ("write", "read")]
+    total = lambda p, r: F.sum(F.when(((F.col("jobid") % 2 == 0) == F.lit(p == "FIFO")) & ((F.col("op") == 18) == F.lit(r == "read")), F.col("nlen")).otherwise(0)).alias(f"{p} {r}")
+    return so.long_scaling(view(spark, d, "trace").groupBy(F.col("server").alias("node count")).agg(*[total(p, r) for p, r in series]))
+
+
 @query("s3_parse_decision_log", f"SELECT CAST(day % 8 AS INT) AS rank, CAST(day AS DOUBLE) AS time_s, array_to_string(members, ',') AS ids, CAST(len(members) AS INT) AS size, id, n FROM (SELECT hour // 24 AS day, members, id, CAST(sum(CASE WHEN id = chosen THEN 1 ELSE 0 END) AS BIGINT) AS n FROM (SELECT hour, members, chosen, unnest(members) AS id FROM ({DECISIONS})) GROUP BY ALL)")
 def _(spark, d):
     logs = QUERIES["a7_format_decisions"](spark, d)
@@ -664,6 +695,22 @@ def _(spark, d):
     return so.parse_table(rows.select(line.alias("value")), so.VARIABILITY).drop("ts")
 
 
+@query("s7_parse_target_io", f"SELECT sample * 86400 AS t, target, {', '.join(f'round({c}, 3) AS {c}' for c in so.TARGET_IO)} FROM ({TARGETS})")
+def _(spark, d):
+    day = F.date_format(F.timestamp_add("SECOND", F.col("sample") * 86400, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd:HH:mm:ss")
+    line = F.concat_ws("\t", day, *[F.coalesce(F.round(c, 3).cast("string"), F.lit("-")) for c in so.TARGET_IO])
+    return so.parse_target_io(_targets(spark, d).select(F.concat(F.lit("/log/ost"), "target").alias("file"), line.alias("value"))).drop("sample")
+
+
+@query("s8_parse_interval_reports", f"""
+SELECT CAST(t AS DOUBLE) AS t, CASE WHEN t % 2 = 0 THEN round(b / 1000, 3) END AS gbps, round(n / 1000.0, 3) AS miops, CASE WHEN t % 2 = 0 THEN 'io' ELSE 'stat' END AS kind FROM (SELECT {HOUR} AS t, count(*) AS n, CAST(sum(nlen) AS DOUBLE) AS b FROM ev GROUP BY 1)""")
+def _(spark, d):
+    sums = view(spark, d, "ev").groupBy(F.floor(sc.epoch_seconds("ts") / 3600).alias("t")).agg(F.count("*").alias("n"), F.sum("nlen").cast("double").alias("b"))
+    speed = F.when(F.col("t") % 2 == 0, F.format_string("Bandwidth =  %s GB/s     ", F.round(F.col("b") / 1000, 3).cast("decimal(28,3)").cast("string"))).otherwise("")
+    line = F.concat(F.format_string("T =   %d.0    ", "t"), speed, F.format_string("%.3f M IOPS     T_Reduce =    12 us     nOP_Accu =   0.61", F.col("n") / 1000))
+    return so.parse_interval_reports(sums.select(line.alias("value"))).select("t", "gbps", "miops", "kind")
+
+
 @query("s9_parse_request_trace", "SELECT 'in' AS stage, CAST(server AS INT) AS tid, op AS tag, CASE op WHEN 18 THEN 'read' ELSE 'write' END AS op_name, CAST(jobid AS INT) AS jobidx, CAST(pkey AS DOUBLE) AS t, count(*) AS n FROM trace GROUP BY ALL")
 def _(spark, d):
     line = F.format_string("in msg tid=%d tag=%d name=%s jobidx=%d time=%d.000000 content=00ff", "server", "op", sc.op_name(F.col("op")), "jobid", "pkey")

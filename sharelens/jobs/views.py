@@ -12,7 +12,7 @@ VIEWS = {
     "ev": "SELECT event_id AS req_id, ts, user_id AS uid, user_id AS jobid, event_type AS op_name, CAST(round(value * 1024) AS BIGINT) AS nlen FROM {events}",
     "ev_jobs": "SELECT c_custkey AS jobid, c_custkey AS uid, c_nationkey AS gid, CAST(1 + c_custkey % 8 AS INT) AS nnode, c_custkey AS seq FROM {customer}",
     "io_ops": "SELECT l_shipdate AS sample, CAST(l_suppkey % 16 AS INT) AS target, CASE WHEN l_returnflag = 'R' THEN 'read' WHEN l_returnflag = 'A' THEN 'write' ELSE 'stat' END AS kind, l_extendedprice / 1000000 AS seconds FROM {lineitem}",
-    "catalog": "SELECT concat('/myfs/c', c_custkey) AS path, 4 AS type, CAST(0 AS BIGINT) AS size, '/myfs' AS parent, concat('c', c_custkey) AS entry FROM {customer} WHERE c_custkey % 2 = 0 UNION ALL SELECT concat('/myfs/c', o_custkey, '/o', o_orderkey) AS path, 8 AS type, CAST(floor(o_totalprice) AS BIGINT) AS size, concat('/myfs/c', o_custkey) AS parent, concat('o', o_orderkey) AS entry FROM {orders} WHERE o_custkey % 2 = 0 AND o_orderstatus <> 'F'",
+    "catalog": "SELECT concat('/myfs/c', c_custkey) AS path, 4 AS type, CAST(0 AS BIGINT) AS size, '/myfs' AS parent, concat('c', c_custkey) AS entry FROM {customer} UNION ALL SELECT concat('/myfs/c', o_custkey, '/o', o_orderkey) AS path, 8 AS type, CAST(floor(o_totalprice) AS BIGINT) AS size, concat('/myfs/c', o_custkey) AS parent, concat('o', o_orderkey) AS entry FROM {orders} WHERE o_orderstatus <> 'F'",
     "connections": "SELECT o_orderkey AS conn_id, o_custkey AS jobid, o_custkey % 100 AS uid, o_custkey % 7 AS gid, CAST(1 + o_orderkey % 8 AS INT) AS nnode, o_orderdate AS day FROM {orders}",
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-STRIPE = 2097152
+STRIPE, RUN_STRIPES = 2097152, 1024
 
 
 def enrich_requests(requests: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,14 +64,21 @@ def stat_paths(paths: DataFrame, catalog: DataFrame) -> DataFrame:
 def locate_blocks(requests: DataFrame, extents: DataFrame, stripe: int = STRIPE) -> DataFrame:
     """Adds the block (file_offset, block_size) that holds `off`, null if none does.
 
-    Blocks are put in one bucket for each stripe they touch, so the range
-    condition runs within an equi-join on (path, bucket).
+    An extent is one block, or, where it has a column `blocks`, a run of that
+    many blocks of one size, which is joined as a whole. Extents are put in one bucket for
+    each stripe (runs: each RUN_STRIPES stripes) they touch, so the range
+    condition runs within an equi-join on (path, bucket). Both sides are as
+    large as the file system, so neither is ever broadcast.
     """
-    blocks = extents.where("block_size > 0").withColumn("bucket", F.explode(F.sequence(F.expr(f"file_offset div {stripe}"), F.expr(f"(file_offset + block_size - 1) div {stripe}"))))
-    blocks = blocks.select(F.col("path").alias("_p"), F.col("bucket").alias("_b"), "file_offset", "block_size")
-    rows = requests.withColumn("bucket", F.expr(f"off div {stripe}"))
-    inside = (F.col("path") == F.col("_p")) & (F.col("bucket") == F.col("_b")) & (F.col("off") >= F.col("file_offset")) & (F.col("off") < F.col("file_offset") + F.col("block_size"))
-    return rows.join(blocks, inside, "left").drop("_p", "_b", "bucket")
+    runs = "blocks" in extents.columns
+    width = stripe * RUN_STRIPES if runs else stripe
+    ends = F.col("file_offset") + F.col("block_size") * (F.col("blocks") if runs else F.lit(1))
+    parts = extents.where("block_size > 0").select(F.col("path").alias("_p"), F.col("file_offset").alias("_start"), ends.alias("_end"), "block_size").where("_start < _end")
+    parts = parts.withColumn("_b", F.explode(F.sequence(F.expr(f"_start div {width}"), F.expr(f"(_end - 1) div {width}"))))
+    rows = requests.withColumn("_bucket", F.expr(f"off div {width}"))
+    inside = (F.col("path") == F.col("_p")) & (F.col("_bucket") == F.col("_b")) & (F.col("off") >= F.col("_start")) & (F.col("off") < F.col("_end"))
+    found = rows.join(parts.hint("merge"), inside, "left")
+    return found.withColumn("file_offset", F.expr("_start + (off - _start) div block_size * block_size")).select(*requests.columns, "file_offset", "block_size")
 
 
 def verify_readback(words: DataFrame, iosize: int) -> DataFrame:

@@ -65,12 +65,17 @@ def read_decision_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_decision_log(lines_of(spark, path))
 
 
-def read_slice_table(spark: SparkSession, path: str) -> DataFrame:
-    """(time_in_seconds, tag, mbps) from a wide table."""
-    wide = spark.read.csv(path, sep="\t", header=True)
-    tags = [c for c in wide.columns if c != "time_in_seconds"]
+def long_slices(wide: DataFrame) -> DataFrame:
+    """(time_in_seconds, tag, mbps) of a wide table with a column <tag>.mbps for each tag."""
     wide = wide.toDF(*[c.removesuffix(".mbps") for c in wide.columns])
-    return wide.unpivot(["time_in_seconds"], [t.removesuffix(".mbps") for t in tags], "tag", "mbps").select(F.col("time_in_seconds").cast("int"), "tag", F.col("mbps").cast("double"))
+    tags = [c for c in wide.columns if c != "time_in_seconds"]
+    long = wide.select("time_in_seconds", *[F.col(f"`{t}`").cast("string") for t in tags]).unpivot(["time_in_seconds"], tags, "tag", "mbps")
+    return long.select(F.col("time_in_seconds").cast("int"), "tag", F.col("mbps").cast("double"))
+
+
+def read_slice_table(spark: SparkSession, path: str) -> DataFrame:
+    """S4"""
+    return long_slices(spark.read.csv(path, sep="\t", header=True))
 
 
 def slice_table(slices: DataFrame) -> DataFrame:
@@ -85,13 +90,17 @@ def write_slice_table(slices: DataFrame, path: str) -> None:
     slice_table(slices).coalesce(1).write.csv(path, sep="\t", header=True, mode="overwrite")
 
 
-def read_scaling(spark: SparkSession, path: str) -> DataFrame:
-    """(nodes, policy, direction, mbps)."""
-    wide = spark.read.csv(path, header=True)
+def long_scaling(wide: DataFrame) -> DataFrame:
+    """(nodes, policy, direction, mbps) of a wide table with a column "<policy> <direction>" for each series."""
     long = wide.withColumnRenamed("node count", "nodes").unpivot(["nodes"], [c for c in wide.columns if c != "node count"], "series", "mbps")
     return long.select(F.col("nodes").cast("int"), F.substring_index("series", " ", 1).alias("policy"), F.substring_index("series", " ", -1).alias("direction"), F.col("mbps").cast("double"))
 
 
+def read_scaling(spark: SparkSession, path: str) -> DataFrame:
+    """S5"""
+    return long_scaling(spark.read.csv(path, header=True))
+
+
 def parse_table(lines: DataFrame, names: list[str]) -> DataFrame:
     """Tab-separated rows below # headers: ts, its epoch seconds, and double columns."""
     parts = F.split("value", "\t")
@@ -108,12 +117,17 @@ def read_variability(spark: SparkSession, path: str) -> DataFrame:
     return parse_table(lines_of(spark, path).drop("file", "line"), VARIABILITY)
 
 
-def read_target_io(spark: SparkSession, path: str) -> DataFrame:
-    """With `target` from the end of the file name."""
-    rows = parse_table(lines_of(spark, path).drop("line"), TARGET_IO)
+def parse_target_io(lines: DataFrame) -> DataFrame:
+    """Rows of (file, value) with `target` from the end of the file name."""
+    rows = parse_table(lines.select("file", "value"), TARGET_IO)
     return rows.withColumn("target", F.regexp_extract("file", r"ost(\d+)$", 1).cast("int")).drop("file").withColumnRenamed("ts", "sample")
 
 
+def read_target_io(spark: SparkSession, path: str) -> DataFrame:
+    """S7"""
+    return parse_target_io(lines_of(spark, path))
+
+
 def parse_interval_reports(lines: DataFrame) -> DataFrame:
     """(t, gbps, miops, reduce_us, ops_accum_m, kind) of the three report forms."""
     number = lambda form: F.nullif(F.regexp_extract("value", form, 1), F.lit("")).try_cast("double")
