@@ -311,10 +311,10 @@ def _(spark, d):
 
 
 def _decisions(spark, d):
-    """Candidates: all users of an hour; chosen: the request's user."""
-    rows = view(spark, d, "ev").withColumn("hour", F.floor(sc.epoch_seconds("ts") / 3600))
+    """Candidates: all users of an hour; chosen: the request's user. Requests of one hour and user are one row of `n` decisions before they meet the set."""
+    rows = view(spark, d, "ev").groupBy(F.floor(sc.epoch_seconds("ts") / 3600).alias("hour"), "uid").agg(F.count("*").alias("n"), F.min("ts").alias("ts"))
     sets = rows.groupBy("hour").agg(F.array_sort(F.collect_set("uid")).alias("candidates"))
-    return rows.join(sets, "hour").select("req_id", "ts", "hour", "candidates", F.col("uid").alias("chosen"))
+    return rows.join(sets, "hour").select("ts", "hour", "candidates", F.col("uid").alias("chosen"), "n")
 
 
 DECISIONS = f"SELECT e.req_id, e.ts, e.hour, s.members, e.uid AS chosen FROM (SELECT *, {HOUR} AS hour FROM ev) e JOIN (SELECT {HOUR} AS hour, list_sort(list_distinct(list(uid))) AS members FROM ev GROUP BY 1) s ON e.hour = s.hour"
@@ -336,10 +336,10 @@ def _(spark, d):
 SELECT day, string_agg(text, ';' ORDER BY size, members) AS log FROM (SELECT day, members, len(members) AS size, array_to_string(members, ',') || ':' || string_agg(n, ',' ORDER BY id) AS text
 FROM (SELECT day, members, id, CAST(sum(CASE WHEN id = chosen THEN 1 ELSE 0 END) AS BIGINT) AS n FROM (SELECT hour // 24 AS day, members, chosen, unnest(members) AS id FROM ({DECISIONS})) GROUP BY ALL) GROUP BY day, members) GROUP BY day""")
 def _(spark, d):
-    rows = _decisions(spark, d).withColumn("day", F.floor(F.col("hour") / 24))
-    sets = rows.withColumn("members", F.col("candidates")).groupBy("day", "members", "chosen").agg(F.count("*").alias("n"))
-    each = sets.select("day", "members", F.explode("members").alias("id"), "chosen", "n").groupBy("day", "members", "id").agg(F.sum(F.when(F.col("id") == F.col("chosen"), F.col("n")).otherwise(0)).alias("n"))
-    return ag.format_decisions(each.withColumn("size", F.size("members")), ["day"])
+    rows = _decisions(spark, d).withColumn("day", F.floor(F.col("hour") / 24)).withColumn("members", F.col("candidates"))
+    chosen = rows.groupBy("day", "members", F.col("chosen").alias("id")).agg(F.sum("n").alias("n"))
+    each = rows.select("day", "members").distinct().select("day", "members", F.explode("members").alias("id")).join(chosen, ["day", "members", "id"], "left")
+    return ag.format_decisions(each.withColumns({"size": F.size("members"), "n": F.coalesce("n", F.lit(0))}), ["day"])
 
 
 @query("a8_describe", """

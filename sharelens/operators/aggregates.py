@@ -38,11 +38,15 @@ def merge_server_counts(counts: DataFrame) -> DataFrame:
 
 
 def decision_counts(decisions: DataFrame) -> DataFrame:
-    """A5: (ids, id, n): how often each id of a candidate set was chosen, 0 included. `ids` is sorted text."""
-    sets = decisions.withColumn("members", F.array_sort(F.array_distinct("candidates")))
-    sets = sets.groupBy("members", "chosen").agg(F.count("*").alias("n"))
-    each = sets.select("members", F.explode("members").alias("id"), F.when(F.col("chosen") == F.col("id"), F.col("n")).otherwise(0).alias("n"))
-    return each.groupBy("members", "id").agg(F.sum("n").alias("n")).select(F.array_join("members", ",").alias("ids"), F.size("members").alias("size"), "members", "id", "n")
+    """A5: (ids, size, members, id, n): how often each id of a candidate set was chosen, 0 included. `ids` is sorted text.
+
+    A row is one decision, or as many as its column `n` says. Sets are unfolded once each, not once for each choice.
+    """
+    sets = decisions.withColumn("members", F.array_sort(F.array_distinct("candidates"))).withColumn("ids", F.array_join("members", ","))
+    n = F.sum("n") if "n" in decisions.columns else F.count("*")
+    chosen = sets.groupBy("ids", F.col("chosen").alias("id")).agg(n.alias("n"))
+    each = sets.groupBy("ids").agg(F.first("members").alias("members")).select("ids", F.size("members").alias("size"), "members", F.explode("members").alias("id"))
+    return each.join(chosen, ["ids", "id"], "left").select("ids", "size", "members", "id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def merge_decisions(*logs: DataFrame) -> DataFrame:

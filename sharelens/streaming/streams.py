@@ -59,9 +59,10 @@ def write_fairness_rounds(df: DataFrame, n_servers: int, path: str, checkpoint:
 
 
 def decision_rounds(df: DataFrame, width: str = REPORT_ROUND, delay: str = "10 seconds") -> DataFrame:
-    """ST4: (window, ids, chosen, n): decisions of all threads by sorted candidate set and choice."""
+    """ST4: (window, ids, chosen, n): decisions of all threads by sorted candidate set and choice; a row is one decision, or as many as its column `n` says."""
+    count = F.sum("n") if "n" in df.columns else F.count("*")
     ids = F.array_join(F.array_sort(F.array_distinct("candidates")), ",")
-    rows = timed(df, delay).groupBy(F.window("ts", width).alias("w"), ids.alias("ids"), "chosen").agg(F.count("*").alias("n"))
+    rows = timed(df, delay).groupBy(F.window("ts", width).alias("w"), ids.alias("ids"), "chosen").agg(count.alias("n"))
     return _edges(rows)
 
 
