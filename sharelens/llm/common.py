@@ -129,7 +129,9 @@ def similar_pairs(marked: DataFrame, sets: DataFrame, threshold: float) -> DataF
     return both.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
 
 
-def linked_classes(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2, rest: Callable[[DataFrame], DataFrame] = pairs_of_lists) -> DataFrame:
+def linked_classes(
+    posts: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2, rest: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None
+) -> DataFrame:
     """Components (node, comp) of the nodes that `verify` links among those that meet under a key of `posts` (key, node, and perhaps score).
 
     Not all pairs under a key are formed. In each of `stars` rounds every node
@@ -137,15 +139,19 @@ def linked_classes(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     one drawn by hash from the key's largest component) unless the two are known
     to be in one component. What is left then is each
     pair of nodes of a key that lie in different components and of which
-    neither was a pivot; `rest` forms those pairs, or the ones of them that can
-    pass `verify`, so that no link between components is lost. A group of near
+    neither was a pivot; `rest` finds enough links (a, b) among those pairs that no
+    two linked components stay apart (if not given, it forms the pairs and verifies
+    them). `known` links (a, b) hold from the start. A group of near
     copies closes in the first rounds and leaves no pairs. A star round may have
-    no new pair because it drew a pivot again; only when no key is open does the
-    work end before `rest`.
+    no new pair because it drew a pivot again; the work ends before `rest` only if no key is open.
     """
     posts = posts if "score" in posts.columns else posts.withColumn("score", F.lit(0))
     posts = stage(posts.select("key", "node", "score").distinct(), "posts")
+    rest = rest or (lambda marked: verify(stage(pairs_of_lists(marked).distinct(), "pairs")))
     comps, links, held = None, [], None
+    if known is not None and not known.isEmpty():
+        links.append(known)
+        comps = stage(components(known), "comps")
     for turn in range(stars + 1):
         if comps is None:
             marked = posts.withColumn("comp", F.col("node"))
@@ -160,19 +166,23 @@ def linked_classes(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], s
                 parts = marked.groupBy("key", "comp").agg(F.count("*").alias("size"), F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
                 pivots = parts.groupBy("key").agg(F.max(F.struct("size", "node", "comp")).alias("p"))
             pivots = pivots.select("key", F.col("p.node").alias("pn"), F.col("p.comp").alias("pc"))
-            pairs = marked.join(pivots, "key").where("comp <> pc").select(F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b"))
+            pairs = marked.join(pivots, "key").where("comp <> pc").select(F.least("node", "pn").alias("a"), F.greatest("node", "pn").alias("b")).distinct()
+            if held is not None:
+                pairs = pairs.join(held, ["a", "b"], "left_anti")
+            pairs = stage(pairs, "pairs")
+            if pairs.isEmpty():
+                continue
+            held = pairs if held is None else held.unionByName(pairs)
+            found = verify(pairs)
         else:
-            pairs = rest(stage(marked.select("key", "node", "comp"), "open"))
-        pairs = pairs.distinct()
-        if held is not None:
-            pairs = pairs.join(held, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if pairs.isEmpty():
-            if turn == 0 or marked.isEmpty():  # in round 0 any key of two nodes has a pair
+            open_ = stage(marked.select("key", "node", "comp"), "open")
+            if open_.isEmpty():
                 break
+            found = rest(open_)
+        links.append(stage(found.select("a", "b"), "links"))
+        if links[-1].isEmpty():
+            links.pop()
             continue
-        held = pairs if held is None else held.unionByName(pairs)
-        links.append(stage(verify(pairs).select("a", "b"), "links"))
         found = links[0]
         for more in links[1:]:
             found = found.unionByName(more)

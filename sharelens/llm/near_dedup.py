@@ -14,12 +14,14 @@ order and need no list, so a class with too many of them is skipped outright,
 and the longest lists, such as those of a passage in a third of all documents,
 are skipped by all that have enough shorter ones. Agreements of the pairs that
 meet are counted on the signatures; links are confirmed on the full sets.
-Lists of more than SHORT classes that stars leave open are merged in blocks:
-members are split by set size (a link needs sizes within 3:4) and hash into
-blocks of about BLOCK, and each pair of blocks is compared in one small task.
-There a second signature of LONG one-byte coordinates, made for these classes
-only, must agree in LONG_MATCHES (3.5 standard deviations below what 0.75
-gives), so that lists of merely similar texts don't ask for many full sets.
+Lists that stars leave open are merged by their full sets. In those of more than
+SHORT classes, those of up to BLOCK classes and BLOCK_SHINGLES shingles are compared
+whole in one small task; in longer ones members are split by set size (a link needs sizes within 3:4) and
+hash into blocks of about that size, and each pair of
+blocks is a task, which counts the common shingles of all its
+pairs at once and returns a spanning forest of the links it finds, so that no
+list, however long, gives more rows than it has members in its blocks. Shorter
+lists give their pairs to the same exact test.
 """
 
 from __future__ import annotations
@@ -43,8 +45,7 @@ _A = _rng.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.u
 _B = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64)
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _CACHE_WORDS, _SLICE = 200_000, 4096
-SHORT, BLOCK, LONG, LONG_MATCHES = 64, 512, 512, 350
-_LA = _rng.integers(1, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SHORT, BLOCK, BLOCK_SHINGLES, COLUMNS = 64, 2048, 1 << 20, 2048
 
 
 class _Words(dict):
@@ -101,40 +102,62 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["node"], pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([m.view(np.int64) for m in members], pa.list_(pa.int64()))], ["node", "c1", "c2", "members"])
 
 
-def _long_signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sigs = []
-        for members in batch["members"]:
-            members, least = members.values.to_numpy().view(np.uint64), np.full(LONG, 2**64 - 1, np.uint64)
-            for at in range(0, len(members), _SLICE // 8):
-                least = np.minimum(least, (members[at : at + _SLICE // 8, None] * _LA).min(axis=0))
-            sigs.append(((least * _MUL) >> np.uint64(56)).astype(np.uint8).tobytes())  # the top byte of a minimum is nearly always 0, so it is mixed again
-        yield pa.RecordBatch.from_arrays([batch["node"], batch["sig"], pa.array([len(m) for m in batch["members"]], pa.int64()), pa.array(sigs, pa.binary())], ["node", "sig", "n", "long_sig"])
-
-
-def _agreeing(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs across the two sides of a block pair (within the block, where it is paired with itself) with MATCHES agreements."""
-    left, right = group[group["side"] != 2], group[group["side"] != 1]
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of `sets` have in common: frequent shingles by matrix products, rare ones pair by pair."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.zeros(n * n, np.int32)
+    order = np.lexsort((owner, column))
+    owner, column = owner[order], column[order]
+    often = df > max(2, n // 64)
+    for k in np.unique(df[(df > 1) & ~often]):  # shingles of k owners each
+        of, (i, j) = owner[(df == k)[column]].reshape(-1, k), np.tril_indices(k, -1)
+        common += np.bincount((of[:, i] * n + of[:, j]).ravel(), minlength=n * n).astype(np.int32)
+    common = common.reshape(n, n)
+    common += common.T
+    place = np.cumsum(often) - 1
+    at, row = place[column[often[column]]], owner[often[column]]
+    for lo in range(0, int(often.sum()), COLUMNS):
+        here = (at >= lo) & (at < lo + COLUMNS)
+        x = np.zeros((n, COLUMNS), np.float32)
+        x[row[here], at[here] - lo] = 1
+        common += (x @ x.T).astype(np.int32)
+    return common
+
+
+def _linked(group: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links across the two sides of a block pair, or within a block that is paired with itself (side 0)."""
+    group = group.sort_values("node", kind="stable")
+    sets = [np.asarray(x) for x in group["members"]]
+    node, comp, side = (group[c].to_numpy() for c in ("node", "comp", "side"))
+    common, size = common_counts(sets), np.array([len(x) for x in sets], np.int32)
+    near = (100 + round(100 * THRESHOLD)) * common >= round(100 * THRESHOLD) * (size[:, None] + size[None, :])
+    near &= (comp[:, None] != comp[None, :]) & ((side[:, None] != side[None, :]) | (side[:, None] == 0))
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
     out = []
-    if len(left) and len(right):
-        x, y = np.stack(left["sig"].to_list()), np.stack(right["sig"].to_list())
-        p, q = (np.stack([np.frombuffer(s, np.uint8) for s in side["long_sig"]]) for side in (left, right))
-        for at in range(0, len(x), 64):
-            i, j = np.nonzero((x[at : at + 64, None, :] == y[None, :, :]).sum(axis=2) >= MATCHES)
-            near = np.concatenate([(p[at + i[k : k + 4096]] == q[j[k : k + 4096]]).sum(axis=1) >= LONG_MATCHES for k in range(0, len(i), 4096)] or [np.empty(0, bool)])
-            i, j = i[near], j[near]
-            a, b = left["node"].to_numpy()[at + i], right["node"].to_numpy()[j]
-            apart = left["comp"].to_numpy()[at + i] != right["comp"].to_numpy()[j]
-            out.append(pd.DataFrame({"a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]}))
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    for i, j in zip(*np.nonzero(np.triu(near, 1))):
+        a, b = root(int(comp[i])), root(int(comp[j]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((node[i], node[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
 def _merge_long_lists(marked: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that meet in a list of `marked` (key, node, comp), lie in different components and agree in MATCHES coordinates or more."""
-    asked = sets.join(marked.select("node").distinct(), "node").select("node", "sig", "members")
-    signed = stage(asked.mapInArrow(_long_signed, "node long, sig array<int>, n long, long_sig binary"), "long")
-    rows = marked.join(signed.select("node", "sig", "long_sig", F.floor(F.log("n") / float(np.log(4 / 3)) + 1e-9).alias("band")), "node")
-    bands = rows.groupBy("key", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    """Links (a, b) that join the components of each list of `marked` (key, node, comp) as all its links do; `sets` has node and members."""
+    asked = sets.join(marked.select("node").distinct(), "node").select("node", "members", F.size("members").alias("n"))
+    rows = marked.join(asked.select("node", "n", F.floor(F.log("n") / float(np.log(4 / 3)) + 1e-9).alias("band")), "node")
+    whole = rows.groupBy("key").agg(((F.count("*") <= BLOCK) & (F.sum("n") <= BLOCK_SHINGLES)).alias("whole"))
+    rows = stage(rows.join(whole, "key").withColumn("band", F.when(F.col("whole"), -1).otherwise(F.col("band"))).drop("whole"), "banded")
+    bands = rows.groupBy("key", "band").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     rows = rows.join(bands, ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     above = bands.select("key", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = bands.select("key", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
@@ -146,8 +169,9 @@ def _merge_long_lists(marked: DataFrame, sets: DataFrame) -> DataFrame:
     up = F.when(F.col("above").isNotNull(), F.transform(to(F.col("above")), lambda o: pair(band, block, band + 1, o, F.lit(1))))
     down = F.when(F.col("below").isNotNull(), F.transform(to(F.col("below")), lambda o: pair(band - 1, o, band, block, F.lit(2))))
     none = F.filter(own, lambda x: F.lit(False))
-    dealt = rows.select("key", "node", "comp", "sig", "long_sig", F.explode(F.concat(own, F.coalesce(up, none), F.coalesce(down, none))).alias("p")).select("key", "node", "comp", "sig", "long_sig", "p.*")
-    return dealt.groupBy("key", "lo", "x", "hi", "y").applyInPandas(_agreeing, "a long, b long")
+    dealt = rows.select("key", "node", "comp", F.explode(F.concat(own, F.coalesce(up, none), F.coalesce(down, none))).alias("p"))
+    held = dealt.select("node", "comp", "key", "p.*").join(asked.select("node", "members"), "node")
+    return held.groupBy("key", "lo", "x", "hi", "y").applyInPandas(_linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -189,9 +213,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def rest(marked: DataFrame) -> DataFrame:
         sizes = stage(marked.groupBy("key").agg(F.count("*").alias("length")), "lengths")
         marked = marked.join(sizes, "key")
-        return pairs_of_lists(marked.where(F.col("length") <= SHORT)).unionByName(_merge_long_lists(marked.where(F.col("length") > SHORT).drop("length"), sets))
+        short = stage(pairs_of_lists(marked.where(F.col("length") <= SHORT)).distinct(), "short")
+        return verify(short).unionByName(_merge_long_lists(marked.where(F.col("length") > SHORT).drop("length"), sets))
 
-    comps = linked_classes(prefix, verify, rest=rest)
+    # A doc_id with several texts joins their classes.
+    several = named.groupBy("doc_id").agg(F.min("c1").alias("lo1"), F.max("c1").alias("hi1"), F.min("c2").alias("lo2"), F.max("c2").alias("hi2")).where("lo1 < hi1 OR lo2 < hi2").select("doc_id")
+    held = stage(named.join(several, "doc_id").join(classes, ["c1", "c2"]).select("doc_id", "node").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")), "same-id")
+    comps = linked_classes(prefix, verify, rest=rest, known=held)
     joined = classes.join(comps, "node", "left").where("copies > 1 OR comp IS NOT NULL").select("c1", "c2", F.coalesce("comp", "node").alias("comp"))
     out = rows.select("doc_id", "n_shingles", "c1", "c2").join(joined, ["c1", "c2"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("comp", "doc_id"))
