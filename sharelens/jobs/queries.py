@@ -529,6 +529,11 @@ def _(spark, d):
     return rounded(fs.slow_targets(_targets(spark, d), 60), "slowest_ms")
 
 
+@query("f13_slow_writes", f"SELECT sample, target, round(max_write_ms, 6) AS max_write_ms FROM ({TARGETS}) WHERE max_write_ms > 60")
+def _(spark, d):
+    return rounded(fs.slow_writes(_targets(spark, d), 60), "max_write_ms")
+
+
 # Counters
 
 
@@ -596,6 +601,15 @@ def _(spark, d):
     return rounded(st.fairness_rounds(ok, SERVERS, "1 day"), "scale")
 
 
+@query("st3_fairness_rounds_by_server", f"""
+WITH s AS (SELECT {US} // 86400000000 * 86400000000 AS window_start, e.jobid, req_id % 3 AS server, count(*) AS ops, max(nnode) AS nnode FROM ev e JOIN ev_jobs j ON e.jobid = j.jobid GROUP BY ALL),
+r AS (SELECT window_start, jobid, CAST(sum(ops) AS BIGINT) AS ops, arg_min(nnode, server) AS nnode FROM s GROUP BY ALL)
+SELECT window_start, window_start + 86400000000 AS window_end, jobid, ops, nnode, round(CASE WHEN ops + 1 < 20 THEN 0.0002 ELSE least(nnode * sum(ops) OVER w / ((ops + 1) * sum(nnode) OVER w), {SERVERS}.0) END, 6) AS scale FROM r WINDOW w AS (PARTITION BY window_start)""")
+def _(spark, d):
+    ok, _ = jo.enrich_requests(_ev(spark, d).withColumn("server", F.col("req_id") % 3), view(spark, d, "ev_jobs"))
+    return rounded(st.fairness_rounds(ok, SERVERS, "1 day"), "scale")
+
+
 @query("st4_decision_rounds", f"SELECT {US} // 86400000000 * 86400000000 AS window_start, {US} // 86400000000 * 86400000000 + 86400000000 AS window_end, array_to_string(members, ',') AS ids, chosen, count(*) AS n FROM ({DECISIONS}) GROUP BY ALL")
 def _(spark, d):
     return st.decision_rounds(_decisions(spark, d), "1 day")

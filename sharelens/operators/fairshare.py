@@ -92,9 +92,11 @@ def dispatch_choice(requests: DataFrame, picks: DataFrame, by: str = "jobid") ->
     return picks.join(oldest.select(by, "req_id"), by, "left").crossJoin(F.broadcast(overall)).select("pick_id", by, F.coalesce("req_id", "overall").alias("req_id"))
 
 
-def phase_medians(slices: DataFrame, trim: tuple[int, int] = (0, 0), group: list[str] = ()) -> DataFrame:
+def phase_medians(slices: DataFrame, trim: tuple[int, int] = (0, 0), group: list[str] = (), pool: str = "tag") -> DataFrame:
     """seconds (group, t, tag, mbps) classed by the set of active tags: median of each tag in each set.
 
+    `pool` may name another column of the slices, such as the promised share; tags of one value are then pooled.
+
     `trim` drops seconds at both ends of every run of seconds with one set.
     Slices are one row a second and tag, so a group is a run's length.
     """
@@ -106,7 +108,7 @@ def phase_medians(slices: DataFrame, trim: tuple[int, int] = (0, 0), group: list
     run = Window.partitionBy(*group, "phase")
     sets = sets.withColumns({"at": F.row_number().over(run.orderBy("t")), "size": F.count("*").over(run)})
     sets = sets.where((F.col("at") > trim[0]) & (F.col("at") <= F.col("size") - trim[1]))
-    return sets.join(slices.where("mbps > 0"), [*group, "t"]).groupBy(*group, "active", "tag").agg(F.percentile("mbps", 0.5).alias("median"), F.count("*").alias("seconds"))
+    return sets.join(slices.where("mbps > 0"), [*group, "t"]).groupBy(*group, "active", pool).agg(F.percentile("mbps", 0.5).alias("median"), F.count("*").alias("seconds"))
 
 
 def scaling_efficiency(scaling: DataFrame) -> DataFrame:
@@ -125,3 +127,8 @@ def slow_targets(target_io: DataFrame, threshold_ms: float = 1000.0) -> DataFram
     """(sample, targets): the sorted targets whose slowest write took longer, for each sample that has any."""
     slow = target_io.where(F.col("max_write_ms") > threshold_ms)
     return slow.groupBy("sample").agg(F.array_join(F.array_sort(F.collect_set("target")), ",").alias("targets"), F.max("max_write_ms").alias("slowest_ms"))
+
+
+def slow_writes(target_io: DataFrame, threshold_ms: float = 1000.0) -> DataFrame:
+    """(sample, target, max_write_ms) of the targets whose slowest write took longer, in the order of time."""
+    return target_io.where(F.col("max_write_ms") > threshold_ms).select("sample", "target", "max_write_ms").orderBy("sample", "target")

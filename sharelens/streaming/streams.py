@@ -42,19 +42,27 @@ def active_periods(df: DataFrame, key: str, gap: str = GAP, delay: str = "10 sec
 
 
 def round_counts(df: DataFrame, width: str = FAIRNESS_ROUND, delay: str = "10 seconds") -> DataFrame:
-    """ST3: operations of each job in each round; nnode is the job's largest."""
-    rows = timed(df, delay).groupBy(F.window("ts", width).alias("w"), "jobid").agg(F.count("*").alias("ops"), F.max("nnode").alias("nnode"))
+    """ST3: operations of each job in each round, and on each server if requests name one; nnode is the job's largest there."""
+    by = ["server", "jobid"] if "server" in df.columns else ["jobid"]
+    rows = timed(df, delay).groupBy(F.window("ts", width).alias("w"), *by).agg(F.count("*").alias("ops"), F.max("nnode").alias("nnode"))
     return _edges(rows)
 
 
+def scaled_rounds(counts: DataFrame, n_servers: int) -> DataFrame:
+    """ST3: finished round counts, merged over servers (nnode is the first server's), with each job's scale factor."""
+    if "server" in counts.columns:
+        counts = counts.groupBy("window_start", "window_end", "jobid").agg(F.sum("ops").alias("ops"), F.min_by("nnode", "server").alias("nnode"))
+    return global_scale(counts, n_servers, ["window_start"])
+
+
 def fairness_rounds(df: DataFrame, n_servers: int, width: str = FAIRNESS_ROUND) -> DataFrame:
     """ST3: round counts with each job's scale factor; on a stream, apply it in foreachBatch to complete rounds."""
-    return global_scale(round_counts(df, width), n_servers, ["window_start"])
+    return scaled_rounds(round_counts(df, width), n_servers)
 
 
 def write_fairness_rounds(df: DataFrame, n_servers: int, path: str, checkpoint: str, width: str = FAIRNESS_ROUND):
-    """ST3: starts the streaming form; finished rounds are scaled and appended to `path`."""
-    put = lambda batch, _: global_scale(batch, n_servers, ["window_start"]).write.mode("append").parquet(path)
+    """ST3: the streaming form; finished rounds are scaled and appended to `path`."""
+    put = lambda batch, _: scaled_rounds(batch, n_servers).write.mode("append").parquet(path)
     return round_counts(df, width).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put)
 
 

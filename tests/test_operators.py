@@ -164,3 +164,74 @@ def test_replay_of_random_logs(spark, tmp_path, seed):
         log.append((i, "mkdir", f"/myfs/once{i}") if i % 40 == 0 else (i, kind, path.replace("/myfs", f"/myfs/once{draw.randrange(15) * 40}") if i % 3 == 0 else path))
     df = spark.createDataFrame([(i, i // 2, k, p) for i, k, p in log], "event_id long, t long, kind string, path string")
     assert {r.event_id: r.status for r in catalog.replay_status(df).collect()} == replayed(log)
+
+
+def test_phase_medians_of_published_runs(spark):
+    """Two competing runs, two nodes against one: the published medians, with one second trimmed at each end of a phase."""
+    slices = joins.align_slices(reports.read_run_reports(spark, str(DATA / "size_fair_reports.txt"))).withColumnRenamed("time_in_seconds", "t")
+    found = {(r.active, r.tag): round(r["median"]) for r in fairshare.phase_medians(slices, (1, 1)).collect()}
+    both = sorted(v for (active, _), v in found.items() if "," in active)
+    assert both == [7289, 14595]
+    pooled = fairshare.phase_medians(slices.withColumn("share", F.lit(0.5)), (1, 1), pool="share").where("active LIKE '%,%'").collect()
+    assert len(pooled) == 1 and 7289 < pooled[0]["median"] < 14595
+
+
+def test_shares_of_published_decisions(spark):
+    """Decisions of 5 s under two policies: 1 node against 2, by node and by job."""
+    rows = [("size-fair", 1001, 1, 43035), ("size-fair", 2002, 2, 85901), ("job-fair", 1001, 1, 65003), ("job-fair", 2002, 1, 64997)]
+    found = {(r.policy, r.key): (round(r.promised, 4), round(r.observed, 4)) for r in fairshare.share_report(spark.createDataFrame(rows, "policy string, key long, weight int, n long"), ["policy"]).collect()}
+    assert found == {("size-fair", 1001): (0.3333, 0.3338), ("size-fair", 2002): (0.6667, 0.6662), ("job-fair", 1001): (0.5, 0.5), ("job-fair", 2002): (0.5, 0.5)}
+
+
+def test_scaling_efficiencies(spark):
+    rows = fairshare.scaling_efficiency(reports.read_scaling(spark, str(DATA / "scaling.csv")))
+    found = {(r.nodes, r.policy, r.direction): round(r.efficiency, 4) for r in rows.collect()}
+    assert found[1, "FIFO", "write"] == round(11746.27 / 11766.65, 4) and found[128, "Job-fair", "read"] == round(1140109.80 / (128 * 11766.65), 4)
+
+
+def test_target_files(spark, tmp_path):
+    (tmp_path / "log.ost7").write_text("# timestamp\tread\n2021-08-23:16:33:23\t1.5\t2\t3\t4\t5.5\t6\t7\t8\n")
+    r = reports.read_target_io(spark, str(tmp_path / "log.ost7")).first()
+    assert (r.target, r.read_mbps, r.max_write_ms, r.sample) == (7, 1.5, 8.0, "2021-08-23:16:33:23")
+
+
+@pytest.fixture
+def requests(spark, tmp_path):
+    """Requests as a table and as a stream of three files."""
+    rows = [(i % 3, i % 2, 1 + i % 3, [0, 1, 2][: 1 + i % 3], i % 3, 1_700_000_000 + i * 7 + 60 * (i // 20), 1048576, i % 3 == 2) for i in range(90)]
+    df = spark.createDataFrame(rows, "jobid int, server int, nnode int, candidates array<int>, chosen int, s long, nlen long, inter_server boolean").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    for k in range(3):
+        df.orderBy("ts").offset(30 * k).limit(30).coalesce(1).write.parquet(str(tmp_path / "in" / f"k{k}"))
+    return df, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+
+
+def run_stream(spark, out, tmp_path, name, mode="append"):
+    q = out.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name)
+
+
+def test_periods_and_decisions_as_streams(spark, tmp_path, requests):
+    """What a stream has finished is part of the batch form, and all of it but the last windows is finished."""
+    df, stream = requests
+    for name, form, cols in (("st2", lambda x: streams.active_periods(x, "jobid", "30 seconds"), ["jobid", "window_start", "window_end", "requests"]), ("st4", lambda x: streams.decision_rounds(x, "1 minute"), ["window_start", "ids", "chosen", "n"])):
+        done, whole = values(run_stream(spark, form(stream), tmp_path, name), *cols), values(form(df), *cols)
+        assert set(done) <= set(whole) and len(done) >= len(whole) - 6 and done
+
+
+def test_fairness_rounds_as_stream(spark, tmp_path, requests):
+    df, stream = requests
+    q = streams.write_fairness_rounds(stream, 7, str(tmp_path / "rounds"), str(tmp_path / "c3"), "1 minute").start()
+    q.processAllAvailable()
+    q.stop()
+    cols = ["window_start", "jobid", "ops", "nnode", "scale"]
+    done, whole = values(spark.read.parquet(str(tmp_path / "rounds")), *cols), values(streams.fairness_rounds(df, 7, "1 minute"), *cols)
+    assert set(done) <= set(whole) and len(done) >= len(whole) - 6 and done
+
+
+def test_lost_connections_as_stream(spark, tmp_path, requests):
+    df, stream = requests
+    beats = lambda x: x.select(F.when(F.col("ts") < F.timestamp_seconds(F.lit(1_700_000_200)), F.col("jobid")).otherwise(9).cast("long").alias("conn_id"), "ts", "inter_server")
+    done = values(run_stream(spark, streams.stream_lost_connections(beats(stream), 60), tmp_path, "st5"), "conn_id", "last_us")
+    assert done == values(streams.lost_connections(beats(df), 60), "conn_id", "last_us") and len(done) == 2
