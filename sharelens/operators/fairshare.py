@@ -21,6 +21,13 @@ def policy_key_weight(jobs: DataFrame, policy: str) -> DataFrame:
     return jobs.withColumns({"key": key, "weight": F.col("nnode").cast("int") if policy == "size-fair" else F.lit(1)})
 
 
+def with_totals(df: DataFrame, sets: list[str], **totals: Column) -> DataFrame:
+    """`df` with totals of each of its `sets`, or, without sets, of all rows: these are one row, which is broadcast, so no task holds all rows."""
+    if sets:
+        return df.withColumns({name: total.over(Window.partitionBy(*sets)) for name, total in totals.items()})
+    return df.crossJoin(F.broadcast(df.agg(*[total.alias(name) for name, total in totals.items()])))
+
+
 def promised_share(active: DataFrame, sets: list[str]) -> DataFrame:
     """adds `promised`, the weight of a key over that of all keys active in its set (`sets`)."""
     return active.withColumn("promised", F.col("weight") / F.sum("weight").over(Window.partitionBy(*sets)))
@@ -35,10 +42,10 @@ def cumulative_probability(jobs: DataFrame, weight: Column | None = None, sets:
 
 def global_scale(job_ops: DataFrame, n_servers: int, sets: list[str] = ()) -> DataFrame:
     """adds `scale` to (jobid, nnode, ops): how far a job lies behind its node share, at most n_servers; very few ops get a fixed small one."""
-    by = Window.partitionBy(*(sets or [F.lit(0)]))
+    rows = with_totals(job_ops, list(sets), _ops=F.sum("ops"), _nodes=F.sum("nnode"))
     ops = F.col("ops") + 1
-    scale = F.least(F.col("nnode") * F.sum("ops").over(by) / (ops * F.sum("nnode").over(by)), F.lit(float(n_servers)))
-    return job_ops.withColumn("scale", F.when(ops < FEW_OPS, FEW_OPS_SCALE).otherwise(scale))
+    scale = F.least(F.col("nnode") * F.col("_ops") / (ops * F.col("_nodes")), F.lit(float(n_servers)))
+    return rows.withColumn("scale", F.when(ops < FEW_OPS, FEW_OPS_SCALE).otherwise(scale)).drop("_ops", "_nodes")
 
 
 def apply_scale(jobs: DataFrame, scale: DataFrame) -> DataFrame:
@@ -63,14 +70,11 @@ def time_quota(jobs: DataFrame, policy: str, cycle_us: float = CYCLE_US, normali
     """adds `quota_us`. Composite policies divide as written, so that quotas needn't sum to the cycle; `normalized` makes them."""
     if policy not in QUOTA_POLICIES:
         raise ValueError(f"no quota for policy {policy!r}")
-    everyone, user = Window.partitionBy(F.lit(0)), Window.partitionBy("uid")
     w = F.col("nnode") if policy in ("size-fair", "user-size-fair") else F.lit(1)
-    if policy in ("job-fair", "user-fair"):
-        return jobs.withColumn("quota_us", cycle_us / F.count("*").over(everyone))
-    if policy == "size-fair":
-        return jobs.withColumn("quota_us", cycle_us * w / F.sum(w).over(everyone))
-    rows = jobs.withColumn("_part", w / F.sum(w).over(user))
-    return rows.withColumn("quota_us", cycle_us * (F.col("_part") if normalized else w) / F.sum("_part").over(everyone)).drop("_part")
+    if policy in ("job-fair", "user-fair", "size-fair"):
+        return with_totals(jobs, [], _all=F.sum(w)).withColumn("quota_us", cycle_us * w / F.col("_all")).drop("_all")
+    rows = jobs.withColumn("_part", w / F.sum(w).over(Window.partitionBy("uid")))
+    return with_totals(rows, [], _all=F.sum("_part")).withColumn("quota_us", cycle_us * (F.col("_part") if normalized else w) / F.col("_all")).drop("_part", "_all")
 
 
 def share_report(counts: DataFrame, sets: list[str]) -> DataFrame:
