@@ -5,9 +5,11 @@ quantile sketch: a log-linear histogram that keeps a value's SIGNIFICANT
 leading bits, so that a quantile is off by at most 1/2^(SIGNIFICANT-1) of
 itself, and two sketches are merged by adding counts. Sketches are kept per
 (lang, source, rate) as rows, are merged upward to languages and to the whole
-corpus, and yield fences SPREADS interquartile ranges beyond the quartiles,
-never closer than the rate's least spread. A group of fewer than LEAST_ROWS
-documents uses the sketch of its language, or else that of the corpus.
+corpus, and give the quartiles at each level. Those of a group are blended with
+those of its language, and these with those of the corpus, in proportion to the
+rows behind them: the level above counts as much as LEAN rows, so that a small group
+leans on it and a large one stands for itself. Fences lie SPREADS interquartile
+ranges beyond the blended quartiles; nothing else sets them.
 Documents are joined with their group's fences.
 """
 
@@ -24,9 +26,9 @@ from .common import ship, stage
 
 ship(__name__)
 
-SIGNIFICANT, SPREADS, LEAST_ROWS, REPEAT_WINDOW = 6, 3, 100, 8
-#: Rates, and how far beyond a quartile a fence is at least. The last one has a lower fence too.
-RATES = {"symbol_rate": 500, "repeat_rate": 2000, "dup_line_rate": 3000, "upper_rate": 1500, "mark_rate": 1000, "word_length": 150}
+SIGNIFICANT, SPREADS, LEAN, REPEAT_WINDOW = 6, 3, 100, 8
+#: All have an upper fence, word_length a lower one too.
+RATES = ["symbol_rate", "repeat_rate", "dup_line_rate", "upper_rate", "mark_rate", "word_length"]
 _BLANKS, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_marks"]
 
@@ -102,10 +104,11 @@ def fences(sketch: DataFrame) -> DataFrame:
     lang = lang.select("lang", "rate", F.struct("n", "q1", "q3").alias("of_lang"))
     whole = whole.select("rate", F.struct("n", "q1", "q3").alias("of_all"))
     each = own.select("lang", "source", "rate", F.struct("n", "q1", "q3").alias("own")).join(lang, ["lang", "rate"]).join(F.broadcast(whole), "rate")
-    each = each.withColumn("q", F.when(F.col("own.n") >= LEAST_ROWS, F.col("own")).when(F.col("of_lang.n") >= LEAST_ROWS, F.col("of_lang")).otherwise(F.col("of_all")))
-    least = F.create_map(*[F.lit(x) for kv in RATES.items() for x in kv])[F.col("rate")]
-    room = F.greatest(least, SPREADS * (F.col("q.q3") - F.col("q.q1")))
-    each = each.select("lang", "source", "rate", (F.col("q.q1") - room).alias("low"), (F.col("q.q3") + room).alias("high"))
+    blend = lambda level, q, above: (F.col(f"{level}.n") * F.col(f"{level}.{q}") + LEAN * above) / (F.col(f"{level}.n") + LEAN)
+    q1, q3 = (blend("own", q, blend("of_lang", q, F.col(f"of_all.{q}"))) for q in ("q1", "q3"))
+    each = each.select("lang", "source", "rate", q1.alias("q1"), q3.alias("q3"))
+    room = SPREADS * (F.col("q3") - F.col("q1"))
+    each = each.select("lang", "source", "rate", (F.col("q1") - room).alias("low"), (F.col("q3") + room).alias("high"))
     pick = lambda rate, c: F.max(F.when(F.col("rate") == rate, F.col(c))).alias(f"{rate}_{c}")
     return each.groupBy("lang", "source").agg(*[pick(r, c) for r in RATES for c in ("low", "high")])
 
@@ -117,7 +120,8 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     fail the base rules; null languages and sources form groups of their own.
     Repeated rows count as often as they occur.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("text").cast("binary").alias("data"))
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(c)  # noqa: E731  null is another group than an empty name
+    rows = docs.select("doc_id", name("lang"), name("source"), F.col("text").cast("binary").alias("data"))
     rows = rows.mapInArrow(_counted, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
     share = lambda a, b, scale: F.expr(f"{a} * {scale} div greatest({b}, 1)")
     rows = rows.withColumns({"symbol_rate": share("n_symbols", "n_words", 10000), "repeat_rate": share("n_repeat_words", "n_words", 10000), "dup_line_rate": share("n_dup_lines", "n_lines", 10000), "upper_rate": share("n_upper", "n_letters", 10000), "mark_rate": share("n_marks", "n_words", 10000), "word_length": share("word_chars", "n_words", 100)})
