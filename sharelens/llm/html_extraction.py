@@ -10,8 +10,10 @@ exact marginals; text pieces at 0.5 or more are the main text.
 
 Weights and potentials are fitted on labelled pages: a bounded sample whose
 text pieces are labelled main text where they are a line of the document that
-the page shares most lines with, or begin as it does (headings). Lines of more
-than COMMON documents name none. The weights have prior means from the
+the page shares most lines with, or begin as it does (headings). Documents of one text count
+as one, and lines of more than COMMON of them, or of the share COMMON_SHARE if that is more, name none. Pages of over
+LABELLED_CHARS characters aren't in the sample, names that one page alone has keep their prior, and equal nodes are counted
+once, so that what the driver holds has a bound. The weights have prior means from the
 usual names of page parts, so that parts no labelled page has are known too.
 """
 
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ from .common import ship, stage
 ship(__name__)
 
 #: At most so many pages are labelled, in the order of a hash of page_id.
-LABELLED_PAGES = 400
-COMMON, HEAD_CHARS, PRIOR_PRECISION, STEPS = 50, 20, 0.5, 300
+LABELLED_PAGES, LABELLED_CHARS = 400, 50_000
+COMMON, COMMON_SHARE, HEAD_CHARS, PRIOR_PRECISION, STEPS = 50, 2e-5, 20, 0.5, 300
 # Elements by how a browser treats them, and names of page parts.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "option", "button"}
@@ -58,6 +60,7 @@ class Node:
 def parse(page: str | None) -> list[Node]:
     """Nodes in page order, the root first; a text piece has tag "#" and `cut` if a block boundary lies before it."""
     page, nodes, stack, at, cut = page or "", [Node("html", -1)], [0], 0, True
+    blocks, opened = [], Counter()  # places in the stack that hold blocks; how many of each tag are open: so no tag searches the stack in vain
 
     def add_text(raw: str) -> None:
         nonlocal cut
@@ -65,6 +68,12 @@ def parse(page: str | None) -> list[Node]:
             nodes.append(Node("#", stack[-1], text=html.unescape(raw), cut=cut))
             cut = False
 
+    def close(depth: int) -> None:
+        opened.subtract(nodes[i].tag for i in stack[depth:])
+        del stack[depth:]
+        while blocks and blocks[-1] >= depth:
+            blocks.pop()
+
     while at < len(page):
         found = _OPEN.search(page, at)
         if not found:
@@ -79,21 +88,22 @@ def parse(page: str | None) -> list[Node]:
         attributes, at = page[at:end], end
         cut = cut or tag in BLOCKS
         if found[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == tag:
-                    del stack[depth:]
-                    break
+            if opened[tag] > 0:
+                depth = len(stack) - 1
+                while nodes[stack[depth]].tag != tag:
+                    depth -= 1
+                close(depth)
             continue
         if tag in ("html", "body", "head"):
             if tag == "body":
-                del stack[1:]
+                close(1)
         elif tag in CLOSES or tag in CLOSES_P:
             ends = CLOSES.get(tag, {"p"})
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in reversed(blocks):
                 if nodes[stack[depth]].tag in ends:
-                    del stack[depth:]
+                    close(depth)
                     break
-                if nodes[stack[depth]].tag in BLOCKS - {"p"}:
+                if nodes[stack[depth]].tag != "p":
                     break
         names = tuple(w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()) if w)
         nodes.append(Node(tag, stack[-1], names))
@@ -102,10 +112,13 @@ def parse(page: str | None) -> list[Node]:
         if tag in VOID or attributes.endswith("/>") and tag not in BLOCKS:
             continue
         if tag in OPAQUE:
-            close = re.compile(f"</{tag}[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            end_tag = re.compile(f"</{tag}[^>]*>?", re.I).search(page, at)
+            at = end_tag.end() if end_tag else len(page)
             continue
         stack.append(len(nodes) - 1)
+        opened[tag] += 1
+        if tag in BLOCKS:
+            blocks.append(len(stack) - 1)
     for i in range(len(nodes) - 1, 0, -1):  # children come after their parents
         node, up = nodes[i], nodes[nodes[i].parent]
         if node.tag == "#":
@@ -119,7 +132,7 @@ def node_features(nodes: list[Node], i: int) -> list[tuple[str, float]]:
     node = nodes[i]
     if node.tag == "#":
         return [("text", 1.0)]
-    found = [("bias", 1.0), ("tag:" + node.tag, 1.0), ("links", node.linked / max(1, node.chars))]
+    found = [("bias", 1.0), ("tag:" + node.tag, 1.0), ("links", round(node.linked / max(1, node.chars), 2))]
     return found + [("name:" + w, 1.0) for w in set(node.names)]
 
 
@@ -187,18 +200,19 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(pages: DataFrame, docs: DataFrame, bound: int = LABELLED_PAGES) -> tuple[dict[str, float], np.ndarray]:
     """(weights, edge potentials). Without labelled pages the prior means decide."""
-    sample = stage(pages.select(F.col("page_id").cast("long").alias("page_id"), "html").where("page_id IS NOT NULL AND html IS NOT NULL").orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(bound).dropDuplicates(["page_id"]), "labelled-pages")
+    sample = stage(pages.select(F.col("page_id").cast("long").alias("page_id"), "html").where(f"page_id IS NOT NULL AND length(html) <= {LABELLED_CHARS}").orderBy(F.xxhash64("page_id"), F.xxhash64("html")).limit(bound).dropDuplicates(["page_id"]), "labelled-pages")
     pieces = stage(sample.mapInArrow(_pieces, "page_id long, node int, piece string"), "pieces")
     tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     keys = pieces.select("page_id", "node", F.explode(F.array(F.xxhash64(F.lit("line"), "piece"), F.xxhash64(F.lit("head"), F.substring("piece", 1, HEAD_CHARS)))).alias("key"))
     wanted = F.broadcast(keys.select("key").distinct())  # a bounded sample's pieces
+    docs = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("doc_id"), "text")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.xxhash64(F.lit("line"), tidy(F.col("line"))).alias("key"))
     heads = docs.select("doc_id", F.xxhash64(F.lit("head"), F.substring(tidy(F.substring("text", 1, 8 * HEAD_CHARS)), 1, HEAD_CHARS)).alias("key"))
     known = stage(lines.unionByName(heads).join(wanted, "key", "left_semi").distinct(), "known")
-    rare = known.groupBy("key").count().where(F.col("count") <= COMMON).select("key")
+    rare = known.groupBy("key").count().where(F.col("count") <= max(COMMON, COMMON_SHARE * docs.count())).select("key")
     met = stage(keys.join(known.join(rare, "key"), "key"), "met")
-    best = met.groupBy("page_id", "doc_id").agg(F.countDistinct("node").alias("n")).groupBy("page_id").agg(F.max(F.struct("n", -F.col("doc_id"))).alias("best"))
-    best = best.select("page_id", (-F.col("best.col2")).alias("doc_id"))
+    best = met.groupBy("page_id", "doc_id").agg(F.countDistinct("node").alias("n")).groupBy("page_id").agg(F.max(F.struct("n", "doc_id")).alias("best"))
+    best = best.select("page_id", "best.doc_id")
     good = met.join(best, ["page_id", "doc_id"]).select("page_id", "node").distinct()
     labels = defaultdict(set)
     for r in good.collect():
@@ -208,7 +222,8 @@ def train(pages: DataFrame, docs: DataFrame, bound: int = LABELLED_PAGES) -> tup
 
 def fit(pages: list[tuple[list[Node], set[int]]]) -> tuple[dict[str, float], np.ndarray]:
     """Weights by logistic loss with prior means, edge potentials from smoothed counts, over labelled nodes."""
-    rows, ys, edge = [], [], np.array([[[50.0, 0.05], [2.0, 6.0]], [[50.0, 0.05], [1.0, 20.0]]])
+    counted, edge = Counter(), np.array([[[50.0, 0.05], [2.0, 6.0]], [[50.0, 0.05], [1.0, 20.0]]])
+    on_pages = Counter(f for nodes, _ in pages for f in {f for i in range(1, len(nodes)) if nodes[i].chars for f, _ in node_features(nodes, i)})
     for nodes, good in pages:
         y = [False] * len(nodes)
         for i in good:
@@ -217,23 +232,25 @@ def fit(pages: list[tuple[list[Node], set[int]]]) -> tuple[dict[str, float], np.
         for i in range(1, len(nodes)):
             if nodes[i].chars:
                 edge[int(nodes[i].tag == "#"), int(y[nodes[i].parent]), int(y[i])] += 1
-                rows.append(node_features(nodes, i))
-                ys.append(y[i])
+                known = tuple(sorted(x for x in node_features(nodes, i) if on_pages[x[0]] > 1 or len(pages) == 1))
+                other = sum(prior_mean(f) * v for f, v in node_features(nodes, i) if on_pages[f] == 1 and len(pages) > 1)
+                counted[known, round(other, 2), y[i]] += 1
     edge = edge / edge.sum(axis=2, keepdims=True)
-    names = sorted({f for r in rows for f, _ in r})
-    if not rows:
+    names = sorted({f for known, _, _ in counted for f, _ in known})
+    if not names:
         return {}, edge
     at = {f: k for k, f in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
-    for i, r in enumerate(rows):
-        for f, v in r:
+    x, other, y, n = np.zeros((len(counted), len(names))), np.zeros(len(counted)), np.zeros(len(counted)), np.zeros(len(counted))
+    for i, ((known, more, label), times) in enumerate(sorted(counted.items())):
+        other[i], y[i], n[i] = more, label, times
+        for f, v in known:
             x[i, at[f]] += v
-    y, mean = np.array(ys, float), np.array([prior_mean(f) for f in names])
+    mean = np.array([prior_mean(f) for f in names])
     w = mean.copy()
-    hess = x.T @ x / 4 + PRIOR_PRECISION * np.eye(len(names))  # a bound of the curvature: steps never overshoot
+    step = np.linalg.inv((x * n[:, None]).T @ x / 4 + PRIOR_PRECISION * np.eye(len(names)))  # of a bound of the curvature: steps never overshoot
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w = w - np.linalg.solve(hess, x.T @ (p - y) + PRIOR_PRECISION * (w - mean))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + other, -30, 30)))
+        w = w - step @ (x.T @ (n * (p - y)) + PRIOR_PRECISION * (w - mean))
     return dict(zip(names, map(float, w))), edge
 
 
