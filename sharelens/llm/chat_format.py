@@ -4,6 +4,9 @@ The longest common prefix of the two conversations' turns (equal role and text)
 is rendered once as the prompt; what follows in each is its completion. The
 mask of a completion lists what is trained on: the text and end mark of the
 assistant's turns, as code-point spans start:end in the completion.
+
+Marks begin with "<|". Where a role or text has these characters, they are
+rendered as "< |", so that what a user writes can't forge a turn.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-START, MIDDLE, END = "<|", "|>\n", "<|end|>\n"
+START, MIDDLE, END, ESCAPED = "<|", "|>\n", "<|end|>\n", "< |"
 TRAINED_ROLE = "assistant"
 
 
@@ -41,7 +44,8 @@ def format_preferences(conversations: DataFrame) -> DataFrame:
     no conversation and are left out. A conversation is one rendered text, so
     it is the unit that a task holds. Equal conversations have empty completions.
     """
-    rows = conversations.where("conv_id IS NOT NULL").select(F.expr("(conv_id - pmod(conv_id, 2)) div 2").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    plain = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit(START), F.lit(ESCAPED)).alias(c)
+    rows = conversations.where("conv_id IS NOT NULL").select(F.expr("(conv_id - pmod(conv_id, 2)) div 2").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", plain("role"), plain("text"))
     pairs = rows.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("side", "turn", "role", "text"))).alias("turns"))
     side = lambda k: F.transform(F.filter("turns", lambda t: t["side"] == k), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
     pairs = pairs.select("pair_id", side(0).alias("c"), side(1).alias("r"))
@@ -66,8 +70,8 @@ def format_sql(conversations: str = "conversations") -> str:
     FROM (SELECT s.*, sum(length(s.shown)) OVER (PARTITION BY s.pair_id ORDER BY s.i) AS upto FROM {source} s JOIN prefix p USING (pair_id) WHERE {keep}) GROUP BY pair_id)"""
 
     return f"""
-WITH turns AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
-    coalesce(role, '') AS role, coalesce(text, '') AS text FROM {conversations} WHERE conv_id IS NOT NULL),
+WITH turns AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, role, text
+    FROM (SELECT conv_id, turn, replace(coalesce(role, ''), '{START}', '{ESCAPED}') AS role, replace(coalesce(text, ''), '{START}', '{ESCAPED}') AS text FROM {conversations} WHERE conv_id IS NOT NULL)),
 c AS ({side(0)}), r AS ({side(1)}),
 sizes AS (SELECT pair_id, count(*) FILTER (side = 0) AS nc, count(*) FILTER (side = 1) AS nr FROM turns GROUP BY pair_id),
 differ AS (SELECT pair_id, min(i) AS i FROM (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.i, r.i) AS i, c.role = r.role AND c.text = r.text AS same FROM c FULL JOIN r ON c.pair_id = r.pair_id AND c.i = r.i) WHERE same IS NOT TRUE GROUP BY pair_id),
