@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import BLANKS, WORD, stage
 
 SEED, EPOCHS = 7, 2
 #: The budget, in percent of the tokens there are, and the weights of languages; others weigh LANG_DEFAULT.
@@ -53,19 +53,36 @@ def deal(nodes: DataFrame, keys: list[str], parent: list[str], budgets: DataFram
     return rows.withColumn("budget", F.when(F.col("stop").isNull() | (F.col("rank") < F.col("stop.rank")), F.col("supply")).otherwise(F.least("supply", share))).select(*keys, "weight", "supply", "budget")
 
 
-def leaf_budgets(leaves: DataFrame, budget: DataFrame) -> DataFrame:
-    """(domain, lang, source, budget) from `leaves` (domain, lang, source, supply) and the one-row `budget`. Domains and sources weigh alike."""
+def weighted(nodes: DataFrame, keys: list[str], weights: DataFrame | None, default: Column) -> DataFrame:
+    """`nodes` with `weight`: that of the row of `weights` which names just `keys`, else `default`."""
+    if weights is None:
+        return nodes.withColumn("weight", default)
+    named = weights.where(" AND ".join(f"{k} IS {'NOT ' if k in keys else ''}NULL" for k in _LEAF))
+    named = named.groupBy(*keys).agg(F.max(F.greatest(F.coalesce(F.col("weight").cast("long"), F.lit(0)), F.lit(0))).alias("weight"))
+    return nodes.join(named, keys, "left").withColumn("weight", F.coalesce("weight", default.cast("long")))
+
+
+def leaf_budgets(leaves: DataFrame, budget: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(domain, lang, source, budget) from `leaves` (domain, lang, source, supply) and the one-row `budget`.
+
+    `weights` (domain, lang, source, weight) is a table of target weights, whole numbers. A row whose lang and source are null
+    weighs a domain against the others, one whose source is null a language within its domain, a full one a
+    source within both. A weight of 0, below 0 or null gives nothing; of repeated rows the largest holds. Nodes without a row have the default:
+    LANG_WEIGHTS for languages, 1 for domains and sources, which is all that counts if there is no table.
+    """
     langs = leaves.groupBy("domain", "lang").agg(F.sum("supply").alias("supply"))
-    domains = langs.groupBy("domain").agg(F.sum("supply").alias("supply")).withColumn("weight", F.lit(1))
+    domains = langs.groupBy("domain").agg(F.sum("supply").alias("supply"))
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in LANG_WEIGHTS.items() for x in kv])[F.col("lang")], F.lit(LANG_DEFAULT))
-    dealt = deal(domains, ["domain"], [], budget)
-    dealt = deal(langs.withColumn("weight", weight), ["domain", "lang"], ["domain"], dealt.select("domain", "budget"))
-    return deal(leaves.withColumn("weight", F.lit(1)), _LEAF, ["domain", "lang"], dealt.select("domain", "lang", "budget")).select(*_LEAF, "budget")
+    dealt = deal(weighted(domains, ["domain"], weights, F.lit(1)), ["domain"], [], budget)
+    dealt = deal(weighted(langs, ["domain", "lang"], weights, weight), ["domain", "lang"], ["domain"], dealt.select("domain", "budget"))
+    return deal(weighted(leaves, _LEAF, weights, F.lit(1)), _LEAF, ["domain", "lang"], dealt.select("domain", "lang", "budget")).select(*_LEAF, "budget")
 
 
-def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, seed: int = SEED, weights: DataFrame | None = None, carry: bool = False) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, tokens, taken): a row for each document and epoch that is taken.
 
+    `weights` is a table of target weights (see leaf_budgets). With `carry` the whole row of `docs` comes along as `_row`.
+
     Tokens are runs of anything but blanks. Null languages and sources are
     named "". Texts without tokens, null ones included, supply nothing and are
     never taken. In an epoch, documents follow the MD5 of seed, epoch and
@@ -74,18 +91,20 @@ def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPO
     """
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     name = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    rows = docs.select("doc_id", name("lang"), name("source"), tokens.alias("tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")).where("tokens > 0")
+    own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
+    kept = ["_row"] if carry else []
+    rows = docs.select(*own, "doc_id", name("lang"), name("source"), tokens.alias("tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")).where("tokens > 0")
     rows = rows.withColumn("domain", domain_of(F.col("source")))
     rows = stage(rows, "tokens")
     leaves = rows.groupBy(*_LEAF).agg(F.sum("tokens").alias("size"), F.count("*").alias("n"))
     leaves = stage(leaves.withColumn("supply", F.col("size") * epochs), "leaves")
     budget = leaves.agg(F.expr(f"coalesce(sum(size), 0) * {int(budget_percent)} div 100").alias("budget"))
-    plan = leaf_budgets(leaves.select(*_LEAF, "supply"), budget).join(leaves, _LEAF)
+    plan = leaf_budgets(leaves.select(*_LEAF, "supply"), budget, weights).join(leaves, _LEAF)
     plan = plan.where("budget > 0").select(*_LEAF, F.expr("budget div size").alias("whole"), F.expr("budget % size").alias("rest"), F.expr(f"greatest(1, n div {BUCKET_ROWS})").alias("buckets"))
     plan = stage(plan, "plan")
 
     rows = rows.join(plan, _LEAF)
-    full = rows.where("whole > 0").select("doc_id", *_LEAF, F.explode(F.sequence(F.lit(0), (F.col("whole") - 1).cast("int"))).alias("epoch"), "tokens", F.col("tokens").alias("taken"))
+    full = rows.where("whole > 0").select(*kept, "doc_id", *_LEAF, F.explode(F.sequence(F.lit(0), (F.col("whole") - 1).cast("int"))).alias("epoch"), "tokens", F.col("tokens").alias("taken"))
 
     # The epoch that the budget ends in: sums by hash bucket find the bucket; only its rows are put in order.
     turn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -98,7 +117,7 @@ def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPO
     order = Window.partitionBy(*_LEAF, "bucket").orderBy("turn", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
     edge = part.where("before + sum > rest").withColumn("start", F.col("before") + F.coalesce(F.sum("tokens").over(order), F.lit(0)))
     edge = edge.where("start < rest").withColumn("taken", F.least("tokens", F.col("rest") - F.col("start")))
-    cols = ["doc_id", *_LEAF, F.col("whole").cast("int").alias("epoch"), "tokens", "taken"]
+    cols = [*kept, "doc_id", *_LEAF, F.col("whole").cast("int").alias("epoch"), "tokens", "taken"]
     return full.unionByName(inside.select(*cols)).unionByName(edge.select(*cols))
 
 
@@ -135,6 +154,19 @@ SELECT doc_id, domain, lang, source, epoch::INTEGER AS epoch, tokens::BIGINT AS
 """
 
 
+def prefix_of(text: Column, tokens: Column) -> Column:
+    """The first `tokens` tokens of a text and the blanks before and between them."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"(?:{BLANKS})?{WORD}"), F.lit(0)), F.lit(1), tokens.cast("int")), "")
+
+
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: what to train on, a row for each document and epoch taken."""
-    return mix(docs)
+    """Pipeline stage: the corpus to train on, a row for each document and epoch taken.
+
+    All columns of the documents, then epoch, tokens and taken. Where a budget ends within a document, its text is cut to the tokens taken.
+    """
+    taken = mix(docs, carry=True)
+    whole = F.col("_row.text")
+    text = F.when(F.col("taken") < F.col("tokens"), prefix_of(whole, F.col("taken"))).otherwise(whole)
+    own = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    more = [F.col(c).alias(c if c not in docs.columns else f"mix_{c}") for c in ("epoch", "tokens", "taken")]
+    return taken.select(*own, *more)
