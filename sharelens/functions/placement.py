@@ -6,7 +6,6 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
-import xxhash
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +23,8 @@ def xxh64_mod(path: Column, n: int) -> Column:
 
     @F.pandas_udf("int")
     def server(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import xxhash  # only this form of placement needs it
+
         for paths in batches:
             yield paths.map(lambda p: None if p is None else xxhash.xxh64_intdigest(p.encode()) % n).astype("Int32")
 

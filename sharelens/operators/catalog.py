@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import split_path
 from ..jobs.shared import shared_dir
 
+register_pickle_by_value(sys.modules[__name__])  # executors needn't have this package
+
 PAGE_LIMIT = 1 << 20
 
 
