@@ -8,11 +8,13 @@ that must find its rows again keys them by (`coalesce(doc_id, MISSING)`,
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import sys
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,10 +28,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 FILTER_WORDS = 1 << 17
 
 
+#: Paths of the tables written since the innermost `scratch` began.
+_WRITTEN: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; in tests without one, a new local folder."""
+    """The folder all executors share: the session's spark.checkpoint.dir; with a local master and none, a new local folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
@@ -38,14 +46,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors."""
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """`df` written to the shared folder as Parquet and read again: cuts the lineage, survives lost executors. What isn't to `keep` goes at the end of a `scratch`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _WRITTEN and not keep:
+        _WRITTEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that `stage` wrote within it and that aren't to be kept."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,26 +131,6 @@ def pairs_of_lists(marked: DataFrame) -> DataFrame:
     return x.join(y, "key").where("a < b AND ca <> cb").select("a", "b")
 
 
-def similar_pairs(marked: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs_of_lists whose sets reach a Jaccard similarity of `threshold`; `sets` has node and members.
-
-    A member that only one component holds is in no intersection between
-    components. What else a set has bounds the intersection, so pairs whose
-    bound is too small are passed over: in a group of copies that are edited each
-    in its own way these are most. The others are compared within the join of a
-    list with itself, so that only links leave it.
-    """
-    held = sets.join(marked.select("node", "comp").distinct(), "node").select("node", "comp", F.size("members").alias("n"), F.explode("members").alias("member"))
-    shared = held.groupBy("member").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("member")
-    rooms = held.join(shared, "member").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("m")).where(F.col("m") >= threshold * F.col("n"))
-    rows = stage(marked.join(rooms, "node").join(sets.select("node", "members"), "node").select("key", "node", "comp", "n", "m", "members"), "rooms")
-    x, y = (rows.select("key", *[F.col(c).alias(f"{c}{side}") for c in ("node", "comp", "n", "m", "members")]) for side in "ab")
-    common = F.size(F.array_intersect("membersa", "membersb"))
-    fits = F.least("ma", "mb") * (1 + threshold) >= threshold * (F.col("na") + F.col("nb"))
-    both = x.join(y, (x["key"] == y["key"]) & (F.col("nodea") < F.col("nodeb")) & (F.col("compa") != F.col("compb")) & fits & (common * (1 + threshold) >= threshold * (F.col("na") + F.col("nb"))))
-    return both.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b"))
-
-
 def linked_classes(
     posts: DataFrame, verify: Callable[[DataFrame], DataFrame], stars: int = 2, rest: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None
 ) -> DataFrame:
@@ -151,7 +153,6 @@ def linked_classes(
     comps, links, held = None, [], None
     if known is not None and not known.isEmpty():
         links.append(known)
-        comps = stage(components(known), "comps")
     for turn in range(stars + 1):
         if comps is None:
             marked = posts.withColumn("comp", F.col("node"))
@@ -180,13 +181,15 @@ def linked_classes(
                 break
             found = rest(open_)
         links.append(stage(found.select("a", "b"), "links"))
-        if links[-1].isEmpty():
+        if links[-1].isEmpty() and (comps is not None or len(links) == 1):
             links.pop()
             continue
         found = links[0]
         for more in links[1:]:
             found = found.unionByName(more)
         comps = stage(components(found), "comps")
+    if comps is None and links:
+        comps = stage(components(links[0]), "comps")
     if comps is None:
         comps = stage(posts.select("node", F.col("node").alias("comp")).limit(0), "comps")
     return comps
