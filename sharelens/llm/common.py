@@ -125,6 +125,17 @@ def components(edges: DataFrame) -> DataFrame:
     return root.join(least, "r").select("node", "comp")
 
 
+def joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, comp) after more `links` (a, b): only the components that these touch are united anew."""
+    for k in "ab":
+        links = links.join(comps.select(F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")), k, "left")
+    over = components(links.select(*[F.coalesce(f"comp_{k}", k).alias(k) for k in "ab"]))
+    over = stage(over.select(F.col("node").alias("comp"), F.col("comp").alias("least")), "joined")
+    old = comps.join(over, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp"))
+    new = over.join(comps.select(F.col("node").alias("comp")), "comp", "left_anti")
+    return old.unionByName(new.select(F.col("comp").alias("node"), F.col("least").alias("comp")))
+
+
 def pairs_of_lists(marked: DataFrame) -> DataFrame:
     """Pairs (a, b) of the nodes of each key of `marked` (key, node, comp) that lie in different components."""
     x, y = (marked.select("key", F.col("node").alias(n), F.col("comp").alias(f"c{n}")) for n in "ab")
@@ -150,9 +161,7 @@ def linked_classes(
     posts = posts if "score" in posts.columns else posts.withColumn("score", F.lit(0))
     posts = stage(posts.select("key", "node", "score").distinct(), "posts")
     rest = rest or (lambda marked: verify(stage(pairs_of_lists(marked).distinct(), "pairs")))
-    comps, links, held = None, [], None
-    if known is not None and not known.isEmpty():
-        links.append(known)
+    comps, held = None, None
     for turn in range(stars + 1):
         if comps is None:
             marked = posts.withColumn("comp", F.col("node"))
@@ -180,16 +189,15 @@ def linked_classes(
             if open_.isEmpty():
                 break
             found = rest(open_)
-        links.append(stage(found.select("a", "b"), "links"))
-        if links[-1].isEmpty() and (comps is not None or len(links) == 1):
-            links.pop()
-            continue
-        found = links[0]
-        for more in links[1:]:
-            found = found.unionByName(more)
-        comps = stage(components(found), "comps")
-    if comps is None and links:
-        comps = stage(components(links[0]), "comps")
+        found = stage(found.select("a", "b"), "links")
+        if comps is None:
+            first = found if known is None else found.unionByName(known.select("a", "b"))
+            if not first.isEmpty():
+                comps = stage(components(first), "comps")
+        elif not found.isEmpty():
+            comps = stage(joined(comps, found), "comps")
+    if comps is None and known is not None and not known.isEmpty():
+        comps = stage(components(known), "comps")
     if comps is None:
         comps = stage(posts.select("node", F.col("node").alias("comp")).limit(0), "comps")
     return comps
