@@ -709,10 +709,10 @@ def _(spark, d):
     return so.parse_table(rows.select(line.alias("value")), so.VARIABILITY).drop("ts")
 
 
-@query("s7_parse_target_io", f"SELECT sample * 86400 AS t, target, {', '.join(f'round({c}, 3) AS {c}' for c in so.TARGET_IO)} FROM ({TARGETS})")
+@query("s7_parse_target_io", f"SELECT sample * 86400 AS t, target, {', '.join(f'round({c}, 9) AS {c}' for c in so.TARGET_IO)} FROM ({TARGETS})")
 def _(spark, d):
     day = F.date_format(F.timestamp_add("SECOND", F.col("sample") * 86400, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd:HH:mm:ss")
-    line = F.concat_ws("\t", day, *[F.coalesce(F.round(c, 3).cast("string"), F.lit("-")) for c in so.TARGET_IO])
+    line = F.concat_ws("\t", day, *[F.coalesce(F.round(c, 9).cast("string"), F.lit("-")) for c in so.TARGET_IO])
     return so.parse_target_io(_targets(spark, d).select(F.concat(F.lit("/log/ost"), "target").alias("file"), line.alias("value"))).drop("sample")
 
 
