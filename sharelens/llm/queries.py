@@ -16,6 +16,7 @@ from .near_dedup import near_duplicates
 from .pii import personal_data
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .token_alignment import align_tokenizers
 from .toxicity import toxicity
 
 
@@ -59,8 +60,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_line_dedup, op3_html_extraction, op4_mixing, op5_chat_format, op6_pii, op7_decontamination, op8_near_dedup, op9_quality_classifier, op10_toxicity)}
+    found = [op1_quality_rules, op2_line_dedup, op3_html_extraction, op4_mixing, op5_chat_format, op6_pii]
+    found += [op7_decontamination, op8_near_dedup, op9_quality_classifier, op10_toxicity, op11_token_alignment]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
