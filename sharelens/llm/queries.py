@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroid_clustering import cluster_sql, cluster_vectors
 from .chat_format import format_preferences, format_sql
 from .common import table
 from .decontamination import decontaminate
@@ -16,6 +17,7 @@ from .near_dedup import near_duplicates
 from .pii import personal_data
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
+from .substring_dedup import dedup_substrings, substring_sql
 from .token_alignment import align_tokenizers
 from .toxicity import toxicity
 
@@ -64,11 +66,25 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokenizers(table(spark, sf_dir, "documents"))
 
 
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_quality_rules, op2_line_dedup, op3_html_extraction, op4_mixing, op5_chat_format, op6_pii]
     found += [op7_decontamination, op8_near_dedup, op9_quality_classifier, op10_toxicity, op11_token_alignment]
+    found += [op12_centroid_clustering, op13_substring_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mix_sql(), "op5_chat_format": format_sql()}
+    return {
+        "op4_mixing": mix_sql(),
+        "op5_chat_format": format_sql(),
+        "op12_centroid_clustering": cluster_sql(),
+        "op13_substring_dedup": substring_sql(),
+    }

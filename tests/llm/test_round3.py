@@ -4,10 +4,11 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sharelens.llm import token_alignment
+from sharelens.llm import centroid_clustering, substring_dedup, token_alignment
 
 ODD = [
     None, "", " ", "  ", "\n", "\n\n a", "a\r\nb", "x  y", "x　y   z  q", "<|endoftext|> <s>", "▁a", "éé",
@@ -109,3 +110,106 @@ def test_gallop():
         x[-1:], y[-1:] = [400], [400]
         x, y = sorted(set(x)), sorted(set(y))
         assert list(token_alignment.gallop(x, y)) == [sum(v < u for v in y) for u in x]
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def clustered_slowly(rows, k, rounds, dimensions, scale):
+    """{position: (cluster, distance)}, inertia by cluster, final centroids; all in Python's whole numbers."""
+    kept = [(i, v) for i, v in rows if v is not None and len(v) == dimensions and all(x is not None and abs(x) < float("inf") for x in v)]
+    whole = [[int(np.floor(scale * float(np.float32(x)))) for x in v] for _, v in kept]
+    rank = lambda j: (kept[j][0] is None, hashlib.sha256(f"1:{kept[j][0]}".encode()).hexdigest(), whole[j])
+    centroids = [whole[j] for j in sorted(range(len(kept)), key=rank)[:k]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), n) for n, c in enumerate(centroids))
+    for _ in range(rounds):
+        own = [near(v)[1] for v in whole]
+        for n in range(len(centroids)):
+            if mine := [v for v, o in zip(whole, own) if o == n]:
+                centroids[n] = [sum(x) // len(mine) for x in zip(*mine)]
+    found = [(kept[j][0], near(v)[1], near(v)[0]) for j, v in enumerate(whole)]
+    inertia = Counter()
+    for _, c, d in found:
+        inertia[c] += d
+    sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return [(i, c, d, inertia[c], sum(inertia.values()), sha[c]) for i, c, d in found]
+
+
+@pytest.mark.parametrize("spread", [1, 30, 2_000_000])
+def test_clusters_against_brute_force(spark, rows_of, spread):
+    """Few values make ties, repeated vectors and empty clusters; large ones sums beyond 2^32."""
+    rng = random.Random(spread)
+    rows = [(i, [rng.randint(-spread, spread) / 3 for _ in range(5)]) for i in range(60)]
+    rows += [(60, None), (61, []), (62, [1.0] * 4), (63, [1.0, None, 1.0, 1.0, 1.0]), (64, [float("nan")] * 5), (65, [float("inf")] * 5)]
+    rows += [(3, rows[3][1]), (None, rows[4][1]), (None, [0.5] * 5)]
+    df = spark.createDataFrame([(*r, 0) for r in rows], VECTORS).withColumn("cluster", F.lit("clash")).withColumn("v", F.lit(1))
+    for parts in (1, 7):
+        got = centroid_clustering.cluster_vectors(df.repartition(parts), k=9, rounds=3, dimensions=5).collect()
+        columns = ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
+        assert rows_of(got, columns) == sorted(clustered_slowly(rows, 9, 3, 5, 64), key=lambda x: tuple((v is None, str(v)) for v in x))
+
+
+def test_clusters_of_few_or_no_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], 0), (2, [3.0, 4.0], 0)], VECTORS)
+    got = centroid_clustering.cluster_vectors(df, k=16, dimensions=2).collect()
+    assert sorted((r.vec_id, r.distance, r.inertia) for r in got) == [(1, 0, 0), (2, 0, 0)] and len({r.cluster for r in got}) == 2
+    assert centroid_clustering.cluster_vectors(df.where("false"), dimensions=2).collect() == []
+
+
+def test_threshold_walk_stops_early_and_meets_ties():
+    rng = np.random.default_rng(3)
+    for k, d in ((1, 3), (2, 1), (16, 2), (40, 6)):
+        for high in (3, 1000):
+            x, c = rng.integers(-high, high, (300, d)), rng.integers(-high, high, (k, d))
+            exact = ((x[:, None] - c[None]) ** 2).sum(2)
+            number, distance = centroid_clustering.nearest(x, c)
+            assert (number == exact.argmin(1)).all() and (distance == exact.min(1)).all()
+
+
+def cut_slowly(rows, window):
+    """(doc_id, n_words, n_removed, kept) of each (doc_id, text)."""
+    words = [(i, (t or "").encode().split()) for i, t in rows]
+    order = lambda i: 2**63 - 1 if i is None else i
+    least = {}
+    for i, w in words:
+        for k in range(len(w) - window + 1):
+            x = tuple(w[k : k + window])
+            least[x] = min(least.get(x, 2**63), order(i))
+    out = []
+    for i, w in words:
+        gone = {j for k in range(len(w) - window + 1) if least[tuple(w[k : k + window])] < order(i) for j in range(k, k + window)}
+        kept = b" ".join(x for j, x in enumerate(w) if j not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [256, 1, 0])
+@pytest.mark.parametrize("window,gram", [(13, 6), (5, 5), (4, 1)])
+def test_substrings_against_brute_force(spark, rows_of, window, gram, hot):
+    rng = random.Random(window)
+    passages = [sequence(rng, n, 1000) for n in (5, 13, 14, 40)]
+    rows = [(i, f"{sequence(rng, rng.randint(0, 30), 300)} {rng.choice(passages)}\n{sequence(rng, rng.randint(0, 30), 300)}") for i in range(80)]
+    rows += [(80 + i, passages[3]) for i in range(30)]  # copies
+    rows += [(200, None), (201, ""), (202, " \t\n"), (203, "one"), (204, "é\u3000x " * 40), (205, "é\u3000x " * 41), (206, "a " * 3000), (207, "a " * 20)]
+    rows += [(5, rows[5][1]), (5, passages[3]), (None, passages[3]), (None, sequence(rng, 60)), (None, passages[2] + " end"), (-3, passages[2])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("m", "run", "doc", "starts", "_x")})
+    for parts in (1, 5):
+        got = substring_dedup.dedup_substrings(df.repartition(parts), window=window, gram=gram, hot=hot).collect()
+        want = cut_slowly(rows, window)
+        assert rows_of(got, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]) == sorted(want, key=lambda x: tuple((v is None, str(v)) for v in x))
+
+
+def test_substrings_of_an_empty_table(spark):
+    assert substring_dedup.dedup_substrings(documents(spark, ["x"]).where("false")).collect() == []
+
+
+def test_super_k_mers_hold_each_window_once():
+    rng, known = random.Random(2), substring_dedup._Words()
+    for _ in range(200):
+        words = sequence(rng, rng.randint(0, 60), rng.choice([1, 3, 50])).encode().split()
+        window = rng.randint(1, 15)
+        gram = rng.randint(1, window)
+        _, start, n = substring_dedup.runs(words, known, window, gram)
+        covered = [s + k for s, size in zip(start.tolist(), n.tolist()) for k in range(size)]
+        assert covered == list(range(max(0, len(words) - window + 1)))
