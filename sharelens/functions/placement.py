@@ -10,6 +10,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scans import unfolded
 from .scalars import ROOT
 
 register_pickle_by_value(sys.modules[__name__])
@@ -49,7 +50,7 @@ def place(path: Column, n_servers: int, hash: str = "xxh64", root: str = ROOT) -
 def stripe_requests(requests: DataFrame, n_servers: int, stripe: int = STRIPE) -> DataFrame:
     """Requests (…, home, off, nlen) cut at stripe boundaries: adds shift, piece_off, piece_len, server. A length of 0 gives one piece of 0."""
     first, last = F.expr(f"off div {stripe}"), F.expr(f"(off + greatest(nlen, 1) - 1) div {stripe}")
-    rows = requests.withColumn("shift", F.explode(F.sequence(first, last)))
+    rows = unfolded(requests, "shift", first, last)
     rows = rows.withColumn("piece_off", F.greatest("off", F.col("shift") * stripe))
     rows = rows.withColumn("piece_len", F.least(F.col("off") + F.col("nlen"), (F.col("shift") + 1) * stripe) - F.col("piece_off"))
     return rows.withColumn("server", ((F.col("home") + F.col("shift")) % n_servers).cast("int"))

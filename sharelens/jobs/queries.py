@@ -465,7 +465,18 @@ SELECT hour, coalesce(min(CASE WHEN upto > whole * (hour % 97) / 97.0 THEN key E
 def _(spark, d):
     a = _active(spark, d)
     draws = a.groupBy("hour").agg((F.sum("weight") * (F.col("hour") % 97) / 97.0).alias("r"))
-    return fs.weighted_pick(a.select("hour", "key", F.col("key").alias("seq"), "weight"), draws, "hour")
+    return fs.weighted_pick(a.select("hour", "key", F.col("key").alias("seq"), "weight"), draws, "hour").drop("r")
+
+
+@query("f6_weighted_picks", f"""
+WITH a AS ({ACTIVE}), w AS (SELECT hour, key, sum(weight) OVER (PARTITION BY hour ORDER BY key) AS upto, sum(weight) OVER (PARTITION BY hour) AS whole FROM a),
+d AS (SELECT DISTINCT hour, k, whole * k / 8.0 AS r FROM w, (SELECT unnest(range(9)) AS k))
+SELECT hour, k, coalesce(min(CASE WHEN upto > r THEN key END), max(key)) AS picked FROM w JOIN d USING (hour) GROUP BY hour, k""")
+def _(spark, d):
+    """Nine draws for each set, those at a candidate's edge and at the end among them."""
+    a = _active(spark, d)
+    draws = a.groupBy("hour").agg(F.sum("weight").alias("whole")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(8)))).withColumn("r", F.col("whole") * F.col("k") / 8.0)
+    return fs.weighted_pick(a.select("hour", "key", F.col("key").alias("seq"), "weight"), draws, "hour").select("hour", F.col("k").cast("long").alias("k"), "picked")
 
 
 QUOTAS = {"size-fair": "30.0 * nnode / sum(nnode) OVER ()", "job-fair": "30.0 / count(*) OVER ()", "user-fair": "30.0 / count(*) OVER ()", "user-size-fair": "30.0 * nnode / sum(nu) OVER ()", "user-job-fair": "30.0 / sum(ju) OVER ()"}
@@ -610,7 +621,7 @@ def _(spark, d):
     return rounded(st.fairness_rounds(ok, SERVERS, "1 day"), "scale")
 
 
-@query("st4_decision_rounds", f"SELECT {US} // 86400000000 * 86400000000 AS window_start, {US} // 86400000000 * 86400000000 + 86400000000 AS window_end, array_to_string(members, ',') AS ids, chosen, count(*) AS n FROM ({DECISIONS}) GROUP BY ALL")
+@query("st4_decision_rounds", f"SELECT {US} // 86400000000 * 86400000000 AS window_start, {US} // 86400000000 * 86400000000 + 86400000000 AS window_end, array_to_string(members, ',') AS ids, id, CAST(sum(CASE WHEN id = chosen THEN 1 ELSE 0 END) AS BIGINT) AS n FROM (SELECT *, unnest(members) AS id FROM ({DECISIONS})) GROUP BY ALL")
 def _(spark, d):
     return st.decision_rounds(_decisions(spark, d), "1 day")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scans import exact_percentiles, unfolded
+
 MIB = 1048576
 # Inodes and pages of a server, the longest name.
 INODES, PAGES, NAME_LENGTH = 1 << 24, 4 * 8192 * 1024, 164
@@ -14,7 +16,8 @@ def throughput_slices(events: DataFrame, key: str, width_s: int = 1) -> DataFram
     """A1: (key, slice, mbps) from (key, t seconds, nlen), counted from the key's first event, with 0 for empty slices."""
     firsts = events.groupBy(key).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     sums = events.join(firsts, key).groupBy(key, F.expr(f"(t - t0) div {width_s}").alias("slice")).agg(F.sum("nlen").alias("bytes"))
-    every = firsts.select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(t1 - t0) div {width_s}"))).alias("slice"))
+    # A key's slices are unfolded in chunks that are dealt out, as a key may span years.
+    every = unfolded(firsts.select(key, F.expr(f"(t1 - t0) div {width_s}").alias("last")), "slice", F.lit(0), F.col("last"), deal=True)
     return every.join(sums, [key, "slice"], "left").select(key, "slice", (F.coalesce("bytes", F.lit(0)) / MIB / width_s).alias("mbps"))
 
 
@@ -79,9 +82,9 @@ def merge_stats(partials: DataFrame, by: list[str]) -> DataFrame:
 
 
 def percentiles(df: DataFrame, value: str, by: list[str], ps: list[float]) -> DataFrame:
-    """A10: exact, interpolated percentiles p<k>, and the median. Holds the distinct values of a group."""
-    clamp = lambda p: min(100.0, max(0.0, p))
-    return df.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), *[F.percentile(value, clamp(p) / 100).alias(f"p{p:g}") for p in ps])
+    """A10: exact, interpolated percentiles p<k>, and the median; a group's values are never in one task (see scans)."""
+    shares = {"median": 0.5} | {f"p{p:g}": min(100.0, max(0.0, p)) / 100 for p in ps}
+    return exact_percentiles(df, value, by, shares)
 
 
 def target_io_report(ops: DataFrame, file_size: int) -> DataFrame:

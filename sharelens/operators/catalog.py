@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import split_path
-from ..jobs.shared import shared_dir
-
-register_pickle_by_value(sys.modules[__name__])  # executors needn't have this package
+from ..jobs.shared import saved, shared_dir
+from .scans import offsets, ranges
 
 PAGE_LIMIT = 1 << 20
+#: Events of a directory's entries that one task looks at.
+SALTED = 1 << 16
 
 
 def catalog_snapshot(events: DataFrame, as_of: int | None = None) -> DataFrame:
@@ -67,7 +63,7 @@ def _moved_sizes(steps: DataFrame, moves: DataFrame) -> DataFrame:
     return found.select("event_id", "own")
 
 
-def replay_status(events: DataFrame, root: str = "/myfs") -> DataFrame:
+def replay_status(events: DataFrame, root: str = "/myfs", salted: int = SALTED) -> DataFrame:
     """Adds `status` to mkdir, create, unlink and rmdir events (event_id, t, kind, path) replayed in order of (t, event_id).
 
     A path that exists can't be made again (EEXIST, for create OPENED), nor one
@@ -75,85 +71,89 @@ def replay_status(events: DataFrame, root: str = "/myfs") -> DataFrame:
     only (ENOENT), the latter once they are empty (ENOTEMPTY). `root` and paths
     directly below "/" need no directory. An event without path or kind has status null.
 
-    A directory that the log names once, to make it, exists from then on; what
-    lies below its entries is independent of one another. So events are
-    split at such directories, whose chains are settled depth by depth, and each part
-    is replayed as a stream of its own, whose state is the paths that exist in it. Only a directory
-    that is also removed keeps all below it in one part.
+    Whether an event succeeds follows from what succeeded before it on its own
+    path, on its directory and, for rmdir, on the entries of its path. So all
+    events are guessed to succeed, and in rounds each is judged by the guesses about earlier
+    ones, looked up as of its time, until a round changes nothing. After round k all
+    events are right whose wrong guesses hang together in chains of fewer than k, and the
+    earliest wrong one always is: a log whose events mostly succeed takes few rounds, whatever its length or depth.
+
+    An event lies beside its directory's own events, in the order of time. A
+    directory with more than `salted` events has its entries dealt over several
+    tasks, each with a copy of the directory's events, and rmdir adds up what they count.
     """
-    shared_dir(events.sparkSession)
-    parts = F.filter(F.split("path", "/"), lambda x: x != "")
-    log = events.select("event_id", "t", "kind", "path").withColumn("parts", parts).withColumn("depth", F.size("parts"))
-    above = F.size(F.filter(F.split(F.lit(root), "/"), lambda x: x != ""))
-    under = F.concat_ws("/", F.lit(""), F.slice("parts", F.lit(1), above)) == root
-    # `base` is the number of leading parts that are settled, `since` when they exist: (0, ...) always, (1, t, event_id) from then on, (2, ...) never.
-    since = lambda level, t, e: F.struct(F.lit(level).alias("level"), t.cast("long").alias("t"), e.cast("long").alias("e"))
-    zero = F.lit(0)
-    start = F.when(under & (F.col("depth") > above), above).otherwise(F.lit(0))
-    log = log.withColumns({"base": start, "since": since(0, zero, zero)}).checkpoint()
-    once = log.groupBy("path").agg(F.count("*").alias("n"), F.max("kind").alias("kind")).where("n = 1 AND kind = 'mkdir'").select("path")
-    deepest = log.agg(F.max("depth")).first()[0] or 0
-    for d in range(1, deepest):
-        made = log.where((F.col("depth") == d) & (F.col("base") == d - 1)).join(once, "path")
-        own = since(1, F.col("t"), F.col("event_id"))
-        made = made.select(F.col("path").alias("dir"), F.when(F.col("since") < own, own).otherwise(since(2, zero, zero)).alias("made"))
-        if made.isEmpty():
-            continue
-        deeper = (F.col("depth") > d) & (F.col("base") == d - 1)
-        at = F.when(deeper, F.concat_ws("/", F.lit(""), F.slice("parts", 1, d)))
-        log = log.withColumn("dir", at).join(made, "dir", "left")
-        log = log.withColumns({"base": F.when(F.col("made").isNotNull(), d).otherwise(F.col("base")), "since": F.coalesce("made", "since")}).drop("dir", "made").checkpoint()
-    key = F.concat_ws("/", F.lit(""), F.slice("parts", F.lit(1), F.col("base") + 1))
-    rows = log.select("event_id", "t", "kind", "path", F.coalesce(key, F.lit("")).alias("key"), F.when(F.col("base") > 0, F.concat_ws("/", F.lit(""), F.slice("parts", F.lit(1), F.col("base")))).otherwise("").alias("base"), "since")
-    rows = rows.select("event_id", "t", "kind", "path", "key", "base", (since(1, F.col("t"), F.col("event_id")) > F.col("since")).alias("alive"))
-    kinds = {c: events.schema[c].dataType.simpleString() for c in ("event_id", "t", "kind", "path")}
-    return rows.repartition("key").sortWithinPartitions("key", "t", "event_id").mapInPandas(_replayed, ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", status string")
-
-
-def _replayed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replays parts one after the other; `alive` says whether the part's base exists at an event."""
-    part, types, entries = None, {}, {}
-    for batch in batches:
-        found = []
-        for kind, path, key, base, alive in zip(batch["kind"], batch["path"], batch["key"], batch["base"], batch["alive"]):
-            if key != part:
-                part, types, entries = key, {}, {}
-            if kind not in ("mkdir", "create", "unlink", "rmdir") or not isinstance(path, str):
-                found.append(None)
-                continue
-            parent, kept = path.rpartition("/")[0], types.get(path)
-            if kind in ("mkdir", "create"):
-                if kept:
-                    status = "EEXIST" if kind == "mkdir" else "OPENED"
-                elif not (alive if parent == base else types.get(parent) == "mkdir"):
-                    status = "ENOENT"
-                else:
-                    status, types[path] = "OK", kind
-                    entries[parent] = entries.get(parent, 0) + 1
-            elif kept != ("mkdir" if kind == "rmdir" else "create"):
-                status = "ENOENT"
-            elif entries.get(path):
-                status = "ENOTEMPTY"
-            else:
-                status = "OK"
-                del types[path]
-                entries[parent] -= 1
-            found.append(status)
-        yield batch[["event_id", "t", "kind", "path"]].assign(status=found)
+    known = F.col("kind").isin("mkdir", "create", "unlink", "rmdir") & F.col("path").isNotNull()
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    log = events.select("event_id", "t", "kind", "path", known.alias("known"), folder.alias("dir"))
+    log = saved(log.withColumn("row", F.monotonically_increasing_id()))
+    own = log.where("known").select("row", "t", "event_id", "kind", "path", "dir")
+    salts = own.groupBy("dir").agg(F.ceil(F.count("*") / salted).cast("int").alias("salts")).where("salts > 1")
+    own = own.join(salts, "dir", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    own = own.withColumn("salt", F.pmod(F.xxhash64("path"), F.col("salts")).cast("int")).drop("salts")
+    salts = salts.select(F.col("dir").alias("path"), "salts")
+    above = own.where("kind IN ('mkdir', 'rmdir')").join(salts, "path", "left")
+    above = above.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    entry = own.select("dir", "salt", "path", "t", "event_id", "row", "kind", F.lit(True).alias("entry"))
+    above = above.select(F.col("path").alias("dir"), F.col("copy").alias("salt"), "path", "t", "event_id", "row", "kind", F.lit(False).alias("entry"))
+    both = saved(entry.unionByName(above))  # an event of a directory has as many rows as its entries have tasks, and one more
+
+    order = ["t", "event_id", "row"]
+    before = Window.partitionBy("dir", "salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    of_path = Window.partitionBy("dir", "salt", "entry", "path").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    made, ok = F.col("kind").isin("mkdir", "create"), ~F.col("failed")
+    free = F.col("dir").isin("", root)
+
+    def judged(rows: DataFrame) -> DataFrame:
+        """(row, status) by the guesses `failed` about earlier events."""
+        rows = rows.withColumns(
+            {
+                "there": F.last(F.when(~F.col("entry") & ok, F.col("kind")), True).over(before) == "mkdir",
+                "entries": F.sum(F.when(F.col("entry") & ok, F.when(made, 1).otherwise(-1))).over(before),
+                "was": F.last(F.when(ok, F.col("kind")), True).over(of_path),
+            }
+        )
+        full = rows.where("NOT entry AND kind = 'rmdir'").groupBy("row").agg((F.sum("entries") > 0).alias("full")).where("full")
+        rows = rows.where("entry").join(full, "row", "left")
+        was = F.coalesce("was", F.lit(""))
+        making = F.when(was.isin("mkdir", "create"), F.when(F.col("kind") == "mkdir", "EEXIST").otherwise("OPENED"))
+        making = making.when(~free & ~F.coalesce("there", F.lit(False)), "ENOENT").otherwise("OK")
+        wrong = was != F.when(F.col("kind") == "rmdir", "mkdir").otherwise("create")
+        status = F.when(made, making).when(wrong, "ENOENT").when(F.col("full"), "ENOTEMPTY").otherwise("OK")
+        return rows.select("row", status.alias("status"))
+
+    found = saved(judged(both.withColumn("failed", F.lit(False))))
+    while True:
+        failed = found.where("status <> 'OK'").select("row", F.lit(True).alias("failed"))
+        rows = both.join(failed, "row", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+        again = saved(judged(rows))
+        old = found.select("row", F.col("status").alias("old"))
+        if again.join(old, "row").where("status <> old").isEmpty():
+            break
+        found = again
+    return log.join(found, "row", "left").select("event_id", "t", "kind", "path", "status")
 
 
 def list_directory(catalog: DataFrame, parent: str, offset: int = 0, limit: int = PAGE_LIMIT, dots: bool = False) -> DataFrame:
     """(at, entry, type, total, status): a page of a directory's entries by name; one ENOENT row if there is no such directory.
 
-    The listing is what orders one directory's names; `total` counts all of them.
+    Names are put in ranges; those that the page lies in are found by their
+    numbers of names and are the only ones that are put in order. `total` counts all names.
     """
+    spark, limit = catalog.sparkSession, max(0, min(limit, PAGE_LIMIT))
     here = catalog.where((F.col("path") == parent) & (F.col("type") == 4)).select(F.lit(True).alias("found")).limit(1)
     names = catalog.where(F.col("parent") == parent).select("entry", "type")
     if dots:
         for dot in (".", ".."):
-            names = names.unionByName(catalog.sparkSession.range(1).select(F.lit(dot).alias("entry"), F.lit(4).alias("type")))
-    total = names.agg(F.count("*").alias("total"))
-    page = names.orderBy("entry").offset(offset).limit(min(limit, PAGE_LIMIT))
-    page = page.withColumn("at", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("entry")) + offset - 1).cast("long")).crossJoin(total).crossJoin(here.select(F.lit("OK").alias("status")))
-    none = catalog.sparkSession.range(1).crossJoin(here.agg(F.count("*").alias("n"))).where("n = 0")
-    return page.select("at", "entry", "type", "total", "status").unionByName(none.select(F.lit(None).cast("long").alias("at"), F.lit(None).cast("string").alias("entry"), F.lit(None).cast("int").alias("type"), F.lit(0).cast("long").alias("total"), F.lit("ENOENT").alias("status")))
+            names = names.unionByName(spark.range(1).select(F.lit(dot).alias("entry"), F.lit(4).alias("type")))
+    parts = ranges(names, [], ["entry"])
+    found = offsets(parts, [], n=F.lit(1))
+    total = found.agg(F.coalesce(F.max("n_all"), F.lit(0)).alias("total"))
+    inside = found.where((F.col("n_before") < offset + limit) & (F.col("n_before") + F.col("n") > offset))
+    rows = parts.join(inside.select("_part", "n_before"), "_part")
+    at = F.col("n_before") + F.row_number().over(Window.partitionBy("_part").orderBy("entry", "type")) - 1
+    page = rows.withColumn("at", at.cast("long")).where((F.col("at") >= offset) & (F.col("at") < offset + limit))
+    page = page.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(here.select(F.lit("OK").alias("status"))))
+    none = spark.range(1).crossJoin(F.broadcast(here.agg(F.count("*").alias("n")))).where("n = 0")
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    missing = none.select(null("long", "at"), null("string", "entry"), null("int", "type"), F.lit(0).cast("long").alias("total"), F.lit("ENOENT").alias("status"))
+    return page.select("at", "entry", "type", "total", "status").unionByName(missing)

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import exact_percentiles, with_previous, with_running
+
 # Policy names, the quota cycle in microseconds, constants of the rescaling rule.
 POLICIES = ["fifo", "user-fair", "job-fair", "size-fair"]
 QUOTA_POLICIES = ["size-fair", "job-fair", "user-fair", "user-size-fair", "user-job-fair"]
 CYCLE_US, FEW_OPS, FEW_OPS_SCALE = 30, 20, 0.0002
+#: Draws of one candidate set that one task answers.
+DRAWS = 1 << 16
 
 
 def policy_key_weight(jobs: DataFrame, policy: str) -> DataFrame:
@@ -34,10 +38,10 @@ def promised_share(active: DataFrame, sets: list[str]) -> DataFrame:
 
 
 def cumulative_probability(jobs: DataFrame, weight: Column | None = None, sets: list[str] = ()) -> DataFrame:
-    """adds `upto`, the running share of nodes in registration order (`seq`), 1 at the end. Jobs are few: one task per set."""
+    """adds `upto`, the running share of nodes in registration order (`seq`), 1 at the end; a set may be of any size."""
     w = F.col("nnode") if weight is None else weight
-    by = Window.partitionBy(*(sets or [F.lit(0)]))
-    return jobs.withColumn("upto", F.sum(w).over(by.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)) / F.sum(w).over(by))
+    rows = with_running(jobs, list(sets), ["seq"], _upto=w)
+    return rows.withColumn("upto", F.col("_upto") / F.col("_upto_all")).drop("_upto", "_upto_all")
 
 
 def global_scale(job_ops: DataFrame, n_servers: int, sets: list[str] = ()) -> DataFrame:
@@ -59,11 +63,29 @@ def rescaled_probability(jobs: DataFrame, scale: DataFrame) -> DataFrame:
 
 
 def weighted_pick(candidates: DataFrame, draws: DataFrame, group: str = "decision_id", order: str = "seq") -> DataFrame:
-    """for each group the first candidate whose running weight exceeds the group's draw `r`, else the last."""
-    by = Window.partitionBy(group).orderBy(order)
-    rows = candidates.join(draws, group).withColumn("upto", F.sum("weight").over(by))
-    over = F.min(F.when(F.col("upto") > F.col("r"), F.struct(order, "key")))
-    return rows.groupBy(group).agg(F.coalesce(over["key"], F.max(F.struct(order, "key"))["key"]).alias("picked"))
+    """`draws` (group, r and whatever else) with `picked`: the first candidate of the draw's group whose running weight exceeds `r`, else the last.
+
+    A group may have many draws. They are merged with the running weights in
+    one order, in which the next weight after a draw is the one that exceeds it. The
+    draws of a group with more than DRAWS are dealt over several tasks, each with a
+    copy of its candidates. Draws without a group of candidates give nothing.
+    """
+    by = Window.partitionBy(group)
+    upto = by.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = candidates.withColumns({"_upto": F.sum("weight").over(upto), "_last": F.max(F.struct(order, "key")).over(by)["key"]})
+    copies = draws.groupBy(group).agg(F.ceil(F.count("*") / DRAWS).cast("int").alias("_copies")).where("_copies > 1")
+    own = F.struct(*[F.col(f"`{c}`") for c in draws.columns])
+    salt = F.when(F.col("_copies").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_copies")).cast("int"))
+    asked = draws.join(copies, group, "left").select(group, salt.alias("_salt"), F.col("r").cast("double").alias("_at"), F.lit(1).alias("_kind"), own.alias("_draw"))
+    copy = F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))
+    ends = ends.join(copies, group, "left").select(group, copy.alias("_salt"), F.col("_upto").cast("double").alias("_at"), F.lit(0).alias("_kind"), F.struct("key", "_last", order).alias("_end"))
+    both = asked.unionByName(ends, allowMissingColumns=True)
+    # From the largest weight down, draws before the ends they equal: the last end before a draw is the least one beyond it.
+    down = Window.partitionBy(group, "_salt").orderBy(F.desc("_at"), F.desc("_kind"), F.desc(F.col(f"_end.{order}")))
+    over = F.last("_end", True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    final = F.first("_end", True).over(Window.partitionBy(group, "_salt"))
+    rows = both.withColumns({"_over": over, "_final": final}).where("_kind = 1 AND _final IS NOT NULL")
+    return rows.select("_draw.*", F.coalesce("_over.key", "_final._last").alias("picked"))
 
 
 def time_quota(jobs: DataFrame, policy: str, cycle_us: float = CYCLE_US, normalized: bool = False) -> DataFrame:
@@ -102,17 +124,20 @@ def phase_medians(slices: DataFrame, trim: tuple[int, int] = (0, 0), group: list
     `pool` may name another column of the slices, such as the promised share; tags of one value are then pooled.
 
     `trim` drops seconds at both ends of every run of seconds with one set.
-    Slices are one row a second and tag, so a group is a run's length.
+    Seconds are put in order in ranges, so that a group may be of any length; a
+    run of seconds with one set is one task's.
     """
     group = list(group)
     sets = slices.where("mbps > 0").groupBy(*group, "t").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("active"))
-    order = Window.partitionBy(*(group or [F.lit(0)])).orderBy("t")
-    starts = (F.lag("active").over(order).isNull() | (F.lag("active").over(order) != F.col("active"))).cast("int")
-    sets = sets.withColumn("starts", starts).withColumn("phase", F.sum("starts").over(order))
+    sets = with_previous(sets, group, ["t"], _was=F.col("active"))
+    starts = F.when(F.col("_was") == F.col("active"), 0).otherwise(1)
+    sets = with_running(sets, group, ["t"], phase=starts).drop("_was", "phase_all")
     run = Window.partitionBy(*group, "phase")
     sets = sets.withColumns({"at": F.row_number().over(run.orderBy("t")), "size": F.count("*").over(run)})
     sets = sets.where((F.col("at") > trim[0]) & (F.col("at") <= F.col("size") - trim[1]))
-    return sets.join(slices.where("mbps > 0"), [*group, "t"]).groupBy(*group, "active", pool).agg(F.percentile("mbps", 0.5).alias("median"), F.count("*").alias("seconds"))
+    rows, by = sets.join(slices.where("mbps > 0"), [*group, "t"]), [*group, "active", pool]
+    seconds = rows.groupBy(*by).agg(F.count("*").alias("seconds"))
+    return exact_percentiles(rows, "mbps", by, {"median": 0.5}).join(seconds, by).select(*by, "median", "seconds")
 
 
 def scaling_efficiency(scaling: DataFrame) -> DataFrame:

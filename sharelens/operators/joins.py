@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import unfolded
+
 STRIPE, RUN_STRIPES = 2097152, 1024
 
 
@@ -41,7 +43,7 @@ def align_slices(reports: DataFrame, group: list[str] = ()) -> DataFrame:
     span = runs.groupBy(*group).agg(F.min("start").alias("t0"), F.max("end_s").alias("t1"))
     last = runs.groupBy(*group, "tag").agg(F.max(F.struct("line", "start", "slices")).alias("_last")).select(*group, "tag", "_last.start", "_last.slices")
     every = last.join(span, group) if group else last.crossJoin(F.broadcast(span))
-    every = every.where("t1 > t0").withColumn("t", F.explode(F.sequence(F.col("t0"), F.col("t1") - 1)))
+    every = unfolded(every, "t", F.col("t0"), F.col("t1") - 1)
     value = F.when((F.col("t") >= F.col("start")), F.get("slices", (F.col("t") - F.col("start")).cast("int")))
     return every.select(*group, (F.col("t") - F.col("t0")).cast("int").alias("time_in_seconds"), "tag", F.coalesce(value, F.lit(0.0)).alias("mbps"))
 

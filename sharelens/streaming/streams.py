@@ -7,17 +7,23 @@ as watermarks need zoned ones.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.fairshare import global_scale
 
+register_pickle_by_value(sys.modules[__name__])  # executors needn't have this package
+
 MIB = 1048576
 # The idle gap after which a queue is dropped, fairness and report rounds, the heartbeat limit in seconds.
 GAP, FAIRNESS_ROUND, REPORT_ROUND, LOST_AFTER_S = "10 seconds", "500 milliseconds", "5 seconds", 1524000
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def timed(df: DataFrame, delay: str) -> DataFrame:
@@ -60,18 +66,36 @@ def fairness_rounds(df: DataFrame, n_servers: int, width: str = FAIRNESS_ROUND)
     return scaled_rounds(round_counts(df, width), n_servers)
 
 
+def put_rounds(batch: DataFrame, batch_id: int, n_servers: int, path: str) -> None:
+    """ST3: the scaled rounds of one batch, in a folder of their own under `path`.
+
+    A batch that comes again after a failure replaces what it wrote before, so
+    that each round is there once. Each batch has whole rounds, as they are
+    finished by the watermark.
+    """
+    rows = scaled_rounds(batch, n_servers).withColumn("batch", F.lit(batch_id))
+    rows.write.partitionBy("batch").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
+
+
 def write_fairness_rounds(df: DataFrame, n_servers: int, path: str, checkpoint: str, width: str = FAIRNESS_ROUND):
-    """ST3: the streaming form; finished rounds are scaled and appended to `path`."""
-    put = lambda batch, _: scaled_rounds(batch, n_servers).write.mode("append").parquet(path)
+    """ST3: the streaming form; finished rounds are scaled and put under `path` once each, by number of their batch."""
+    put = lambda batch, batch_id: put_rounds(batch, batch_id, n_servers, path)
     return round_counts(df, width).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put)
 
 
 def decision_rounds(df: DataFrame, width: str = REPORT_ROUND, delay: str = "10 seconds") -> DataFrame:
-    """ST4: (window, ids, chosen, n): decisions of all threads by sorted candidate set and choice; a row is one decision, or as many as its column `n` says."""
-    count = F.sum("n") if "n" in df.columns else F.count("*")
-    ids = F.array_join(F.array_sort(F.array_distinct("candidates")), ",")
-    rows = timed(df, delay).groupBy(F.window("ts", width).alias("w"), ids.alias("ids"), "chosen").agg(count.alias("n"))
-    return _edges(rows)
+    """ST4: (window, ids, id, n): how often each id of a candidate set was chosen in a round, 0 included, over all threads.
+
+    A row is one decision, or as many as its column `n` says. Each decision
+    counts its number for the choice and 0 for the other candidates, so that the state of
+    a window has a row for each id of each set that was met in it. These are
+    added up before the shuffle.
+    """
+    times = F.col("n") if "n" in df.columns else F.lit(1)
+    rows = timed(df, delay).withColumn("members", F.array_sort(F.array_distinct("candidates")))
+    rows = rows.select("ts", F.array_join("members", ",").alias("ids"), "chosen", times.alias("times"), F.explode("members").alias("id"))
+    count = F.sum(F.when(F.col("id") == F.col("chosen"), F.col("times")).otherwise(0))
+    return _edges(rows.groupBy(F.window("ts", width).alias("w"), "ids", "id").agg(count.alias("n")))
 
 
 def lost_connections(heartbeats: DataFrame, threshold_s: float = LOST_AFTER_S, now: DataFrame | None = None) -> DataFrame:
@@ -82,19 +106,43 @@ def lost_connections(heartbeats: DataFrame, threshold_s: float = LOST_AFTER_S, n
     return last.crossJoin(F.broadcast(now)).where(F.col("now_us") - F.col("last_us") > threshold_s * 1e6).select("conn_id", "last_us")
 
 
+class _Watch(StatefulProcessor):
+    """The last heartbeat of a connection and a timer that reports it as lost."""
+
+    def __init__(self, threshold_us: int):
+        self.threshold_us = threshold_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        beats = [int(b["us"].max()) for b in rows]
+        (known,) = self.last.get() if self.last.exists() else (None,)
+        last = max([*beats, *([] if known is None else [known])])
+        if last != known:
+            self.last.update((last,))
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(max((last + self.threshold_us) // 1000, timerValues.getCurrentWatermarkInMs() + 1))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (last,) = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"conn_id": [key[0]], "last_us": [last]})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_lost_connections(heartbeats: DataFrame, threshold_s: float = LOST_AFTER_S, delay: str = "10 seconds") -> DataFrame:
-    """ST5 on a stream: one state row per connection, with an event-time timer that reports it as lost."""
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"conn_id": [key[0]], "last_us": [last]})
-            return
-        last = max([*(int(b["us"].max()) for b in batches), *(state.get if state.exists else ())])
-        state.update((last,))
-        due = (last + int(threshold_s * 1e6)) // 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+    """ST5 on a stream: one state row and one event-time timer for each connection, reported when it is lost.
 
+    The state lies in RocksDB, beside the heap of the executors and in the
+    stream's checkpoint; the session is set to that store, as this kind of state needs it.
+    """
+    heartbeats.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     rows = timed(heartbeats, delay).where("NOT inter_server").select("conn_id", "ts", F.unix_micros("ts").alias("us"))
-    return rows.groupBy("conn_id").applyInPandasWithState(watch, "conn_id long, last_us long", "last_us long", "append", "EventTimeTimeout")
+    watch = _Watch(int(threshold_s * 1e6))
+    return rows.groupBy("conn_id").transformWithStateInPandas(watch, "conn_id long, last_us long", "Append", "EventTime")

@@ -215,23 +215,51 @@ def run_stream(spark, out, tmp_path, name, mode="append"):
 def test_periods_and_decisions_as_streams(spark, tmp_path, requests):
     """What a stream has finished is part of the batch form, and all of it but the last windows is finished."""
     df, stream = requests
-    for name, form, cols in (("st2", lambda x: streams.active_periods(x, "jobid", "30 seconds"), ["jobid", "window_start", "window_end", "requests"]), ("st4", lambda x: streams.decision_rounds(x, "1 minute"), ["window_start", "ids", "chosen", "n"])):
+    for name, form, cols in (("st2", lambda x: streams.active_periods(x, "jobid", "30 seconds"), ["jobid", "window_start", "window_end", "requests"]), ("st4", lambda x: streams.decision_rounds(x, "1 minute"), ["window_start", "ids", "id", "n"])):
         done, whole = values(run_stream(spark, form(stream), tmp_path, name), *cols), values(form(df), *cols)
         assert set(done) <= set(whole) and len(done) >= len(whole) - 6 and done
 
 
+def finished(query):
+    query.processAllAvailable()
+    query.stop()
+
+
 def test_fairness_rounds_as_stream(spark, tmp_path, requests):
+    """Each finished round once, although the last batch is repeated after a failure."""
     df, stream = requests
-    q = streams.write_fairness_rounds(stream, 7, str(tmp_path / "rounds"), str(tmp_path / "c3"), "1 minute").start()
-    q.processAllAvailable()
-    q.stop()
+    write = lambda: finished(streams.write_fairness_rounds(stream, 7, str(tmp_path / "rounds"), str(tmp_path / "c3"), "1 minute").start())
+    write()
     cols = ["window_start", "jobid", "ops", "nnode", "scale"]
     done, whole = values(spark.read.parquet(str(tmp_path / "rounds")), *cols), values(streams.fairness_rounds(df, 7, "1 minute"), *cols)
     assert set(done) <= set(whole) and len(done) >= len(whole) - 6 and done
+    commits = sorted((tmp_path / "c3" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        p.unlink(missing_ok=True)
+    write()
+    assert values(spark.read.parquet(str(tmp_path / "rounds")), *cols) == done
+    counts = streams.round_counts(df, "1 minute")
+    for _ in range(2):
+        streams.put_rounds(counts, 5, 7, str(tmp_path / "again"))
+    assert values(spark.read.parquet(str(tmp_path / "again")), *cols) == whole
 
 
 def test_lost_connections_as_stream(spark, tmp_path, requests):
+    """As in one batch, also when the stream stops and starts again between its files."""
     df, stream = requests
     beats = lambda x: x.select(F.when(F.col("ts") < F.timestamp_seconds(F.lit(1_700_000_200)), F.col("jobid")).otherwise(9).cast("long").alias("conn_id"), "ts", "inter_server")
-    done = values(run_stream(spark, streams.stream_lost_connections(beats(stream), 60), tmp_path, "st5"), "conn_id", "last_us")
-    assert done == values(streams.lost_connections(beats(df), 60), "conn_id", "last_us") and len(done) == 2
+    whole = values(streams.lost_connections(beats(df), 60), "conn_id", "last_us")
+    out = streams.stream_lost_connections(beats(stream), 60)
+    done = values(run_stream(spark, out, tmp_path, "st5"), "conn_id", "last_us")
+    assert done == whole and len(done) == 2
+
+    rest = tmp_path / "rest"
+    rest.mkdir()
+    for k in (1, 2):
+        (tmp_path / "in" / f"k{k}").rename(rest / f"k{k}")
+    for k in (0, 1, 2):
+        if k:
+            (rest / f"k{k}").rename(tmp_path / "in" / f"k{k}")
+        put = out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "lost"))
+        finished(put.option("checkpointLocation", str(tmp_path / "c5")).start())
+    assert values(spark.read.parquet(str(tmp_path / "lost")), "conn_id", "last_us") == whole
