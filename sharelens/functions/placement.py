@@ -2,49 +2,46 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.scans import unfolded
 from .scalars import ROOT
-
-register_pickle_by_value(sys.modules[__name__])
+from .xxh64 import unsigned_mod, xxh64
 
 # Bytes of a stripe and of a page.
 STRIPE, PAGE = 2097152, 1048576
 
 
 def xxh64_mod(path: Column, n: int) -> Column:
-    """XXH64 with seed 0, as an unsigned number, modulo n: an Arrow helper, since Spark's own hash has another seed."""
-
-    @F.pandas_udf("int")
-    def server(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import xxhash  # only this form of placement needs it
-
-        for paths in batches:
-            yield paths.map(lambda p: None if p is None else xxhash.xxh64_intdigest(p.encode()) % n).astype("Int32")
-
-    return server(path)
+    """XXH64 with seed 0, as an unsigned number, modulo n."""
+    return unsigned_mod(xxh64(path), n)
 
 
 def md5_mod(path: Column, n: int) -> Column:
-    """The first 15 hex digits of the MD5 modulo n, all in the JVM."""
+    """The first 15 hex digits of the MD5 modulo n."""
     return (F.conv(F.substring(F.md5(path), 1, 15), 16, 10).cast("long") % n).cast("int")
 
 
-def place(path: Column, n_servers: int, hash: str = "xxh64", root: str = ROOT) -> Column:
-    """The home server of a path: by its "_S" or ".00" tag if that names a server, else by hash; the root by hash."""
+def place(path: Column, n_servers: int, hash: str = "xxh64", root: str = ROOT, variant: str = "server") -> Column:
+    """The home server of a path: by its "_S" or ".00" tag if that names a server, else by hash.
+
+    The two sides read tags differently. A server takes two hexadecimal digits
+    after "_S", then a ".00" number, each if it is below `n_servers`; the root goes
+    by hash. A client (`variant="client"`) takes one hexadecimal digit after "_S", but a
+    ".00" number, modulo `n_servers`, goes before it; the root is a path like any other.
+    """
     hashed = {"xxh64": xxh64_mod, "md5": md5_mod}[hash](path, n_servers)
-    hex_tag = F.conv(F.nullif(F.regexp_extract(path, r"_S([0-9a-fA-F])[^0-9a-fA-F]$|_S([0-9a-fA-F]{2})$", 2), F.lit("")), 16, 10)
-    one_hex = F.conv(F.nullif(F.regexp_extract(path, r"_S([0-9a-fA-F])[^0-9a-fA-F]$", 1), F.lit("")), 16, 10)
-    tag = F.coalesce(hex_tag, one_hex).cast("int")
+    found = lambda pattern, group, base: F.conv(F.nullif(F.regexp_extract(path, pattern, group), F.lit("")), base, 10).cast("int")
     number = F.nullif(F.regexp_extract(F.substring(path, -9, 9), r"^\.00([0-9]{1,6})(?![0-9]).{0,5}$", 1), F.lit("")).cast("int")
-    return F.when(path == root, hashed).when((F.length(path) >= 4) & (tag < n_servers), tag).when((F.length(path) > 10) & (number < n_servers), number).otherwise(hashed)
+    number = F.when(F.length(path) > 10, number)
+    if variant == "client":
+        digit = found(r"_S([0-9a-fA-F])$", 1, 16)
+        return F.coalesce(number % n_servers, F.when(digit < n_servers, digit), hashed)
+    if variant != "server":
+        raise ValueError(f"unknown variant {variant!r}: server or client")
+    tag = F.coalesce(found(r"_S([0-9a-fA-F]{2})$", 1, 16), found(r"_S([0-9a-fA-F])[^0-9a-fA-F]$", 1, 16))
+    return F.when(path == root, hashed).when(tag < n_servers, tag).when(number < n_servers, number).otherwise(hashed)
 
 
 def stripe_requests(requests: DataFrame, n_servers: int, stripe: int = STRIPE) -> DataFrame:

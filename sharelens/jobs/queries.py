@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import placement as pl
 from ..functions import scalars as sc
+from ..functions.xxh64 import xxh64_sql
 from ..operators import aggregates as ag
 from ..operators import catalog as ca
 from ..operators import counters as co
@@ -120,9 +121,26 @@ def _(spark, d):
     return rows.withColumn("server", pl.place(F.col("path"), SERVERS, "md5"))
 
 
-@query("p8_place_xxh64")
+#: Paths of 8 bytes to over 64.
+LONG = "concat(path, CASE okey % 3 WHEN 1 THEN concat('/é/a-file-of-a-longer-name-', CAST(okey AS STRING)) WHEN 2 THEN repeat('/d', CAST(okey % 40 AS INT)) ELSE '' END)"
+
+
+@query("p8_place_xxh64", f"SELECT p AS path, CAST({xxh64_sql('p')} % {SERVERS} AS INT) AS server FROM (SELECT DISTINCT {LONG} AS p FROM trace)")
+def _(spark, d):
+    rows = view(spark, d, "trace").select(F.expr(LONG).alias("path")).distinct()
+    return rows.withColumn("server", pl.place(F.col("path"), SERVERS))
+
+
+#: One hexadecimal digit after "_S", a ".00" number, both or neither.
+CLIENT_TAGGED = "concat(path, CASE okey % 4 WHEN 0 THEN concat('_S', CAST(okey % 10 AS STRING)) WHEN 1 THEN concat('.0000000', CAST(okey % 9 AS STRING)) WHEN 2 THEN concat('.00000_S', CAST(okey % 10 AS STRING)) ELSE '' END)"
+
+
+@query("p8_place_client", f"""
+SELECT p AS path, CAST(CASE WHEN okey % 4 = 1 THEN okey % 9 % {SERVERS} WHEN okey % 4 = 2 THEN 0 WHEN okey % 4 = 0 AND okey % 10 < {SERVERS} THEN okey % 10 ELSE {xxh64_sql('p')} % {SERVERS} END AS INT) AS server
+FROM (SELECT DISTINCT okey, {CLIENT_TAGGED} AS p FROM trace)""")
 def _(spark, d):
-    return view(spark, d, "trace").select("path").distinct().withColumn("server", pl.place(F.col("path"), SERVERS))
+    rows = view(spark, d, "trace").select(F.expr(CLIENT_TAGGED).alias("path")).distinct()
+    return rows.withColumn("server", pl.place(F.col("path"), SERVERS, variant="client"))
 
 
 HOMED = f"SELECT jobid, okey, off, nlen, CAST(okey % {SERVERS} AS INT) AS home FROM trace"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sharelens.functions import placement, scalars
+from sharelens.functions.xxh64 import xxh64
 from sharelens.operators import aggregates, catalog, counters, fairshare, joins
 from sharelens.sources import reports
 from sharelens.streaming import streams
@@ -61,6 +62,24 @@ def test_xxh64_vectors(spark):
     assert {r.p: r.m for r in df.collect()} == {k: v % 10007 for k, v in known.items()}
 
 
+def test_xxh64_of_all_lengths(spark):
+    xxhash = pytest.importorskip("xxhash")
+    texts = [None, *(("aé/漢" * 60).encode()[:n].decode(errors="ignore") + "x" * (n % 4) for n in range(140))]
+    df = spark.createDataFrame([(t,) for t in texts], "p string").select("p", xxh64(F.col("p")).alias("h"), placement.xxh64_mod(F.col("p"), 2**31 - 1).alias("m"))
+    for r in df.collect():
+        want = None if r.p is None else xxhash.xxh64_intdigest(r.p.encode())
+        assert (r.h is None and r.m is None) if want is None else (r.h % 2**64, r.m) == (want, want % (2**31 - 1)), r.p
+
+
+@pytest.mark.parametrize("path, server, client", [("/myfs/f_S02", 2, None), ("/myfs/f_S2", None, 2), ("/myfs/f_S9", None, None), ("/myfs/f_S0a", None, None), ("/myfs/f.00000012", None, 5), ("/myfs/f.00000003", 3, 3), ("/f.00000_S4", 0, 0), ("_S1", None, 1)])
+def test_tags_of_both_sides(spark, path, server, client):
+    """7 servers; None: by hash. A tag is read otherwise by a client than by a server."""
+    df = spark.createDataFrame([(path,)], "p string")
+    hashed = placement.xxh64_mod(F.col("p"), 7)
+    got = df.select(placement.place(F.col("p"), 7), placement.place(F.col("p"), 7, variant="client"), hashed).first()
+    assert (got[0], got[1]) == (got[2] if server is None else server, got[2] if client is None else client)
+
+
 def test_stripes_and_edges(spark):
     df = spark.createDataFrame([(0, 0, 0), (0, 2097151, 2), (6, 2097152, 2097152)], "home int, off long, nlen long")
     found = values(placement.stripe_requests(df, 7), "off", "piece_off", "piece_len", "server")
