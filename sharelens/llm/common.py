@@ -77,20 +77,25 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(MISSING)).alias("_d"), F.xxhash64(F.col(text)).alias("_h")]
 
 
-def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of `df` whose long `key` may be in the one-column `keys`: no member is lost, some others stay.
+def flagged(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """`df` with a boolean `name`: whether its long `key` may be in the one-column `keys`. No member is told no, some others yes.
 
     A one-hash Bloom filter of FILTER_WORDS words is joined by broadcast, so its
-    size has a bound. It only spares the shuffle of rows that the exact join
-    which follows would drop; where there are more keys than bits it lets all through.
+    size has a bound. It only spares work on rows that what follows would drop;
+    where there are more keys than bits it says yes to all.
     """
     word = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS))
     bit = lambda c: F.shiftright(F.xxhash64(c), 40).bitwiseAND(63).cast("int")
     k = F.col(keys.columns[0])
     masks = keys.select(word(k).alias("_word"), F.expr("1L").alias("_one"), bit(k).alias("_bit"))
     masks = masks.groupBy("_word").agg(F.bit_or(F.expr("shiftleft(_one, _bit)")).alias("_mask"))
-    out = df.withColumns({"_word": word(F.col(key)), "_bit": bit(F.col(key))}).join(F.broadcast(masks), "_word")
-    return out.where(F.expr("getbit(_mask, _bit) = 1")).select(*df.columns)
+    out = df.withColumns({"_word": word(F.col(key)), "_bit": bit(F.col(key))}).join(F.broadcast(masks), "_word", "left")
+    return out.select(*df.columns, F.coalesce(F.expr("getbit(_mask, _bit) = 1"), F.lit(False)).alias(name))
+
+
+def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of `df` whose long `key` may be in the one-column `keys` (see `flagged`), to spare the others the shuffle of an exact join."""
+    return flagged(df, key, keys, "_likely").where("_likely").select(*df.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -115,11 +115,17 @@ def _result(n_words: list, spans: list[list[tuple[int, int]]], items: list[set[s
     ]
 
 
-RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+NAMES = ["doc_id", "_d", "_h", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+RESULT = "_d long, _h long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_windows: int = PART_WINDOWS) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of `docs`.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of `docs`; see `searched`."""
+    return searched(docs, benchmark, window, part_windows).drop("_d", "_h")
+
+
+def searched(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_windows: int = PART_WINDOWS) -> DataFrame:
+    """(doc_id, _d, _h, n_words, n_hit, n_items, items_sha256, contaminated) of every row of `docs`; _d and _h name a row (see common).
 
     Null and word-less texts have no words and no hits; a null or word-less
     item has no window; items that repeat an item_id are one item, and those
@@ -133,6 +139,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     n_windows = (windows := stage(windows, "windows")).count()
     parts = max(1, -(-n_windows // part_windows))
     data = docs.select("doc_id", F.col("text").cast("binary").alias("data"), *row_key())
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def tables(part: int):
         rows = windows.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == part) if parts > 1 else windows
@@ -159,9 +166,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, n_words, spans, items in hits(batches, shared):
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], *_result(n_words, spans, items)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in NAMES[:3]), *_result(n_words, spans, items)], NAMES)
 
-        return data.select("doc_id", "data").mapInArrow(whole, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
+        return data.mapInArrow(whole, f"doc_id {kind}, {RESULT}")
 
     found = None
     for part in range(parts):
@@ -181,12 +188,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
         for batch in batches:
             spans = [_spans([(x["lo"], x["hi"]) for x in s or []]) for s in batch["spans"].to_pylist()]
             items = [set(x or []) for x in batch["items"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *_result([len(words_of(x)) for x in batch["data"].to_pylist()], spans, items)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            n_words = [len(words_of(x)) for x in batch["data"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in NAMES[:3]), *_result(n_words, spans, items)], NAMES)
 
-    return data.join(found, ["_d", "_h"], "left").select("doc_id", "data", "spans", "items").mapInArrow(joined, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {RESULT}")
+    rows = data.join(found, ["_d", "_h"], "left").select("doc_id", "_d", "_h", "data", "spans", "items")
+    return rows.mapInArrow(joined, f"doc_id {kind}, {RESULT}")
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a window of any benchmark item. A contaminated row takes all rows of its doc_id along."""
-    bad = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti").select(*docs.columns)
+    """Pipeline stage: documents without a window of any benchmark item.
+
+    A row goes by its own text: rows equal in doc_id and text go together, other
+    rows of the same doc_id stay if they are clean, and so do rows without
+    doc_id. Null and empty texts are clean.
+    """
+    bad = searched(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    bad = bad.select(F.col("_d").alias("_bad_d"), F.col("_h").alias("_bad_h")).distinct()
+    d, h = row_key()
+    return docs.join(bad, (d == F.col("_bad_d")) & (h == F.col("_bad_h")), "left_anti").select(*docs.columns)

@@ -39,11 +39,12 @@ def deal(nodes: DataFrame, keys: list[str], parent: list[str], budgets: DataFram
 
     In order of supply per weight, a child whose fair share of what is left
     exceeds its supply is full; the first one that isn't, and all after it,
-    share the rest by weight. A weight of 0 gets nothing.
+    share the rest by weight. A weight of 0 gets nothing. The order is exact for
+    weights below 2^26: wholes first, then what is left, of which different ones differ as doubles.
     """
     rows = nodes.join(budgets.withColumnRenamed("budget", "given"), parent) if parent else nodes.crossJoin(F.broadcast(budgets.withColumnRenamed("budget", "given")))
     rows = rows.where("weight > 0")
-    order = Window.partitionBy(*(parent or [F.lit(0)])).orderBy(F.col("supply").cast("double") / F.col("weight"), *[F.col(k) for k in keys])
+    order = Window.partitionBy(*(parent or [F.lit(0)])).orderBy(F.expr("supply div weight"), F.expr("CAST(supply % weight AS DOUBLE) / weight"), *[F.col(k) for k in keys])
     before, whole = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("left_tokens", F.col("given") - F.coalesce(F.sum("supply").over(before), F.lit(0)))
     rows = rows.withColumn("left_weight", F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
@@ -78,23 +79,35 @@ def leaf_budgets(leaves: DataFrame, budget: DataFrame, weights: DataFrame | None
     return deal(weighted(leaves, _LEAF, weights, F.lit(1)), _LEAF, ["domain", "lang"], dealt.select("domain", "lang", "budget")).select(*_LEAF, "budget")
 
 
-def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPOCHS, seed: int = SEED, weights: DataFrame | None = None, carry: bool = False) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    budget_percent: int = BUDGET_PERCENT,
+    epochs: int = EPOCHS,
+    seed: int = SEED,
+    weights: DataFrame | None = None,
+    carry: bool = False,
+    domain: Column | str | None = None,
+) -> DataFrame:
     """(doc_id, domain, lang, source, epoch, tokens, taken): a row for each document and epoch that is taken.
 
-    `weights` is a table of target weights (see leaf_budgets). With `carry` the whole row of `docs` comes along as `_row`.
+    `domain` is the column or expression of `docs` that names a document's domain,
+    to which `weights` can refer; null is named "". Without it, sources are dealt
+    to four by a hash of their names. `weights` is a table of target weights (see leaf_budgets). With `carry` the whole row of `docs` comes along as `_row`.
 
     Tokens are runs of anything but blanks. Null languages and sources are
     named "". Texts without tokens, null ones included, supply nothing and are
     never taken. In an epoch, documents follow the MD5 of seed, epoch and
-    doc_id, ties by doc_id and then by MD5 of the text; rows equal in all of
+    doc_id (of its text's MD5 if it has none), ties by doc_id and then by MD5 of the text; rows equal in all of
     these are taken in no particular order, with equal tokens.
     """
     tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     name = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     own = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     kept = ["_row"] if carry else []
-    rows = docs.select(*own, "doc_id", name("lang"), name("source"), tokens.alias("tokens"), F.md5(F.coalesce("text", F.lit(""))).alias("digest")).where("tokens > 0")
-    rows = rows.withColumn("domain", domain_of(F.col("source")))
+    digest = F.md5(F.coalesce("text", F.lit(""))).alias("digest")
+    given = F.col(domain) if isinstance(domain, str) else domain
+    given = domain_of(F.coalesce(F.col("source"), F.lit(""))) if given is None else F.coalesce(given.cast("string"), F.lit(""))
+    rows = docs.select(*own, "doc_id", given.alias("domain"), name("lang"), name("source"), tokens.alias("tokens"), digest).where("tokens > 0")
     rows = stage(rows, "tokens")
     leaves = rows.groupBy(*_LEAF).agg(F.sum("tokens").alias("size"), F.count("*").alias("n"))
     leaves = stage(leaves.withColumn("supply", F.col("size") * epochs), "leaves")
@@ -107,7 +120,8 @@ def mix(docs: DataFrame, budget_percent: int = BUDGET_PERCENT, epochs: int = EPO
     full = rows.where("whole > 0").select(*kept, "doc_id", *_LEAF, F.explode(F.sequence(F.lit(0), (F.col("whole") - 1).cast("int"))).alias("epoch"), "tokens", F.col("tokens").alias("taken"))
 
     # The epoch that the budget ends in: sums by hash bucket find the bucket; only its rows are put in order.
-    turn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    own_name = F.coalesce(F.col("doc_id").cast("string"), F.col("digest"))  # texts stand for missing ids, so that these don't all come together
+    turn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("whole").cast("string"), own_name))
     part = rows.where("rest > 0").withColumn("turn", turn).withColumn("bucket", F.expr("conv(substr(turn, 1, 8), 16, 10) * buckets div 4294967296").cast("long"))
     sums = part.groupBy(*_LEAF, "bucket").agg(F.sum("tokens").alias("sum"))
     order = Window.partitionBy(*_LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -128,7 +142,7 @@ def mix_sql(documents: str = "documents", budget_percent: int = BUDGET_PERCENT,
     def level(name: str, nodes: str, keys: str, parent: str, budgets: str) -> str:
         on = " AND ".join(f"n.{k} = b.{k}" for k in parent.split(", ") if k) or "true"
         by = "PARTITION BY " + ", ".join(f"n.{k}" for k in parent.split(", ")) if parent else ""
-        order = f"{by} ORDER BY n.supply::DOUBLE / n.weight, " + ", ".join(f"n.{k}" for k in keys.split(", "))
+        order = f"{by} ORDER BY n.supply // n.weight, (n.supply % n.weight)::DOUBLE / n.weight, " + ", ".join(f"n.{k}" for k in keys.split(", "))
         up = f"PARTITION BY {parent}" if parent else ""
         return f"""
 {name}_0 AS (SELECT n.*, b.budget - coalesce(sum(n.supply) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lt,
@@ -149,7 +163,7 @@ total AS (SELECT sum(size) * {budget_percent} // 100 AS budget FROM leaves),
 {level('bl', 'langs', 'domain, lang', 'domain', 'bd')},
 {level('bs', 'leaves', 'domain, lang, source', 'domain, lang', 'bl')},
 epochs AS (SELECT n.*, e.epoch, b.budget, b.size FROM named n JOIN bs b USING (domain, lang, source), (SELECT unnest(range({epochs})) AS epoch) e WHERE e.epoch * b.size < b.budget),
-placed AS (SELECT *, epoch * size + coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('{seed}:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')), doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM epochs)
+placed AS (SELECT *, epoch * size + coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source, epoch ORDER BY md5('{seed}:' || epoch || ':' || coalesce(doc_id::VARCHAR, digest)), doc_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM epochs)
 SELECT doc_id, domain, lang, source, epoch::INTEGER AS epoch, tokens::BIGINT AS tokens, least(tokens, budget - start)::BIGINT AS taken FROM placed WHERE start < budget
 """
 
@@ -162,11 +176,14 @@ def prefix_of(text: Column, tokens: Column) -> Column:
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the corpus to train on, a row for each document and epoch taken.
 
-    All columns of the documents, then epoch, tokens and taken. Where a budget ends within a document, its text is cut to the tokens taken.
+    All columns of the documents, then epoch, tokens and taken, with mix_ before a name that is taken. Where a budget ends within a document, its text is cut to the tokens taken.
     """
     taken = mix(docs, carry=True)
     whole = F.col("_row.text")
     text = F.when(F.col("taken") < F.col("tokens"), prefix_of(whole, F.col("taken"))).otherwise(whole)
     own = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
-    more = [F.col(c).alias(c if c not in docs.columns else f"mix_{c}") for c in ("epoch", "tokens", "taken")]
-    return taken.select(*own, *more)
+    names = {c: c for c in ("epoch", "tokens", "taken")}
+    for c in names:
+        while names[c] in docs.columns:
+            names[c] = f"mix_{names[c]}"
+    return taken.select(*own, *[F.col(c).alias(name) for c, name in names.items()])

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import likely_in, linked_classes, pairs_of_lists, ship, stage
+from .common import flagged, likely_in, linked_classes, pairs_of_lists, row_key, ship, stage
 
 ship(__name__)
 
@@ -227,6 +227,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each component, the one with the smallest doc_id."""
+    """Pipeline stage: one row of each component, of the smallest doc_id.
+
+    Of several rows with that doc_id, equal or not, one stays: the one with the
+    smallest hashes of its text and of all its columns. Rows without doc_id are
+    in no component; of those with equal texts one stays. Null and empty texts
+    are linked with nothing, so that only such repeated rows go.
+    """
     gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    d, h = row_key()
+    key = F.xxhash64(d, F.when(F.col("doc_id").isNull(), h))
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    again = left.select(key.alias("_key")).groupBy("_key").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_key")
+    rows = flagged(left.select(own.alias("_row"), key.alias("_key"), h), "_key", again, "_again")
+    first = rows.where("_again").groupBy("_key").agg(F.min_by("_row", F.struct("_h", F.xxhash64(F.to_json("_row")))).alias("_row"))
+    both = rows.where("NOT _again").select("_row").unionByName(first.select("_row"))
+    return both.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sharelens.llm import chat_format, html_extraction, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, toxicity
+from sharelens.llm import chat_format, decontamination, html_extraction, line_dedup, mixing, near_dedup, pii, quality_classifier, quality_rules, toxicity
 
 from .test_llm import SCHEMA, WORDS, docs, labels, none, shingles, text  # noqa: F401
 
@@ -146,8 +146,147 @@ def test_quality_fences(spark):
     assert "word_length" in {r.doc_id: r for r in quality_rules.quality_rules(df.union(spark.createDataFrame([(6000, odd, "en", "short"), (6001, odd, "en", "long")], df.schema))).collect()}[6000].failed
     assert "word_length" not in found[5001].failed
     rates = spark.createDataFrame([("a", "b", *([v] * 6)) for v in range(1, 4001)], "lang string, source string, " + ", ".join(f"{r} long" for r in quality_rules.RATES))
-    for r in quality_rules.quartiles(quality_rules.sketches(rates), ["lang"]).collect():
-        assert r.n == 4000 and abs(r.q1 - 1000) <= 1000 / 32 and abs(r.q3 - 3000) <= 3000 / 32
+    for r in quality_rules.quantiles(quality_rules.sketches(rates, quality_rules.RATES), ["lang"], [25, 75]).collect():
+        assert r.n == 4000 and abs(r.q25 - 1000) <= 1000 / 32 and abs(r.q75 - 3000) <= 3000 / 32
+
+
+def ruled_slowly(rows):
+    """{doc_id: kept} by the whole rule, from lists of all values instead of sketches merged as rows."""
+    counted, groups = [], {}
+    for i, t, lang, source in rows:
+        c = dict(zip(quality_rules.COUNTS, quality_rules.counts(None if t is None else t.encode())))
+        c |= {r: c[n] * 10000 // max(1, c[m]) for r, (n, m, _) in quality_rules.SPARSE.items()}
+        c |= {"upper_rate": c["n_upper"] * 10000 // max(1, c["n_letters"]), "word_length": c["word_chars"] * 100 // max(1, c["n_words"])}
+        c["base"] = c["n_words"] < 20 or 100 * c["n_repeat_words"] > 30 * c["n_words"]
+        counted.append((i, lang, source, c))
+
+    def rough(v):
+        cut = max(0, v.bit_length() - quality_rules.SIGNIFICANT)
+        return v >> cut << cut
+
+    def level(of, rate, percent, lang, source):
+        value = 0.0
+        for members in (of, [x for x in of if x[1] == lang], [x for x in of if x[1:3] == (lang, source)]):
+            values = sorted(rough(x[3][rate]) for x in members)
+            n = len(values)
+            own = values[-(-n * percent // 100) - 1] if n else 0
+            value = own if members is of else (n * own + quality_rules.LEAN * value) / (n + quality_rules.LEAN)
+        return value
+
+    def outside(c, lang, source):
+        found = []
+        for r in quality_rules.DENSE:
+            lo, hi = (level(counted, r, p, lang, source) for p in (25, 75))
+            room = quality_rules.SPREADS * (hi - lo)
+            found.append(c[r] > hi + room or r == "word_length" and c[r] < lo - room)
+        return any(found)
+
+    state = {k: outside(c, lang, source) for k, (_, lang, source, c) in enumerate(counted)}
+    normal = [x for k, x in enumerate(counted) if not x[3]["base"] and not state[k]]
+    out = {}
+    for k, (i, lang, source, c) in enumerate(counted):
+        bad = c["base"] or state[k]
+        for r, (n, m, unit) in quality_rules.SPARSE.items():
+            usual = level(normal, r, quality_rules.USUAL, lang, source) / 10000 * c[m] / unit
+            bad = bad or c[n] / unit > usual + quality_rules.SPREADS * (usual + 1) ** 0.5
+        out[i] = not bad
+    return out
+
+
+def test_quality_rules_against_brute_force(spark):
+    """Groups with marks in every text, in some and in none, small ones, null names, texts that fail by each rate."""
+    draw, rows = random.Random(8), []
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 7)))
+    for i in range(420):
+        words = [word() for _ in range(draw.randint(15, 120))]
+        source, lang = draw.choice(["web", "web", "code", "tiny"]) if i % 40 else None, draw.choice(["en", "de", None])
+        if source == "code":
+            words = [w + draw.choice(["", "#", "*", "!"]) for w in words]
+        if i % 15 == 0:
+            words = [w + draw.choice(["!", "#", ""]) for w in words]
+        if i % 17 == 0:
+            words = [w.upper() for w in words]
+        if i % 19 == 0:
+            words += words[: draw.randint(8, 30)]
+        lines = [" ".join(words[k : k + 9]) for k in range(0, len(words), 9)]
+        rows.append((i, "\n".join(lines + lines[:2] * (i % 23 == 0)), lang, source))
+    rows += [(900, None, "en", "web"), (901, "", "en", "only-empty"), (902, "one", None, None)]
+    found = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    want = ruled_slowly(rows)
+    assert {r.doc_id: r.kept for r in found} == want and 50 < sum(want.values()) < 400
+    assert {x for r in found for x in r.failed.split(",") if x} >= set(quality_rules.RATES) - {"dup_line_rate"}
+
+
+def test_a_single_mark_keeps_a_document(spark):
+    draw = random.Random(2)
+    clean = lambda n: " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 7))) for _ in range(n))
+    rows = [(i, clean(60), "en", "web") for i in range(300)]
+    twice = clean(8)
+    rows += [(1000, clean(400) + " #", "en", "web"), (1001, clean(400) + " wow!", "en", "web"), (1002, f"{clean(200)}\n{twice}\n{clean(200)}\n{twice}", "en", "web")]
+    rows += [(2000, " ".join(w + "#" for w in clean(100).split()), "en", "web")]
+    kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept[1000] and kept[1001] and kept[1002] and not kept[2000]
+
+
+def test_good_documents_stay(spark):
+    """Of the labelled documents that pass the base rules, 95 % of the good ones stay, and hardly any of the others."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").dropDuplicates(["doc_id"])
+    rows = quality_rules.quality_rules(spark.read.parquet(f"{sf}/documents.parquet")).where("NOT base_failed").join(labels, "doc_id")
+    share = {r.quality: r.kept for r in rows.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert share[1] >= 0.95 and share[0] <= 0.1
+
+
+# Stages on awkward rows
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, epoch int, mix_epoch int"
+
+
+def test_stages_keep_clean_rows_without_ids(spark, tmp_path):
+    """A contaminated row takes along its equals alone, whatever the doc_id; null, empty and clean texts stay."""
+    item = " ".join(f"bench{i}" for i in range(12))
+    spark.createDataFrame([("1", item)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"so {item} it goes"), (None, "a clean text"), (None, None), (None, ""), (3, f"see {item}"), (3, f"see {item}"), (3, "clean too"), (4, "clean"), (None, f"so {item} it goes")]
+    df = spark.createDataFrame([(*r, "en", "s", 1, 1, 1) for r in rows], AWKWARD)
+    left = decontamination.decontamination_stage(spark, df, str(tmp_path))
+    order = lambda rs: sorted(rs, key=str)
+    assert left.columns == df.columns
+    assert order((r.doc_id, r.text) for r in left.collect()) == order([(None, "a clean text"), (None, None), (None, ""), (3, "clean too"), (4, "clean")])
+
+
+def test_one_row_of_a_component_stays(spark, tmp_path):
+    words = [f"w{i}" for i in range(60)]
+    base, near = " ".join(words), " ".join(words[:-1] + ["end"])
+    rows = [(5, base), (5, base), (5, base), (2, near), (2, near), (9, near), (7, "other text"), (7, "third text"), (None, base), (None, base), (None, near), (None, None), (8, None), (8, None), (6, "")]
+    df = spark.createDataFrame([(*r, "en", "s", 1, 1, 1) for r in rows], AWKWARD).withColumn("_key", F.lit("clash"))
+    for parts in (1, 4):
+        left = near_dedup.near_dedup_stage(spark, df.repartition(parts), str(tmp_path))
+        got = [(r.doc_id, r.text) for r in left.collect()]
+        assert left.columns == df.columns
+        assert sorted(x for x, _ in got if x is not None) == [2, 6, 7, 8] and (2, near) in got
+        assert sorted(str(t) for x, t in got if x is None) == sorted([base, near, "None"])
+
+
+def test_mixing_names_no_column_twice(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a b c", "en", "s", 5, 1, 1)], AWKWARD)
+    out = mixing.mixing_stage(spark, df, str(tmp_path))
+    assert len(set(out.columns)) == len(out.columns) and out.columns[: len(df.columns)] == df.columns
+    out.write.parquet(str(tmp_path / "out"))
+
+
+def test_mixing_real_domains(spark):
+    """Domains named by a column get the tokens that the table of weights promises them; ids that are missing are in many buckets."""
+    rows = [(i if i % 3 else None, f"{'law' if i % 2 else 'news'} text number {i} of ten words in all it is", "en", "s", f"{'law' if i % 2 else 'news'}.example") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, host string")
+    weights = spark.createDataFrame([("law", None, None, 3), ("news", None, None, 1)], "domain string, lang string, source string, weight long")
+    out = mixing.mix(df, budget_percent=50, weights=weights, domain=F.substring_index("host", ".", 1))
+    taken = {r.domain: r.n for r in out.groupBy("domain").agg(F.sum("taken").alias("n")).collect()}
+    total = 400 * 11 * 50 // 100
+    assert taken == {"law": total * 3 // 4, "news": total // 4}
+    assert out.where("doc_id IS NULL").count() > 0
+    by_name = mixing.mix(df, budget_percent=50, weights=weights.withColumn("domain", F.concat("domain", F.lit(".example"))), domain="host")
+    assert {r.domain: r.n for r in by_name.groupBy("domain").agg(F.sum("taken").alias("n")).collect()} == {f"{k}.example": v for k, v in taken.items()}
 
 
 # op9, op10
