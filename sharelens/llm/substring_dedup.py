@@ -6,19 +6,21 @@ windows is a super-k-mer and travels as one string of packed words to the bucket
 of its minimiser, where equal windows meet, as they have equal minimisers. A
 bucket is sorted by window, and the smallest doc_id of each window is exact. Runs
 whose minimiser is in one document only hold no shared window; a first pass over
-the minimisers alone finds those that are in several.
-
-Equal runs of different documents are one row with the smallest and the largest
-doc_id before they are dealt, so that copies of a passage, however many, don't
-meet in a task. A passage in very many documents still has as many different
-runs at its edges; the windows of minimisers with over HOT runs travel one by
-one instead, are reduced by window before the shuffle and joined back.
-Runs that copies share are named by two 64-bit hashes of their words.
+the minimisers alone finds those that are in several; a bit filter of bounded
+size spares most others the way, and the rest meet nothing in their buckets.
+
+A minimiser with over HOT runs doesn't send them to one bucket. Its equal runs
+become one row with the smallest and the largest doc_id before the shuffle, so
+that copies of a passage, however many, don't meet in a task; and as a passage
+in very many documents has as many different runs at its edges, their windows
+travel one by one, are reduced by window before the shuffle and joined back.
+A run is named by its minimiser and a 64-bit hash of its words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,33 +29,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import likely_in, row_key, ship, stage
+from .common import MISSING, flagged, likely_in, row_key, scratch, ship, stage
 
 ship(__name__)
 
 WINDOW, GRAM = 13, 6
 #: Different runs of one minimiser that are still sorted together.
 HOT = 256
-_LAST, _CACHE_WORDS = 2**63 - 1, 200_000
+#: 64-bit words of the bit filter of shared minimisers: 32 Mbit, 4 MB, whatever the input.
+FILTER = 1 << 19
+_LAST = 2**63 - 1
+_FILTER_BITS = FILTER.bit_length() - 1
 _MUL, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Words(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE_WORDS:
-            self.clear()
-        self[word] = h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-def runs(words: list[bytes], known: _Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def runs(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(minimiser, first window, number of windows) of each super-k-mer of a document."""
     n = len(words) - window + 1
     if n < 1:
         return (np.empty(0, np.int64),) * 3
-    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    each = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     h = np.zeros(len(words) - gram + 1, np.uint64)
     for i in range(gram):
         h = (h ^ each[i : i + len(h)]) * _MUL
@@ -70,11 +65,10 @@ def runs(words: list[bytes], known: _Words, window: int, gram: int) -> tuple[np.
 
 
 def _minimisers(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    known = _Words()
     for batch in batches:
         owner, found = [], []
         for i, data in enumerate(batch["data"].to_pylist()):
-            each = np.unique(runs((data or b"").split(), known, window, gram)[0])
+            each = np.unique(runs((data or b"").split(), window, gram)[0])
             found.append(each)
             owner.append(np.full(len(each), i))
         if found:
@@ -82,22 +76,35 @@ def _minimisers(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> It
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), doc], ["m", "doc"])
 
 
-def _packed(batches: Iterator[pa.RecordBatch], window: int, gram: int) -> Iterator[pa.RecordBatch]:
-    known = _Words()
+def _packed(batches: Iterator[pa.RecordBatch], window: int, gram: int, masks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The runs whose minimiser may be shared, by `masks`."""
     for batch in batches:
         for at in range(0, batch.num_rows, 64):  # runs are larger than their texts
             some = batch.slice(at, 64)
             owner, parts, strings = [], [], []
             for i, data in enumerate(some["data"].to_pylist()):
                 words = (data or b"").split()
-                m, start, n = runs(words, known, window, gram)
+                m, start, n = runs(words, window, gram)
+                u = m.view(np.uint64)
+                near = (masks[u & np.uint64(FILTER - 1)] >> (u >> np.uint64(_FILTER_BITS) & np.uint64(63))) & np.uint64(1) > 0
+                m, start, n = m[near], start[near], n[near]
                 parts.append(np.stack([m, start, n]))
                 owner.append(np.full(len(m), i))
                 strings += [b" ".join(words[s : s + k + window - 1]) for s, k in zip(start.tolist(), n.tolist())]
             m, start, n = np.concatenate(parts, axis=1)
-            keys = [some[c].take(pa.array(np.concatenate(owner))) for c in ("_d", "_h", "doc")]
+            keys = [some[c].take(pa.array(np.concatenate(owner))) for c in ("_d", "_h")]
             columns = [pa.array(m), pa.array(strings, pa.binary()), *keys, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["m", "run", "_d", "_h", "doc", "start", "n"])
+            yield pa.RecordBatch.from_arrays(columns, ["m", "run", "_d", "_h", "start", "n"])
+
+
+def filter_of(keys: DataFrame) -> np.ndarray:
+    """A bit for each of the long `m` of `keys`, by its low bits: FILTER words, of which some bits are of several keys."""
+    m = F.col("m")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(m, _FILTER_BITS).bitwiseAND(63).cast("int"))
+    found = keys.groupBy(m.bitwiseAND(FILTER - 1).alias("word")).agg(F.bit_or(bit).alias("mask")).toArrow()  # FILTER rows at most
+    masks = np.zeros(FILTER, np.uint64)
+    masks[found["word"].to_numpy()] = found["mask"].to_numpy().view(np.uint64)
+    return masks
 
 
 def _windows(rows: DataFrame, window: int) -> DataFrame:
@@ -109,42 +116,38 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def earliest(found: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """(k1, k2, early array<struct<at, least>>): for the distinct runs of `found`, which windows start in an earlier document than the run's last.
+    """(m, k, early array<struct<at, least>>): for the runs of `found`, which windows start in an earlier document than the run's last.
 
-    `found` has m, run, doc, n and the names k1, k2 of a run.
+    `found` has m, run, its hash k, doc and n; m and k together name a run.
     """
-    keys = ["m", "k1", "k2"]
-    distinct = found.groupBy(*keys).agg(
-        F.min("doc").alias("doc"), F.max("doc").alias("last"), F.first("run").alias("run"), F.first("n").alias("n")
-    )
-    distinct = stage(distinct, "runs")
-    many = stage(distinct.groupBy("m").agg(F.count("*").alias("runs")).where(F.col("runs") > hot).select("m"), "hot")
-    # Few runs of a minimiser: its bucket is sorted by window.
-    few = _windows(distinct.join(many, "m", "left_anti").repartition("m"), window)
-    few = few.withColumn("least", F.min("doc").over(Window.partitionBy("m", "words")))
-    # Many: by the windows themselves.
-    one = _windows(likely_in(distinct, "m", many).join(many, "m"), window)
+    many = found.groupBy("m").agg(F.count("*").alias("rows")).where(F.col("rows") > hot).select("m")
+    both = flagged(found.select("m", "k", "doc", "run", "n"), "m", stage(many, "hot"), "_hot")
+    ends = [F.min("doc").alias("doc"), F.max("doc").alias("last"), F.first("run").alias("run"), F.first("n").alias("n")]
+    # Few rows of a minimiser: its bucket is sorted by window.
+    few = both.where("NOT _hot").drop("_hot").repartition("m").groupBy("m", "k").agg(*ends)
+    few = _windows(few, window).withColumn("least", F.min("doc").over(Window.partitionBy("m", "words")))
+    few = few.where("least < last").groupBy("m", "k").agg(F.collect_list(F.struct("at", "least")).alias("early"))
+    # Many: equal runs are one row, their windows travel one by one.
+    one = stage(both.where("_hot").drop("_hot").groupBy("m", "k").agg(*ends), "runs")
+    one = _windows(one, window)
     least = one.groupBy("m", "words").agg(F.min("doc").alias("least"))
-    one = one.join(least, ["m", "words"])
-    both = few.select("k1", "k2", "at", "least", "last").unionByName(one.select("k1", "k2", "at", "least", "last"))
-    both = both.where("least < last")
-    return both.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "least")).alias("early"))
+    one = one.join(least, ["m", "words"]).where("least < last")
+    return few.unionByName(one.groupBy("m", "k").agg(F.collect_list(F.struct("at", "least")).alias("early")))
 
 
 def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(_d, _h, starts array<int>): the windows of each row of `docs` that start in a document with a smaller doc_id too."""
-    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
-    data = docs.select(*row_key(), doc, F.col("text").cast("binary").alias("data")).where("data IS NOT NULL")
-    marks = data.select("doc", "data").mapInArrow(lambda x: _minimisers(x, window, gram), "m long, doc long")
+    doc = lambda d: F.when(d == MISSING, _LAST).otherwise(d)
+    data = docs.select(*row_key(), F.col("text").cast("binary").alias("data")).where("data IS NOT NULL")
+    marks = data.select(doc(F.col("_d")).alias("doc"), "data").mapInArrow(lambda x: _minimisers(x, window, gram), "m long, doc long")
     shared = marks.groupBy("m").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("m")
-    shared = stage(shared, "minimisers")
-    schema = "m long, run binary, _d long, _h long, doc long, start int, n int"
-    found = likely_in(data.mapInArrow(lambda x: _packed(x, window, gram), schema), "m", shared).join(shared, "m")
-    found = found.withColumns({"k1": F.xxhash64("run"), "k2": F.xxhash64(F.lit("also"), "run")})
-    found = stage(found, "super-k-mers")
+    masks = docs.sparkSession.sparkContext.broadcast(filter_of(shared))
+    schema = "m long, run binary, _d long, _h long, start int, n int"
+    found = data.mapInArrow(lambda x: _packed(x, window, gram, masks.value), schema)
+    found = stage(found.withColumn("k", F.xxhash64("run")), "super-k-mers").withColumn("doc", doc(F.col("_d")))
     early = stage(earliest(found, window, hot), "early")
-    hits = found.select("k1", "k2", "_d", "_h", "doc", "start").join(early, ["k1", "k2"])
-    starts = F.transform(F.filter("early", lambda e: e["least"] < F.col("doc")), lambda e: e["at"] + F.col("start"))
+    hits = likely_in(found.select("m", "k", "_d", "_h", "start"), "k", early.select("k")).join(early, ["m", "k"])
+    starts = F.transform(F.filter("early", lambda e: e["least"] < doc(F.col("_d"))), lambda e: e["at"] + F.col("start"))
     hits = hits.select("_d", "_h", starts.alias("starts")).where(F.size("starts") > 0)
     return hits.groupBy("_d", "_h").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
 
@@ -168,10 +171,13 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ho
     nothing from each other, nor do rows of one doc_id. Rows equal in doc_id and
     text get equal results. A row's memory is in proportion to its text.
     """
-    found = covered(docs.select("doc_id", "text"), window, gram, hot)
+    with scratch(docs.sparkSession):
+        found = stage(covered(docs.select("doc_id", "text"), window, gram, hot), "covered", keep=True)
     d, h = row_key()
     data = docs.select("doc_id", F.col("text").cast("binary").alias("data"), d, h)
-    rows = data.join(found, ["_d", "_h"], "left").select("doc_id", "data", "starts")
+    data = flagged(data, "_h", found.select("_h"), "_hit")  # texts that lose nothing stay where they are
+    rows = data.where("_hit").join(found, ["_d", "_h"], "left").select("doc_id", "data", "starts")
+    rows = rows.unionByName(data.where("NOT _hit").select("doc_id", "data", F.lit(None).cast("array<int>").alias("starts")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_text = pc.CastOptions(pa.string(), allow_invalid_utf8=True)

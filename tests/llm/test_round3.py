@@ -205,11 +205,11 @@ def test_substrings_of_an_empty_table(spark):
 
 
 def test_super_k_mers_hold_each_window_once():
-    rng, known = random.Random(2), substring_dedup._Words()
+    rng = random.Random(2)
     for _ in range(200):
         words = sequence(rng, rng.randint(0, 60), rng.choice([1, 3, 50])).encode().split()
         window = rng.randint(1, 15)
         gram = rng.randint(1, window)
-        _, start, n = substring_dedup.runs(words, known, window, gram)
+        _, start, n = substring_dedup.runs(words, window, gram)
         covered = [s + k for s, size in zip(start.tolist(), n.tolist()) for k in range(size)]
         assert covered == list(range(max(0, len(words) - window + 1)))
