@@ -2,9 +2,9 @@
 
 Each DOM node, text pieces included, has a binary variable: does its subtree
 hold main text? A node's potential comes from logistic weights of its tag,
-class and id words and link share, and a text piece's from
-one weight; each parent-child pair has a potential, one for elements and one
-for text pieces, that all but forbids main text below a node without any and
+class and id words and, for lists and boxes, link share, a phrasing element's (a, b, em ...) from its
+words alone, and a text piece's from one weight; each parent-child pair has a potential, one for elements in the page's body, one for other elements, one for text pieces and one for elements that
+are named as parts of a page, that all but forbids main text below a node without any and
 lets a child follow its parent. One sum-product pass upward and one downward give
 exact marginals; text pieces at 0.5 or more are the main text.
 
@@ -14,7 +14,11 @@ the page shares most lines with, or begin as it does (headings). Documents of on
 as one, and lines of more than COMMON of them, or of the share COMMON_SHARE if that is more, name none. Pages of over
 LABELLED_CHARS characters aren't in the sample, names that one page alone has keep their prior, and equal nodes are counted
 once, so that what the driver holds has a bound. The weights have prior means from the
-usual names of page parts, so that parts no labelled page has are known too.
+usual names of page parts, so that parts no labelled page has are known too. n nodes that
+look alike weigh as 1 + log2(n), so that a thousand pages of one template don't outweigh
+what is known of others.
+
+Headings in a `header` go with it, also within an article.
 """
 
 from __future__ import annotations
@@ -35,16 +39,25 @@ ship(__name__)
 
 #: At most so many pages are labelled, in the order of a hash of page_id.
 LABELLED_PAGES, LABELLED_CHARS = 400, 50_000
-COMMON, COMMON_SHARE, HEAD_CHARS, PRIOR_PRECISION, STEPS = 50, 2e-5, 20, 0.5, 300
+COMMON, COMMON_SHARE, HEAD_CHARS, STEPS = 50, 2e-5, 20, 300
+#: How firmly prior means stand: class and id words are learned, what an element's tag means is known.
+NAME_PRECISION, PRECISION = 0.5, 100.0
+#: Smoothed counts of the potentials of elements in the page's body, of those in other elements, of text pieces, and of elements
+#: named as parts of a page: below a node without main text none and some, below one with it none and some.
+EDGES = [[[50.0, 0.05], [2.0, 6.0]], [[50.0, 0.05], [0.6, 20.0]], [[50.0, 0.05], [0.6, 20.0]], [[50.0, 0.05], [18.0, 2.0]]]
 # Elements by how a browser treats them, and names of page parts.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "select", "option", "button"}
 OPAQUE = {"script", "style", "textarea", "title"}
+PHRASING = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+PAGE = {"html", "body"}
+LISTING = {"dd", "div", "dl", "dt", "li", "menu", "ol", "section", "table", "tbody", "td", "th", "tr", "ul"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "li", "dd", "dt"}
 AGAINST = ["nav", "aside", "header", "footer", "form", "menu", "sidebar", "ad", "ads", "advert", "banner", "cookie", "consent", "notice", "comment", "comments", "reply", "respond", "promo", "sponsor", "sponsored", "share", "social", "related", "breadcrumb", "breadcrumbs", "newsletter", "subscribe", "popup", "widget", "pagination", "toolbar", "login", "search"]
-FAVOURED = ["article", "main", "p", "h1", "h2", "h3", "content", "post", "entry", "story", "blockquote", "pre", "table"]
+FAVOURED = ["article", "main", "content", "post", "entry", "story"]
+_PARTS = {*AGAINST, *RAW}
 _OPEN = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*+>?|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))", re.S)
 _REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -132,8 +145,26 @@ def node_features(nodes: list[Node], i: int) -> list[tuple[str, float]]:
     node = nodes[i]
     if node.tag == "#":
         return [("text", 1.0)]
-    found = [("bias", 1.0), ("tag:" + node.tag, 1.0), ("links", round(node.linked / max(1, node.chars), 2))]
-    return found + [("name:" + w, 1.0) for w in set(node.names)]
+    if node.tag in PAGE:  # what a page's body is named for speaks of its parts; the root of a page without markup holds its text
+        return [("bias", 1.0), ("tag:body", 1.0)]
+    names = [("name:" + w, 1.0) for w in sorted(set(node.names))]
+    if node.tag in PHRASING:
+        return names
+    links = []
+    if node.tag in LISTING:  # how much more of it are links than of what it lies in; a paragraph may be one
+        up = nodes[node.parent]
+        links = [("links", round(max(0.0, node.linked / max(1, node.chars) - up.linked / max(1, up.chars)), 1))]
+    return [("bias", 1.0), ("tag:" + node.tag, 1.0), *links, *names]
+
+
+def edge_kind(nodes: list[Node], i: int) -> int:
+    """Which of the potentials joins a node with its parent."""
+    node = nodes[i]
+    if node.tag == "#":
+        return 2
+    if node.tag not in PAGE and not _PARTS.isdisjoint((node.tag, *node.names)):
+        return 3
+    return int(nodes[node.parent].tag not in PAGE)
 
 
 def prior_mean(feature: str) -> float:
@@ -141,20 +172,20 @@ def prior_mean(feature: str) -> float:
         return 8.0  # a page nearly always holds some
     kind, _, word = feature.partition(":")
     if kind in ("tag", "name"):
-        return -4.0 if word in AGAINST or word in RAW else 2.5 if word in FAVOURED else 0.0
-    return -2.0 if feature == "links" else 0.0
+        return -8.0 if word in AGAINST or word in RAW else 2.5 if word in FAVOURED else 0.0
+    return -3.0 if feature == "links" else 0.0
 
 
 def marginals(nodes: list[Node], weights: dict[str, float], edge: np.ndarray) -> list[float]:
-    """P(main text) of each node by sum-product: messages to the root, then back. `edge[is text][parent][child]`."""
+    """P(main text) of each node by sum-product: messages to the root, then back. `edge[kind][parent][child]`, kind by edge_kind."""
     n = len(nodes)
     score = [sum(weights.get(f, prior_mean(f)) * x for f, x in node_features(nodes, i)) for i in range(n)]
     unary = [(1.0, float(np.exp(max(-30.0, min(30.0, s))))) for s in score]
     inside, to_parent = [list(u) for u in unary], [(1.0, 1.0)] * n
-    pairs = [tuple(map(float, e.ravel())) for e in edge]
+    pairs, kinds = [tuple(map(float, e.ravel())) for e in edge], [edge_kind(nodes, i) for i in range(n)]
     for i in range(n - 1, 0, -1):
         zero, one = inside[i]
-        e00, e01, e10, e11 = pairs[nodes[i].tag == "#"]
+        e00, e01, e10, e11 = pairs[kinds[i]]
         m0, m1 = e00 * zero + e01 * one, e10 * zero + e11 * one
         total = m0 + m1
         to_parent[i] = m0, m1 = m0 / total, m1 / total
@@ -168,7 +199,7 @@ def marginals(nodes: list[Node], weights: dict[str, float], edge: np.ndarray) ->
     belief = [tuple(inside[0])] * n
     for i in range(1, n):
         b0, b1 = belief[nodes[i].parent]
-        e00, e01, e10, e11 = pairs[nodes[i].tag == "#"]
+        e00, e01, e10, e11 = pairs[kinds[i]]
         o0, o1 = b0 / max(to_parent[i][0], 1e-300), b1 / max(to_parent[i][1], 1e-300)
         zero, one = inside[i][0] * (o0 * e00 + o1 * e10), inside[i][1] * (o0 * e01 + o1 * e11)
         total = zero + one or 1e-300
@@ -221,9 +252,10 @@ def train(pages: DataFrame, docs: DataFrame, bound: int = LABELLED_PAGES) -> tup
 
 
 def fit(pages: list[tuple[list[Node], set[int]]]) -> tuple[dict[str, float], np.ndarray]:
-    """Weights by logistic loss with prior means, edge potentials from smoothed counts, over labelled nodes."""
-    counted, edge = Counter(), np.array([[[50.0, 0.05], [2.0, 6.0]], [[50.0, 0.05], [1.0, 20.0]]])
-    on_pages = Counter(f for nodes, _ in pages for f in {f for i in range(1, len(nodes)) if nodes[i].chars for f, _ in node_features(nodes, i)})
+    """Weights by logistic loss with prior means, edge potentials from smoothed counts, over labelled nodes that look different."""
+    counted, edges = Counter(), defaultdict(Counter)
+    looks = lambda nodes, i: tuple(sorted(node_features(nodes, i)))
+    on_pages = Counter(f for nodes, _ in pages for f in {f for i in range(1, len(nodes)) if nodes[i].chars for f, _ in looks(nodes, i)})
     for nodes, good in pages:
         y = [False] * len(nodes)
         for i in good:
@@ -231,10 +263,15 @@ def fit(pages: list[tuple[list[Node], set[int]]]) -> tuple[dict[str, float], np.
                 y[i], i = True, nodes[i].parent
         for i in range(1, len(nodes)):
             if nodes[i].chars:
-                edge[int(nodes[i].tag == "#"), int(y[nodes[i].parent]), int(y[i])] += 1
-                known = tuple(sorted(x for x in node_features(nodes, i) if on_pages[x[0]] > 1 or len(pages) == 1))
-                other = sum(prior_mean(f) * v for f, v in node_features(nodes, i) if on_pages[f] == 1 and len(pages) > 1)
+                up, own = nodes[i].parent, looks(nodes, i)
+                edges[edge_kind(nodes, i), nodes[up].tag, nodes[up].names, nodes[i].tag, own][y[up], y[i]] += 1
+                known = tuple(x for x in own if on_pages[x[0]] > 1 or len(pages) == 1)
+                other = sum(prior_mean(f) * v for f, v in own if on_pages[f] == 1 and len(pages) > 1)
                 counted[known, round(other, 2), y[i]] += 1
+    edge = np.array(EDGES)
+    for (kind, *_), found in edges.items():
+        for (above, below), n in found.items():
+            edge[kind, int(above), int(below)] += n / found.total() * (1 + np.log2(found.total()))
     edge = edge / edge.sum(axis=2, keepdims=True)
     names = sorted({f for known, _, _ in counted for f, _ in known})
     if not names:
@@ -242,15 +279,18 @@ def fit(pages: list[tuple[list[Node], set[int]]]) -> tuple[dict[str, float], np.
     at = {f: k for k, f in enumerate(names)}
     x, other, y, n = np.zeros((len(counted), len(names))), np.zeros(len(counted)), np.zeros(len(counted)), np.zeros(len(counted))
     for i, ((known, more, label), times) in enumerate(sorted(counted.items())):
-        other[i], y[i], n[i] = more, label, times
+        other[i], y[i] = more, label
+        alike = times + counted.get((known, more, not label), 0)
+        n[i] = times / alike * (1 + np.log2(alike))
         for f, v in known:
             x[i, at[f]] += v
     mean = np.array([prior_mean(f) for f in names])
+    firm = np.array([NAME_PRECISION if f.startswith("name:") else PRECISION for f in names])
     w = mean.copy()
-    step = np.linalg.inv((x * n[:, None]).T @ x / 4 + PRIOR_PRECISION * np.eye(len(names)))  # of a bound of the curvature: steps never overshoot
+    step = np.linalg.inv((x * n[:, None]).T @ x / 4 + np.diag(firm))  # of a bound of the curvature: steps never overshoot
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ w + other, -30, 30)))
-        w = w - step @ (x.T @ (n * (p - y)) + PRIOR_PRECISION * (w - mean))
+        w = w - step @ (x.T @ (n * (p - y)) + firm * (w - mean))
     return dict(zip(names, map(float, w))), edge
 
 

@@ -338,6 +338,55 @@ def page(i, article, hostile=""):
     return f"<html><head><title>t</title></head><body><div class='menu m{i}'><a href=x>Home {i}</a></div><div class='zone'>{items}</div>{hostile}<div class='tail'>Copyright {i}<script>var x={i};</script></div></body></html>"
 
 
+BODY, NAMED = "<html><body>%s</body></html>", "<html><body class='has-sidebar search'>%s</body></html>"
+PAGES = [
+    (BODY % "<nav><a href=x>Home</a></nav><article><h1>Title</h1><p>See <a href=1>one link</a> and <a href=2>another link</a>.</p><p><a href=3>A paragraph that is one link only</a></p></article><footer>foot</footer>", "Title\nSee one link and another link.\nA paragraph that is one link only"),
+    (BODY % "<article><p>Intro</p><ul><li>first</li><li>second</li></ul><blockquote>Quote</blockquote><pre>code  here</pre><table><tr><td>c1</td><td>c2</td></tr></table></article><form><p>Sign up</p><button>Go</button></form>", "Intro\nfirst\nsecond\nQuote\ncode here\nc1\nc2"),
+    (BODY % '<div class="x1"><div class="x2">Plain text in a div with no names, long enough to be an article. It goes on and on.</div></div><div class="nav2"><ul><li><a href=1>A</a></li><li><a href=2>B</a></li></ul></div>', "Plain text in a div with no names, long enough to be an article. It goes on and on."),
+    (BODY % '<div id="cookie-notice"><p>We use cookies</p></div><main><div class="text"><p>Body &amp; soul &#233; &nbsp; x</p></div></main><section class="comments"><p>Reader says hi</p></section><aside><p>Side text</p></aside>', "Body & soul é x"),
+    ("Just bare text without any markup at all.", "Just bare text without any markup at all."),
+    ("<p>Only a paragraph<p>and another", "Only a paragraph\nand another"),
+    (BODY % '<div id="menu"><ul><li><a href=1>Eins</a></li><li><a href=2>Zwei</a></li></ul></div><div id="content"><h2>Kopf</h2><p>Ein <em>Absatz</em> mit <a href=3>Link</a>.</p><ul><li><a href=4>Quelle eins</a></li><li>Quelle zwei</li></ul></div><div class="sidebar"><h3>Mehr</h3><p>Noch mehr</p></div><div id="footer">Impressum</div>', "Kopf\nEin Absatz mit Link.\nQuelle eins\nQuelle zwei"),
+    (BODY % '<header><h1>Site</h1></header><main><h1>Post</h1><p>One.</p><div class="share-buttons"><a href=1>Tweet</a></div><p>Two.</p><div class="related"><p>Other posts</p></div></main><div id="respond"><form><p>Leave a reply</p></form></div>', "Post\nOne.\nTwo."),
+    (BODY % '<div id="wrapper" class="x"><div><div><section><div class="text"><div><p>Deep one</p><ul><li><p>item</p></li></ul><table><tbody><tr><td><b>cell</b></td></tr></tbody></table></div></div></section></div></div></div>', "Deep one\nitem\ncell"),
+    (NAMED % ("<article><p>Kept</p></article><div class='comments'>" + "<p>reader</p>" * 40 + "</div>"), "Kept"),
+    (BODY % '<article><h1>T</h1><p>x</p></article><div class="related"><article><h2>a</h2></article><article><h2>b</h2></article></div><ul class="breadcrumbs"><li><a href=1>x</a></li></ul>', "T\nx"),
+]
+
+
+@pytest.mark.parametrize("sf", [None, "sf0.01", "sf0.1"])
+def test_pages_of_no_labelled_template(spark, sf):
+    """Ordinary pages, none of whose templates is among the labelled ones, under no weights and under those of the tables."""
+    if sf:
+        tables = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("pages", "documents"))
+        weights, edge = html_extraction.train(*tables)
+        assert "tag:nav" in weights
+    else:
+        weights, edge = html_extraction.fit([])
+    for html, text_ in PAGES:
+        assert html_extraction.extract(html, weights, edge) == text_, html
+
+
+def test_a_template_left_out(spark):
+    """Learned from pages of one template whose parts have made-up names, pages of another one come out right, and the other way round."""
+    def first(i, parts):
+        return f"<html><body><div class='zz-top'><p>Welcome {i}</p></div><div class='zz-mid'>{''.join(f'<p>{x}</p>' for x in parts)}</div></body></html>"
+
+    def second(i, parts):
+        return f"<html><body><nav><ul><li><a href=1>Start {i}</a></li></ul></nav><article><h1>{parts[0]}</h1>{''.join(f'<p>{x}</p>' for x in parts[1:])}</article><footer>f {i}</footer></body></html>"
+
+    articles = [[f"{text(i, 12)} {k}" for k in range(4)] for i in range(30)]
+    docs_ = spark.createDataFrame([(i, "\n".join(a)) for i, a in enumerate(articles)], "doc_id long, text string")
+    for form, other in ((first, second), (second, first)):
+        rows = [(i, form(i, a)) for i, a in enumerate(articles)]
+        weights, edge = html_extraction.train(spark.createDataFrame(rows, "page_id long, html string"), docs_)
+        assert all(html_extraction.extract(h, weights, edge) == "\n".join(a) for (_, h), a in zip(rows, articles))
+        left_out = html_extraction.extract(other(5, articles[5]), weights, edge)
+        assert left_out == ("\n".join(articles[5]) if other is second else "Welcome 5\n" + "\n".join(articles[5]))
+    for html, text_ in PAGES[:4]:
+        assert html_extraction.extract(html, weights, edge) == text_
+
+
 def test_html_extraction_learns_from_pages(spark):
     """Names that no list knows are learned from pages whose text a document has; null, empty, repeated and hostile pages have a result."""
     articles = [[f"{text(i, 12)} {k}" for k in range(4)] for i in range(40)]

@@ -216,13 +216,13 @@ def test_html_marginals_are_exact():
     import numpy as np
 
     nodes = html_extraction.parse("<div><p>a</p><nav>b<i>c</i></nav></div>")
-    edge = np.array([[[0.9, 0.1], [0.3, 0.7]], [[0.8, 0.2], [0.25, 0.75]]])
+    edge = np.array([[[0.9, 0.1], [0.3, 0.7]], [[0.85, 0.15], [0.4, 0.6]], [[0.8, 0.2], [0.25, 0.75]], [[0.7, 0.3], [0.45, 0.55]]])
     score = [sum(html_extraction.prior_mean(f) * x for f, x in html_extraction.node_features(nodes, i)) for i in range(len(nodes))]
     total, one = 0.0, np.zeros(len(nodes))
     for y in itertools.product((0, 1), repeat=len(nodes)):
         p = np.exp(sum(s * v for s, v in zip(score, y)))
         for i in range(1, len(nodes)):
-            p *= edge[int(nodes[i].tag == "#"), y[nodes[i].parent], y[i]]
+            p *= edge[html_extraction.edge_kind(nodes, i), y[nodes[i].parent], y[i]]
         total += p
         one += p * np.array(y)
     assert html_extraction.marginals(nodes, {}, edge) == pytest.approx(list(one / total))
