@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import running_totals
+
 START, MIDDLE, END, ESCAPED = "<|", "|>\n", "<|end|>\n", "< |"
 TRAINED_ROLE = "assistant"
 
@@ -24,14 +26,14 @@ def _render(turn: Column) -> Column:
 
 def _mask(turns: Column) -> Column:
     head = lambda t: F.length(F.concat(F.lit(START), t["role"], F.lit(MIDDLE)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans"))
+    ends = running_totals(F.transform(turns, lambda t: F.length(_render(t)).cast("long")))
 
-    def step(acc: Column, t: Column) -> Column:
-        end = acc["at"] + F.length(_render(t))
-        span = F.concat_ws(":", (acc["at"] + head(t)).cast("string"), (end - 1).cast("string"))  # the line break after the end mark is not trained on
-        return F.struct(end.alias("at"), F.when(t["role"] == TRAINED_ROLE, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def span(t: Column, end: Column) -> Column:
+        """The line break after the end mark is not trained on; null for turns that aren't."""
+        begin = end - F.length(_render(t)) + head(t)
+        return F.when(t["role"] == TRAINED_ROLE, F.concat_ws(":", begin.cast("string"), (end - 1).cast("string")))
 
-    return F.array_join(F.aggregate(turns, start, step)["spans"], ",")
+    return F.array_join(F.array_compact(F.zip_with(turns, ends, span)), ",")
 
 
 def format_preferences(conversations: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ BLANKS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 #: A membership filter has this many 64-bit words: 8 Mbit, 1 MB of masks, whatever the input.
 FILTER_WORDS = 1 << 17
+#: Members of an array that are added up together.
+CHUNK = 128
 
 
 #: Paths of the tables written since the innermost `scratch` began.
@@ -98,6 +100,29 @@ def likely_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return flagged(df, key, keys, "_likely").where("_likely").select(*df.columns)
 
 
+def _totals(sizes: Column) -> Column:
+    """The running totals of an array of longs. It grows an array by copying, so it is for short ones."""
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("upto"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["upto"], F.array(acc["sum"] + x)).alias("upto"))
+
+    return F.aggregate(sizes, start, step)["upto"]
+
+
+def running_totals(sizes: Column) -> Column:
+    """The running totals of an array of longs of any length: within chunks of CHUNK, then over the chunks."""
+    first = F.sequence(F.lit(1), F.greatest(F.size(sizes), F.lit(1)), F.lit(CHUNK))
+    bound = lambda x, use: F.get(F.transform(F.array(x), use), F.lit(0))  # noqa: E731  made once, however often it is used
+
+    def joined(chunks: Column) -> Column:
+        before = _totals(F.transform(chunks, lambda c: F.coalesce(F.try_element_at(c, F.lit(-1)), F.lit(0).cast("long"))))
+        shifted = F.zip_with(chunks, before, lambda c, upto: F.transform(c, lambda x: x + upto - F.try_element_at(c, F.lit(-1))))
+        return F.flatten(shifted)
+
+    return bound(F.transform(first, lambda i: _totals(F.slice(sizes, i, CHUNK))), joined)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find: (node, comp) for each node of the long pairs `a`, `b`; comp is the smallest node reachable.
 

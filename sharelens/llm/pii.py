@@ -22,7 +22,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import running_totals, stage
 
 KINDS = ["email", "ip", "card", "phone", "secret"]
 PATTERNS = {
@@ -100,18 +100,14 @@ def _features(kind_at: int, m: Column, before: Column) -> Column:
 def _spans(at: int, both: Column) -> Column:
     """Span structs of one kind from (text before, match) pairs in order."""
     kind = KINDS[at]
-    start = F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<bigint>").alias("starts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["pos"] + F.length(x["part"])
-        return F.struct((begin + F.length(x["hit"])).alias("pos"), F.concat(acc["starts"], F.array(begin)).alias("starts"))
 
     def span(x: Column, begin: Column) -> Column:
         before = F.right(x["part"], F.lit(24))
         base = F.lit(kind != "secret") & _format_ok(kind, x["hit"])
         return F.struct(F.lit(at).alias("kind"), begin.alias("start"), (begin + F.length(x["hit"])).alias("end"), base.alias("base"), F.array(*_votes(kind, x["hit"], before)).alias("votes"), _features(at, x["hit"], before).alias("features"))
 
-    return F.zip_with(both, F.aggregate(both, start, step)["starts"], span)
+    ends = running_totals(F.transform(both, lambda x: (F.length(x["part"]) + F.length(x["hit"])).cast("long")))
+    return F.zip_with(both, F.zip_with(both, ends, lambda x, end: end - F.length(x["hit"])), span)
 
 
 def candidates(text: Column) -> Column:

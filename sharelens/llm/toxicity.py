@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact weighted TF-IDF cosine.
 
 Terms are all words (A-Z lower-cased) of a text, examples all labelled rows of
-the bounded sample that have a word. A term weighs its idf among the labelled
+the sample, bounded in rows and in words, that have a word. A term weighs its idf among the labelled
 rows times its tie to a class: by how many standard errors its share of toxic
 rows lies from the overall share, 1 at least. A word that no labelled row has
 weighs as one that a single row has, without a tie; it meets no example but
@@ -37,6 +37,8 @@ from .training import MAX_LABELLED, held_out, labelled_rows
 
 ship(__name__)
 
+#: The labelled rows have at most so many words in all, so that the index has a bound, also in postings and different words.
+MAX_WORDS = 8_000_000
 K, COMMON, BLOCK, FIRST, PIECE, PRIOR_WEIGHT = 15, 1 / 5, 64, 64, 50_000, 1.0
 
 
@@ -179,9 +181,9 @@ def _calibration(votes: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> tuple[object | None, tuple[float, float], float]:
+def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, words: int = MAX_WORDS) -> tuple[object | None, tuple[float, float], float]:
     """(broadcast data of the index, calibration, overall share of toxic). Without labels of both kinds there is no index and the share is the score."""
-    rows = labelled_rows(docs, labels, "toxic", "max", bound)
+    rows = labelled_rows(docs, labels, "toxic", "max", bound, words)
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("t")).first()
     n, prior = total["n"], total["t"] / max(1, total["n"])
     if not 0 < prior < 1:
@@ -240,7 +242,7 @@ def scored(docs: DataFrame, model: tuple[object | None, tuple[float, float], flo
     return data.mapInArrow(score_each, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, evidence string")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED, words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) of every row of `docs`.
 
     The score rises with the vote and depends on the text alone: a labelled document meets its own example like any other
@@ -248,5 +250,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> D
     ones included, has no neighbour: its vote is the overall share. Repeated
     rows are scored alike.
     """
-    out = scored(docs, train(docs, labels, bound))
+    out = scored(docs, train(docs, labels, bound, words))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")

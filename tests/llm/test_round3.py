@@ -1,14 +1,16 @@
 """Token alignment, centroid clustering and substring dedup against brute force."""
 
 import hashlib
+import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sharelens.llm import centroid_clustering, substring_dedup, token_alignment
+from sharelens.llm import centroid_clustering, chat_format, common, pii, substring_dedup, token_alignment, toxicity
 
 ODD = [
     None, "", " ", "  ", "\n", "\n\n a", "a\r\nb", "x  y", "x　y   z  q", "<|endoftext|> <s>", "▁a", "éé",
@@ -213,3 +215,77 @@ def test_super_k_mers_hold_each_window_once():
         _, start, n = substring_dedup.runs(words, window, gram)
         covered = [s + k for s, size in zip(start.tolist(), n.tolist()) for k in range(size)]
         assert covered == list(range(max(0, len(words) - window + 1)))
+
+
+# Mends of earlier operators
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 127, 128, 129, 1000, 20_000])
+def test_running_totals(spark, n):
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long")), lambda i: (i * 7) % 11).alias("x"))
+    x = F.slice("x", 1, n) if n else F.filter("x", lambda v: F.lit(False))
+    want = np.cumsum([(i * 7) % 11 for i in range(n)]).tolist()
+    assert df.select(common.running_totals(x)).first()[0] == want
+
+
+def test_many_spans_in_one_text(spark):
+    """40,000 addresses in one text: time in proportion to the text."""
+    one = "mail a.b1@mail.example.com now "
+    df = spark.createDataFrame([(1, one * 40_000), (2, one * 3)], "doc_id long, text string")
+    spans = df.select("doc_id", pii.candidates(F.col("text")).alias("s"))
+    spans.where("doc_id = 2").collect()
+    begin = time.time()
+    got = spans.select(F.size("s").alias("n"), F.element_at("s", -1)["start"].alias("at")).collect()
+    assert time.time() - begin < 10
+    assert [(r.n, r["at"]) for r in got] == [(40_000, len(one) * 39_999 + 5), (3, len(one) * 2 + 5)]
+
+
+def test_long_conversations(spark):
+    """Masks of a conversation of 6,000 turns, by hand."""
+    rows = [(2 * k, i, "assistant" if i % 2 else "user", f"{k} turn {i}") for k in (0,) for i in range(6000)] + [(1, 0, "user", "other")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    begin = time.time()
+    r = chat_format.format_preferences(df).first()
+    assert time.time() - begin < 20
+    at, spans = 0, []
+    for _, _, role, text in rows[:6000]:
+        shown = f"<|{role}|>\n{text}<|end|>\n"
+        if role == "assistant":
+            spans.append(f"{at + len(role) + 5}:{at + len(shown) - 1}")
+        at += len(shown)
+    assert r.chosen_mask == ",".join(spans) and r.rejected_mask == ""
+
+
+def test_expectation_maximisation_over_single_candidates():
+    """The chances of vote patterns against EM that looks at every candidate by itself."""
+    rng = random.Random(6)
+    patterns = [(k, tuple(rng.choice((-1, 0, 1)) for _ in range(4)), rng.randint(1, 9)) for k in (0, 2) for _ in range(12)]
+    patterns = [(k, v, n) for (k, v), n in {(k, v): n for k, v, n in patterns}.items()]
+    got = pii.reliabilities(patterns, rounds=4)
+    for kind in (0, 2):
+        each = [v for k, v, n in patterns if k == kind for _ in range(n)]
+        real = [0.05 if v[0] < 0 else 0.95 if sum(v) > 0 else 0.5 for v in each]
+        for _ in range(4):
+            share = (sum(real) + 1) / (len(each) + 2)
+            odds = [math.log(share / (1 - share))] * len(each)
+            for j in range(4):
+                weight = len(each) if j == 0 else 3
+                for vote in (-1, 0, 1):
+                    lean, back = pii.PRIOR_RATES[j == 0][vote]
+                    yes = (sum(p for v, p in zip(each, real) if v[j] == vote) + weight * lean) / (sum(real) + weight)
+                    no = (sum(1 - p for v, p in zip(each, real) if v[j] == vote) + weight * back) / (len(each) - sum(real) + weight)
+                    odds = [o + math.log((yes + 1e-6) / (no + 1e-6)) * (v[j] == vote) for o, v in zip(odds, each)]
+            real = [1 / (1 + math.exp(-max(-30, min(30, o)))) for o in odds]
+        for v, p in zip(each, real):
+            assert got[kind, v] == pytest.approx(p, abs=1e-9)
+
+
+def test_toxicity_learns_from_a_bounded_number_of_words(spark):
+    rng = random.Random(4)
+    texts = [sequence(rng, 40) + (" vile nasty" if i % 3 == 0 else "") for i in range(240)]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(240)], "doc_id long, quality int, toxic int")
+    shared, _, _ = toxicity.train(docs, labels, words=1000)
+    assert 0 < sum(len(texts[i].split()) for i in shared.value.ids) <= 1000
+    assert len(toxicity.train(docs, labels)[0].value.ids) > 140
+    assert toxicity.toxicity(docs, labels, words=1000).count() == 240
