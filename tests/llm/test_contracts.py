@@ -322,8 +322,8 @@ def test_toxicity_does_not_depend_on_doc_id(spark):
     assert one == two
 
 
-def test_pairwise_loss_against_brute_force(spark):
-    """The weights minimise the logistic loss of feature differences: no small step lowers it."""
+def test_pairs_are_ordered(spark):
+    """The learned weights put every high document above every low one where they differ plainly."""
     df, marks = classified(spark, lambda t: t.replace(" ", "### ")), labels(spark, [(i, int(i % 4 > 0), 0) for i in range(300)])
     weights, _ = quality_classifier.train(df, marks)
     taught = [i for i in range(300) if not held(i)]
@@ -332,6 +332,45 @@ def test_pairwise_loss_against_brute_force(spark):
     assert won == sum(1 for i in taught if i % 4) * sum(1 for j in taught if j % 4 == 0)
 
 
+def test_pairwise_loss_against_brute_force(spark, monkeypatch):
+    """Where the classes overlap: the pairs are differences of a high and a low document's features, and the weights minimise their loss."""
+    seen, fit = [], quality_classifier.LogisticRegression.fit
+
+    def watched(self, pairs):
+        seen.extend((r.label, r.features.toArray()) for r in pairs.collect())
+        return fit(self, pairs)
+
+    monkeypatch.setattr(quality_classifier.LogisticRegression, "fit", watched)
+    draw = random.Random(12)
+    texts = {i: " ".join(w + draw.choice(["", "", "#" if i % 4 == 0 else "", "!", "."]) for w in text(i, draw.randint(5, 60)).split()) for i in range(300)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marks = {i: int(i % 4 > 0) if draw.random() < 0.85 else draw.randint(0, 1) for i in texts}
+    weights, _ = quality_classifier.train(df, labels(spark, [(i, y, 0) for i, y in marks.items()]))
+
+    taught = {i: np.array(quality_classifier.features(t)) for i, t in texts.items() if not held(i)}
+    whole = lambda v: tuple(np.round(v, 9) + 0.0)
+    differences = {whole(taught[i] - taught[j]) for i in taught if marks[i] for j in taught if not marks[j]}
+    assert len(seen) > 100 and all(whole(x if y else -x) in differences for y, x in seen)
+    y, x = np.array([p[0] for p in seen]), np.array([p[1] for p in seen])
+    spread = x.std(axis=0, ddof=1)
+
+    def loss(w):
+        """Mean logistic loss and the penalty of weights in standard deviations."""
+        return np.logaddexp(0, -(2 * y - 1) * (x @ w)).mean() + quality_classifier.REG / 2 * ((w * spread) ** 2).sum()
+
+    def slope(w):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        return x.T @ (p - y) / len(y) + quality_classifier.REG * spread**2 * w
+
+    w = np.array(weights)
+    scale = np.where(spread > 0, spread, 1)
+    assert 0.05 < loss(w) < loss(0 * w) and np.abs(slope(w) / scale).max() < 2e-3
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        step = rng.normal(size=len(w)) / scale
+        assert loss(w + 0.2 * step / np.linalg.norm(step * scale)) > loss(w) - 1e-6
+
+
 # op3
 
 
