@@ -761,6 +761,25 @@ def _(spark, d):
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
 
 
+#: Lines of four kinds from every request, one of seven spoilt in some way.
+SPOILT = {
+    "run_reports": ("bad slices", "concat('rw_speed.job', jobid, ' time=2021-08-23:16:33:23 nn=1 mbps=1.5 mbps_1sec_time_slices=(1.5,', CASE WHEN okey % 7 = 0 THEN 'x' ELSE '2' END, ')')"),
+    "decision_log": ("ids and counts differ", "concat('FairQueue::reportDecisionLog rank 1 time=2.5 ', jobid, ',7:4', CASE WHEN okey % 7 = 1 THEN '' ELSE ',5' END)"),
+    "interval_reports": ("no rate", "concat('T = ', okey, '.0 ', CASE WHEN okey % 7 = 2 THEN 'none' ELSE '0.610' END, ' M IOPS')"),
+    "request_trace": ("bad form", "concat('in msg tid=1 tag=2 name=read ', CASE WHEN okey % 7 = 3 THEN 'job' ELSE 'jobidx' END, '=3 time=1.5 content=0a')"),
+}
+
+
+@query("s_rejected_lines", " UNION ALL ".join(f"SELECT '{k}' AS reader, '{reason}' AS reason, count(*) AS n FROM trace WHERE okey % 7 = {i}" for i, (k, (reason, _)) in enumerate(SPOILT.items())))
+def _(spark, d):
+    found = None
+    for reader, (_, line) in SPOILT.items():
+        rows = so.rejected_lines(view(spark, d, "trace").select(F.expr(line).alias("value")), reader)
+        rows = rows.groupBy(F.lit(reader).alias("reader"), "reason").agg(F.count("*").alias("n"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query("s10_parse_dir_list", "SELECT path, 4 AS type FROM catalog WHERE type = 4")
 def _(spark, d):
     names = view(spark, d, "catalog").where("type = 4").select(F.concat("entry", F.lit("\r")).alias("value"))

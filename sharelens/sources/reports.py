@@ -52,12 +52,60 @@ def read_run_headers(spark: SparkSession, path: str) -> DataFrame:
     return parse_run_headers(lines_of(spark, path))
 
 
+#: A decision-log line, its sets of ids and counts, a printed request.
+DECISION_FORM = r"reportDecisionLog rank (\d+) time=([0-9.]+) ?(.*)$"
+SET_FORM = r"^-?\d+(?:,-?\d+)*:-?\d+(?:,-?\d+)*$"
+REQUEST_FORM = r"^(.*) msg tid=(-?\d+) tag=(-?\d+) name=(.*) jobidx=(-?\d+) time=([0-9.]+) content=[0-9a-f]*$"
+
+
+def rejected_lines(lines: DataFrame, reader: str, strip_comment: bool = True) -> DataFrame:
+    """`lines` that are meant for a reader but lack what it needs, with the `reason`: the first that holds.
+
+    `reader` is run_reports (S1), decision_log (S3), interval_reports (S8) or request_trace (S9). Lines of
+    other programs are no rejects. What is not rejected has a row, or as many as it has sets and ids.
+    """
+    text = F.regexp_replace("value", r"^# ", "") if strip_comment and reader == "run_reports" else F.col("value")
+    value, number = F.col("_text"), r"-?[0-9.]+(?:[eE][-+]?\d+)?"
+    sets = F.filter(F.split(F.regexp_extract("_text", DECISION_FORM, 3), ";"), lambda x: x != "")
+    many = lambda x, i: F.size(F.split(F.get(F.split(x, ":"), F.lit(i)), ","))
+    checks = {
+        "run_reports": (
+            value.startswith("rw_speed."),
+            {
+                "no tag": ~value.rlike(r"^rw_speed\.\S"),
+                "no end time": parse_report_time(F.regexp_extract("_text", r"(?:^|\s)time=(\S*)", 1)) == 0,
+                "no slices": ~value.rlike(r"mbps_1sec_time_slices=\([^)]*\)"),
+                "bad slices": ~value.rlike(rf"mbps_1sec_time_slices=\({number}(?:,{number})*\)"),
+            },
+        ),
+        "decision_log": (
+            value.contains("reportDecisionLog"),
+            {
+                "bad head": ~value.rlike(DECISION_FORM),
+                "bad set": F.exists(sets, lambda x: ~x.rlike(SET_FORM)),
+                "ids and counts differ": F.exists(sets, lambda x: many(x, 0) != many(x, 1)),
+            },
+        ),
+        "interval_reports": (
+            value.rlike(r"^T = |^INFO> Reporting performance"),
+            {"no time": ~value.rlike(r"\bT = +[0-9.]+"), "no rate": ~value.rlike(r"[0-9.]+ M IOPS|performance +[0-9.]+ M iops")},
+        ),
+        "request_trace": (value.contains(" msg tid="), {"bad form": ~value.rlike(REQUEST_FORM)}),
+    }
+    if reader not in checks:
+        raise ValueError(f"no reader {reader!r}: one of {', '.join(checks)}")
+    meant, faults = checks[reader]
+    reason = F.coalesce(*[F.when(fault, F.lit(name)) for name, fault in faults.items()])
+    return lines.withColumn("_text", text).where(meant).withColumn("reason", reason).where("reason IS NOT NULL").drop("_text")
+
+
 def parse_decision_log(lines: DataFrame) -> DataFrame:
-    """S3: (rank, time_s, ids, size, members, id, n): a row for each set and id of a decision-log line."""
-    form = r"reportDecisionLog rank (\d+) time=([0-9.]+) ?(.*)$"
-    rows = lines.where(F.col("value").rlike(form)).select(F.regexp_extract("value", form, 1).cast("int").alias("rank"), F.regexp_extract("value", form, 2).cast("double").alias("time_s"), F.explode(F.split(F.regexp_extract("value", form, 3), ";")).alias("part")).where("part <> ''")
+    """S3: (rank, time_s, ids, size, members, id, n): a row for each set and id of a decision-log line; sets without that form give none."""
+    form = DECISION_FORM
+    rows = lines.where(F.col("value").rlike(form)).select(F.regexp_extract("value", form, 1).cast("int").alias("rank"), F.regexp_extract("value", form, 2).cast("double").alias("time_s"), F.explode(F.split(F.regexp_extract("value", form, 3), ";")).alias("part"))
     pair = F.split("part", ":")
-    ids, ns = (F.transform(F.split(pair[i], ","), lambda x: x.cast("long")) for i in (0, 1))
+    ids, ns = (F.transform(F.split(pair[i], ","), lambda x: x.try_cast("long")) for i in (0, 1))
+    rows = rows.where(F.col("part").rlike(SET_FORM)).where(F.size(ids) == F.size(ns))
     return rows.select("rank", "time_s", pair[0].alias("ids"), F.size(ids).alias("size"), ids.alias("members"), F.inline(F.zip_with(ids, ns, lambda i, n: F.struct(i.alias("id"), n.alias("n")))))
 
 
@@ -143,7 +191,7 @@ def read_interval_reports(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_request_trace(lines: DataFrame) -> DataFrame:
     """(stage, tid, tag, op_name, jobidx, t) of printed requests; the hex content stays behind."""
-    form = r"^(.*) msg tid=(-?\d+) tag=(-?\d+) name=(.*) jobidx=(-?\d+) time=([0-9.]+) content=[0-9a-f]*$"
+    form = REQUEST_FORM
     part = lambda i: F.regexp_extract("value", form, i)
     return lines.where(F.col("value").rlike(form)).select(part(1).alias("stage"), part(2).cast("int").alias("tid"), part(3).cast("int").alias("tag"), F.trim(F.translate(part(4), "\t", "")).alias("op_name"), part(5).cast("int").alias("jobidx"), part(6).cast("double").alias("t"))
 

@@ -28,6 +28,34 @@ def test_reports_align_to_the_golden_table(spark, tmp_path):
     assert again.split() == (DATA / "aligned.txt").read_text().split()
 
 
+@pytest.mark.parametrize(
+    "reader, line, reason",
+    [
+        ("run_reports", "# rw_speed.a time=2021-08-23:16:33:23 mbps_1sec_time_slices=(1,2.5)", None),
+        ("run_reports", "rw_speed. time=2021-08-23:16:33:23 mbps_1sec_time_slices=(1)", "no tag"),
+        ("run_reports", "rw_speed.a time=yesterday mbps_1sec_time_slices=(1)", "no end time"),
+        ("run_reports", "rw_speed.a time=2021-08-23:16:33:23 mbps=1", "no slices"),
+        ("run_reports", "rw_speed.a time=2021-08-23:16:33:23 mbps_1sec_time_slices=(1,,2)", "bad slices"),
+        ("run_reports", "another program", None),
+        ("decision_log", "FairQueue::reportDecisionLog rank 0 time=5.0 1,2:3,4;5:6", None),
+        ("decision_log", "FairQueue::reportDecisionLog rank x", "bad head"),
+        ("decision_log", "FairQueue::reportDecisionLog rank 0 time=5.0 1,a:3,4", "bad set"),
+        ("decision_log", "FairQueue::reportDecisionLog rank 0 time=5.0 1,2:3;5:6", "ids and counts differ"),
+        ("interval_reports", "T = 1.0 none", "no rate"),
+        ("interval_reports", "INFO> Reporting performance 1.250 M iops", "no time"),
+        ("request_trace", "in msg tid=1 tag=2 name=read time=1.5", "bad form"),
+        ("request_trace", "in msg tid=1 tag=2 name=read jobidx=3 time=1.5 content=0a", None),
+    ],
+)
+def test_rejected_lines(spark, reader, line, reason):
+    """A line that a reader is meant for has rows or a reason."""
+    lines = spark.createDataFrame([(line, 1)], "value string, line long")
+    got = reports.rejected_lines(lines, reader).collect()
+    assert [(r.value, r.reason) for r in got] == ([] if reason is None else [(line, reason)])
+    if reader == "decision_log":
+        assert reports.parse_decision_log(lines).count() == {None: 3, "ids and counts differ": 1}.get(reason, 0)
+
+
 def test_scaling(spark):
     rows = fairshare.scaling_efficiency(reports.read_scaling(spark, str(DATA / "scaling.csv")))
     assert rows.where("nodes = 1 AND policy = 'FIFO' AND direction = 'read'").first()["efficiency"] == 1.0
