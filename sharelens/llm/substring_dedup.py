@@ -130,7 +130,8 @@ def earliest(found: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFram
     # Many: equal runs are one row, their windows travel one by one.
     one = stage(both.where("_hot").drop("_hot").groupBy("m", "k").agg(*ends), "runs")
     one = _windows(one, window)
-    least = one.groupBy("m", "words").agg(F.min("doc").alias("least"))
+    # Written, so that the join reads it by a shuffle of its own and a hot window can be split.
+    least = stage(one.groupBy("m", "words").agg(F.min("doc").alias("least")), "least")
     one = one.join(least, ["m", "words"]).where("least < last")
     return few.unionByName(one.groupBy("m", "k").agg(F.collect_list(F.struct("at", "least")).alias("early")))
 
