@@ -77,7 +77,7 @@ def test_common_counts():
 # op2
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [4096, 3])
 def test_line_dedup_against_all_pairs(spark, monkeypatch, block):
     """Lines with blanks and without, edited here and there: what is kept equals the comparison of all pairs (at most 1 % missed)."""
     monkeypatch.setattr(line_dedup, "BLOCK", block)  # with 3, lists are compared by prefixes, in pairs of blocks
