@@ -9,6 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sharelens.operators import aggregates, catalog, fairshare, scans
+from sharelens.sources import reports
+from sharelens.streaming import streams
 
 
 @pytest.fixture
@@ -125,3 +127,47 @@ def test_replay_below_a_removed_top_directory(eight):
         got = {r.event_id: r.status for r in catalog.replay_status(df, salted=salted).collect()}
         odd = {i: s for i, s in got.items() if s != "OK"}
         assert odd == {20_000: "ENOTEMPTY", 20_001: "ENOTEMPTY", 90_001: "ENOTEMPTY", 90_004: "ENOENT"}
+
+
+def test_decisions_over_large_sets_travel_once(spark):
+    """8 sets of 2,000 ids, each decided on by all its members: what is shuffled grows with the ids, not with their square."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteBytes() for i in range(found.size())}
+
+    each = spark.range(16000).select(F.col("id").alias("chosen"), (F.col("id") % 8).alias("k"), F.lit(3).cast("long").alias("n"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("ts"))
+    groups = each.groupBy("k").agg(F.collect_list("chosen").alias("candidates")).withColumn("set_id", aggregates.set_name("candidates"))
+    decisions, sets = each.join(groups.select("k", "set_id"), "k"), groups.select("set_id", "candidates")
+    packed = aggregates.counted_sets(decisions, sets=sets)
+    log = aggregates.format_decisions(packed).select(F.concat(F.lit("x reportDecisionLog rank 1 time=2.0 "), "log").alias("value"))
+    forms = {
+        "a5": (aggregates.decision_counts(decisions, sets), 3), "a6": (aggregates.merge_decisions(packed, packed), 6),
+        "st4": (streams.decision_rounds(decisions, "1 day", sets=sets), 3), "s3": (reports.parse_decision_log(log), 3),
+    }
+    for name, (rows, n) in forms.items():
+        before = set(stages())
+        assert rows.agg(F.count("*"), F.countDistinct("id"), F.min("n"), F.max("n"), F.min(F.length("ids"))).first()[:4] == (16000, 16000, n, n), name
+        # With their sets' texts the rows would take 16,000 times 10 KB.
+        assert sum(b for i, b in stages().items() if i not in before) < 8_000_000, name
+
+
+def test_decisions_without_some_choices(spark):
+    """Candidates in any order, repeated, never chosen or null; a choice outside its set counts nowhere. Streams' form and batch agree with a count by hand."""
+    rows = [([3, 1, 2], 1, 2), ([1, 2, 3, 3], 3, 1), ([1, 2], 7, 4), ([1, 2], None, 1), ([5, None], 5, 1), ([], 1, 1), (None, 1, 1)]
+    df = spark.createDataFrame(rows, "candidates array<long>, chosen int, n long").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    want = [("1,2", 1, 0), ("1,2", 2, 0), ("1,2,3", 1, 2), ("1,2,3", 2, 0), ("1,2,3", 3, 1), ("5", 5, 1), ("5", None, 0)]
+    for got in (aggregates.decision_counts(df), streams.decision_rounds(df, "1 day")):
+        assert sorted((tuple(r) for r in got.select("ids", "id", "n").collect()), key=lambda r: (r[0], r[1] is None, r[1])) == want
+    packed = aggregates.counted_sets(df.where("size(candidates) > 2"))
+    assert [r["log"] for r in aggregates.format_decisions(packed).collect()] == ["1,2,3:2,0,1"]
+
+
+def test_decision_log_of_a_large_set(spark):
+    """A set of 40,000 ids is read without a stack for each of them."""
+    ids = ",".join(str(i) for i in range(40_000))
+    lines = spark.createDataFrame([(f"FairQueue::reportDecisionLog rank 1 time=2.5 {ids}:{ids}", 1)], "value string, line long")
+    assert reports.parse_decision_log(lines).agg(F.count("*"), F.sum(F.col("id") - F.col("n"))).first()[:] == (40_000, 0)
+    assert reports.rejected_lines(lines, "decision_log").count() == 0
