@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .scans import unfolded
 
-STRIPE, RUN_STRIPES = 2097152, 1024
+STRIPE, RUN_STRIPES, FEW_RUNS = 2097152, 1024, 16
 
 
 def enrich_requests(requests: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -63,24 +63,42 @@ def stat_paths(paths: DataFrame, catalog: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("type").isNull(), "ENOENT").otherwise("OK"))
 
 
-def locate_blocks(requests: DataFrame, extents: DataFrame, stripe: int = STRIPE) -> DataFrame:
+def locate_blocks(requests: DataFrame, extents: DataFrame, stripe: int = STRIPE, few: int = FEW_RUNS) -> DataFrame:
     """Adds the block (file_offset, block_size) that holds `off`, null if none does.
 
     An extent is one block, or, where it has a column `blocks`, a run of that
-    many blocks of one size, which is joined as a whole. Extents are put in one bucket for
-    each stripe (runs: each RUN_STRIPES stripes) they touch, so the range
-    condition runs within an equi-join on (path, bucket). Both sides are as
+    many blocks of one size, which is joined as a whole. Blocks are put in one bucket for
+    each stripe they touch, so the range condition runs within an equi-join on (path, bucket). Up to `few` runs of a
+    path are joined by it alone. The runs of other paths are put in buckets of RUN_STRIPES stripes, or of the path's mean run
+    if that is longer, so that they have at most three rows each in the mean, however long they are. Both sides are as
     large as the file system, so neither is ever broadcast.
     """
     runs = "blocks" in extents.columns
-    width = stripe * RUN_STRIPES if runs else stripe
     ends = F.col("file_offset") + F.col("block_size") * (F.col("blocks") if runs else F.lit(1))
     parts = extents.where("block_size > 0").select(F.col("path").alias("_p"), F.col("file_offset").alias("_start"), ends.alias("_end"), "block_size").where("_start < _end")
-    parts = parts.withColumn("_b", F.explode(F.sequence(F.expr(f"_start div {width}"), F.expr(f"(_end - 1) div {width}"))))
-    rows = requests.withColumn("_bucket", F.expr(f"off div {width}"))
-    inside = (F.col("path") == F.col("_p")) & (F.col("_bucket") == F.col("_b")) & (F.col("off") >= F.col("_start")) & (F.col("off") < F.col("_end"))
-    found = rows.join(parts.hint("merge"), inside, "left")
-    return found.withColumn("file_offset", F.expr("_start + (off - _start) div block_size * block_size")).select(*requests.columns, "file_offset", "block_size")
+    within = (F.col("off") >= F.col("_start")) & (F.col("off") < F.col("_end"))
+    names = [*requests.columns, F.expr("_start + (off - _start) div block_size * block_size").alias("file_offset"), "block_size"]
+
+    def bucketed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """`rows` and `parts` with the widths of their paths, joined within buckets."""
+        parts = parts.withColumn("_b", F.explode(F.sequence(F.expr("_start div _width"), F.expr("(_end - 1) div _width")))).drop("_width")
+        rows = rows.withColumn("_bucket", F.expr("off div _width")).drop("_width")
+        return rows.join(parts.hint("merge"), (F.col("path") == F.col("_p")) & (F.col("_bucket") == F.col("_b")) & within, "left").select(*names)
+
+    if not runs:
+        one = F.lit(stripe).cast("long")
+        return bucketed(requests.withColumn("_width", one), parts.withColumn("_width", one))
+    mean = F.ceil(F.sum((F.col("_end") - F.col("_start")).cast("double")) / F.count("*"))
+    widths = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.greatest(mean, F.lit(stripe * RUN_STRIPES)).alias("_width"))
+    widths = widths.where(F.col("_n") > few).drop("_n")
+    parts = parts.join(widths.hint("merge"), "_p", "left")
+    none = lambda c: F.lit(None).cast("long").alias(c)
+    # A path of many runs has its width in place of them.
+    first = parts.where("_width IS NULL").select("_p", "_start", "_end", "block_size", "_width")
+    first = first.unionByName(widths.select("_p", none("_start"), none("_end"), none("block_size"), "_width"))
+    found = requests.join(first.hint("merge"), (F.col("path") == F.col("_p")) & (F.col("_width").isNotNull() | within), "left")
+    many = bucketed(found.where("_width IS NOT NULL").select(*requests.columns, "_width"), parts.where("_width IS NOT NULL"))
+    return found.where("_width IS NULL").select(*names).unionByName(many)
 
 
 def verify_readback(words: DataFrame, iosize: int) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sharelens.operators import aggregates, catalog, fairshare, scans
+from sharelens.operators import aggregates, catalog, fairshare, joins, scans
 from sharelens.sources import reports
 from sharelens.streaming import streams
 
@@ -171,3 +171,28 @@ def test_decision_log_of_a_large_set(spark):
     lines = spark.createDataFrame([(f"FairQueue::reportDecisionLog rank 1 time=2.5 {ids}:{ids}", 1)], "value string, line long")
     assert reports.parse_decision_log(lines).agg(F.count("*"), F.sum(F.col("id") - F.col("n"))).first()[:] == (40_000, 0)
     assert reports.rejected_lines(lines, "decision_log").count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 3, 16])
+def test_blocks_of_long_runs(spark, few):
+    """Runs of up to 2^40 blocks, gaps, overlaps, paths of one or many runs and of none, against a look at every run."""
+    draw, stripe = random.Random(few), 2097152
+    extents = [("a", 0, stripe, 1 << 40), ("b", 5 * stripe, stripe, 3), ("b", 7 * stripe, stripe, 1 << 20), ("d", 0, 0, 4)]
+    extents += [("c", i * 3000 * stripe, stripe // 2, draw.randint(0, 8000)) for i in range(20)] + [("c", 0, 4096, 1 << 33)]
+    requests = [(p, draw.randrange(70_000) * stripe + draw.randrange(3), i) for i in range(300) for p in ("a", "b", "c", "d")] + [("b", 8 * stripe, -1), (None, 0, -2), ("x", 1, -3)]
+    want = []
+    for p, off, i in requests:
+        held = [(s + (off - s) // size * size, size) for q, s, size, n in extents if p == q and s <= off < s + size * n]
+        want += [(i, p, off, s, size) for s, size in held or [(None, None)]]
+    runs = spark.createDataFrame(extents, "path string, file_offset long, block_size long, blocks long")
+    rows = joins.locate_blocks(spark.createDataFrame(requests, "path string, off long, i int"), runs, few=few)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted((tuple(r) for r in rows.select("i", "path", "off", "file_offset", "block_size").collect()), key=key) == sorted(want, key=key)
+
+
+def test_space_of_runs(spark):
+    """A run of 2^40 blocks counts as many pages as its blocks would, without a row for each."""
+    catalog_ = spark.createDataFrame([("/myfs/a",)], "path string")
+    runs = spark.createDataFrame([("a", 0, 4097, 1 << 40), ("b", 0, 4096, 3)], "path string, file_offset long, block_size long, blocks long")
+    assert aggregates.space_report(catalog_, runs).first()["free_pages"] == aggregates.PAGES - (2 << 40) - 3
+    assert aggregates.space_report(catalog_, runs.drop("blocks")).first()["free_pages"] == aggregates.PAGES - 3
