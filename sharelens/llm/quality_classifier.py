@@ -1,9 +1,11 @@
 """Bradley-Terry quality ranking: document scores learned from preference pairs.
 
-Features are counts over the whole text as rates. Each labelled low document is
-preferred less than some high ones drawn by a seeded hash; the logistic loss on
-the feature differences gives the weights of the score. The cut is a quantile
-of the scores: the share of low documents among the training rows.
+Features are counts over the whole text as rates. Every labelled document is
+held against some of the other kind drawn by a seeded hash, the low ones
+preferred less; the logistic loss on the feature differences gives the weights of
+the score. The cut is a quantile of the scores: the share of low documents among
+the training rows. All labelled rows outside the held-out third are training
+rows; only their features, not their texts, are shuffled.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, stage, table
-from .training import MAX_LABELLED, held_out, labelled_rows
+from ..operators.scans import exact_percentiles
+from .common import likely_in, ship, stage, table
+from .training import held_out, labels_of
 
 ship(__name__)
 
-#: High documents that each low document is compared with, on average.
+#: Documents of the other kind that one of the commoner kind is compared with, on average; one of the rarer kind is compared with more.
 OPPONENTS = 8
 REG = 1e-3
 N_FEATURES = 13
@@ -61,31 +64,39 @@ def features(text: str | None) -> list[float]:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [features(x) for x in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array(found, pa.list_(pa.float64()))], ["doc_id", "y", "f"])
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["h"], pa.array(found, pa.list_(pa.float64()))], ["doc_id", "h", "f"])
 
 
-def train(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> tuple[list[float], float]:
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, y, f): the features of every labelled document outside the held-out third; of several texts of a doc_id that of the smallest hash."""
+    ids = stage(labels_of(labels, "quality", "min"), "labelled")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull() & ~held_out())
+    texts = likely_in(texts, "doc_id", ids).select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = texts.mapInArrow(_featured, "doc_id long, h long, f array<double>").groupBy("doc_id").agg(F.min(F.struct("h", "f")).alias("m"))
+    return stage(rows.join(ids, "doc_id").select("doc_id", "y", "m.f"), "features")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[list[float], float]:
     """(weights, cut) of the score w·f(text) - cut. Without labels of both kinds nothing can be compared: weights are 0 and every score 0.5."""
-    rows = labelled_rows(docs, labels, "quality", "min", bound)
-    rows = stage(rows.mapInArrow(_featured, "doc_id long, y int, f array<double>"), "features")
-    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
-    low, high = counts.get(0, 0), sum(n for y, n in counts.items() if y >= 1)
+    rows = training_rows(docs, labels)
+    counts = {r["y"]: r["n"] for r in rows.groupBy((F.col("y") >= 1).cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    low, high = counts.get(0, 0), counts.get(1, 0)
     if not low or not high:
         return [0.0] * N_FEATURES, 0.0
-    buckets = max(1, high // 2)
-    lost = rows.where("y = 0").select(F.explode(F.sequence(F.lit(1), F.lit(max(1, OPPONENTS // 2)))).alias("turn"), "doc_id", F.col("f").alias("fl"))
+    buckets = max(1, min(low, high) // 2)  # each holds some of both kinds
+    lost = rows.where("y < 1").select(F.explode(F.sequence(F.lit(1), F.lit(max(1, OPPONENTS // 2)))).alias("turn"), "doc_id", F.col("f").alias("fl"))
     lost = lost.select(F.pmod(F.xxhash64("doc_id", "turn"), F.lit(buckets)).alias("bucket"), "doc_id", "fl")
     won = rows.where("y >= 1").select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), F.col("doc_id").alias("won"), F.col("f").alias("fh"))
     side = F.when(F.xxhash64("doc_id", "won") % 2 == 0, 1.0).otherwise(-1.0)
     pairs = lost.join(won, "bucket").withColumn("side", side)
     pairs = pairs.select(((F.col("side") + 1) / 2).alias("label"), F.zip_with("fh", "fl", lambda x, y: (x - y) * F.col("side")).alias("diff"))
-    pairs = stage(pairs, "pairs").coalesce(4).select("label", array_to_vector("diff").alias("features"))
+    pairs = stage(pairs, "pairs").select("label", array_to_vector("diff").alias("features"))
     if pairs.select("label").distinct().count() < 2:
         return [0.0] * N_FEATURES, 0.0
     model = LogisticRegression(fitIntercept=False, regParam=REG, maxIter=40).fit(pairs)
     weights = [float(x) for x in model.coefficients]
     raw = F.aggregate(F.zip_with("f", F.array(*[F.lit(x) for x in weights]), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
-    cut = rows.agg(F.percentile(raw, low / (low + high))).first()[0]
+    cut = exact_percentiles(rows.select(raw.alias("raw")), "raw", [], {"cut": low / (low + high)}).first()[0]
     return weights, float(cut)
 
 
@@ -103,9 +114,9 @@ def score_quality(docs: DataFrame, model: tuple[list[float], float], column: str
     return docs.mapInArrow(scored, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of `docs`, repeated rows and null texts included."""
-    model = train(docs, labels, bound)
+    model = train(docs, labels)
     scored = score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -1,4 +1,4 @@
-"""Labelled rows that a classifier learns from: a bounded, repeatable sample."""
+"""Labelled rows that a classifier learns from: all of them, or a bounded, repeatable sample."""
 
 from __future__ import annotations
 
@@ -16,6 +16,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
+def labels_of(labels: DataFrame, label: str, worst: str) -> DataFrame:
+    """(doc_id, y): the labels outside the held-out third, of several of a doc_id the `worst` ("min" or "max")."""
+    ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
+    return ids.groupBy("doc_id").agg(getattr(F, worst)("y").alias("y"))
+
+
 def labelled_rows(
     docs: DataFrame, labels: DataFrame, label: str, worst: str, bound: int = MAX_LABELLED, words: int | None = None
 ) -> DataFrame:
@@ -28,8 +34,7 @@ def labelled_rows(
     without a document teach nothing. The sample of ids is bounded, so it is
     broadcast to the scan of the texts.
     """
-    ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
-    ids = ids.groupBy("doc_id").agg(getattr(F, worst)("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    ids = labels_of(labels, label, worst).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     ids = stage(ids, "labelled")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     rows = stage(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "training")

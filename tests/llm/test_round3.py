@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sharelens.llm import centroid_clustering, chat_format, common, pii, substring_dedup, token_alignment, toxicity
+from sharelens.llm import centroid_clustering, chat_format, common, pii, quality_classifier, substring_dedup, token_alignment, toxicity
 
 ODD = [
     None, "", " ", "  ", "\n", "\n\n a", "a\r\nb", "x  y", "x　y   z  q", "<|endoftext|> <s>", "▁a", "éé",
@@ -289,3 +289,17 @@ def test_toxicity_learns_from_a_bounded_number_of_words(spark):
     assert 0 < sum(len(texts[i].split()) for i in shared.value.ids) <= 1000
     assert len(toxicity.train(docs, labels)[0].value.ids) > 140
     assert toxicity.toxicity(docs, labels, words=1000).count() == 240
+
+
+def test_quality_learns_from_all_labels(spark, monkeypatch):
+    """17,000 labelled documents outside the held-out third, one of 20 low: all are in the model's rows, and most high ones in a pair."""
+    seen, stage = {}, quality_classifier.stage
+    monkeypatch.setattr(quality_classifier, "stage", lambda df, name: seen.setdefault(name, stage(df, name)))
+    docs = spark.range(26_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 20 == 0, "### low text").otherwise("a good text").alias("text"))
+    marks = docs.select("doc_id", (F.col("doc_id") % 20 > 0).cast("int").alias("quality"))
+    model = quality_classifier.train(docs, marks)
+    taught = docs.where("crc32(string(doc_id)) % 3 <> 1").count()
+    assert seen["features"].select("doc_id").distinct().count() == taught > 17_000
+    assert seen["pairs"].count() > 6 * taught
+    found = quality_classifier.score_quality(docs, model).groupBy(F.col("doc_id") % 20 == 0).agg(F.min("score"), F.max("score")).collect()
+    assert all(r[1] > 0.5 if not r[0] else r[2] <= 0.5 for r in found)
