@@ -13,8 +13,8 @@ A minimiser with over HOT runs doesn't send them to one bucket. Its equal runs
 become one row with the smallest and the largest doc_id before the shuffle, so
 that copies of a passage, however many, don't meet in a task; and as a passage
 in very many documents has as many different runs at its edges, their windows
-travel one by one, are reduced by window before the shuffle and joined back.
-A run is named by its minimiser and a 64-bit hash of its words.
+travel apart from them: a task packs the runs in which it sees a window into one row,
+and packs, not runs, are joined to the smallest doc_id of their window. A run is named by its minimiser and a 64-bit hash of its words.
 """
 
 from __future__ import annotations
@@ -115,6 +115,20 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
     return rows.withColumn("list", words).select(*kept, F.posexplode(each).alias("at", "words"))
 
 
+def met_windows(runs: DataFrame, window: int) -> DataFrame:
+    """(m, least, members array<struct<k, at, last>>): the windows of `runs` (m, k, doc, last, run, n) that start in several documents, with the smallest.
+
+    A window has a row for each task of `runs` that sees it, so that the rows joined don't grow with
+    the runs it is in; a pack holds what one task saw.
+    """
+    member = F.collect_list(F.struct("k", "at", "last")).alias("members")
+    packs = _windows(runs, window).groupBy("m", "words", F.spark_partition_id().alias("pack")).agg(F.min("doc").alias("lo"), F.max("last").alias("hi"), member)
+    # Written, so that the join reads it by a shuffle of its own and a hot window can be split.
+    packs = stage(packs.drop("pack"), "packs")
+    least = packs.groupBy("m", "words").agg(F.min("lo").alias("least"), F.max("hi").alias("hi")).where("least < hi").drop("hi")
+    return packs.join(stage(least, "least"), ["m", "words"]).select("m", "least", "members")
+
+
 def earliest(found: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """(m, k, early array<struct<at, least>>): for the runs of `found`, which windows start in an earlier document than the run's last.
 
@@ -127,12 +141,9 @@ def earliest(found: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFram
     few = both.where("NOT _hot").drop("_hot").repartition("m").groupBy("m", "k").agg(*ends)
     few = _windows(few, window).withColumn("least", F.min("doc").over(Window.partitionBy("m", "words")))
     few = few.where("least < last").groupBy("m", "k").agg(F.collect_list(F.struct("at", "least")).alias("early"))
-    # Many: equal runs are one row, their windows travel one by one.
-    one = stage(both.where("_hot").drop("_hot").groupBy("m", "k").agg(*ends), "runs")
-    one = _windows(one, window)
-    # Written, so that the join reads it by a shuffle of its own and a hot window can be split.
-    least = stage(one.groupBy("m", "words").agg(F.min("doc").alias("least")), "least")
-    one = one.join(least, ["m", "words"]).where("least < last")
+    # Many: equal runs are one row, their windows travel in packs.
+    one = met_windows(both.where("_hot").drop("_hot").groupBy("m", "k").agg(*ends), window)
+    one = one.select("m", "least", F.explode("members").alias("of")).select("m", "least", "of.*").where("least < last")
     return few.unionByName(one.groupBy("m", "k").agg(F.collect_list(F.struct("at", "least")).alias("early")))
 
 

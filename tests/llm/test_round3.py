@@ -202,6 +202,17 @@ def test_substrings_against_brute_force(spark, rows_of, window, gram, hot):
         assert rows_of(got, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]) == sorted(want, key=lambda x: tuple((v is None, str(v)) for v in x))
 
 
+def test_rows_of_a_common_window_do_not_grow_with_its_runs(spark):
+    """2,000 documents with one passage and different ends: a window is joined in a row for each task, not for each run."""
+    passage = [f"p{j}" for j in range(20)]
+    ends = [" ".join(x) for i in range(2000) for x in ([f"w{i}"] * 4 + passage[:16], passage)]
+    runs = spark.createDataFrame([(1, i, i // 2, i // 2, e.encode(), 8) for i, e in enumerate(ends)], "m long, k long, doc long, last long, run binary, n int")
+    got = substring_dedup.met_windows(runs.repartition(4), 13).collect()
+    assert len(got) <= 4 * 8  # the passage has 8 windows; no other is in two documents
+    assert sorted(x for r in got for x in r.members) == [(i, at, i // 2) for i, e in enumerate(ends) for at in range(8) if e.split()[at][0] == "p"]
+    assert {r.least for r in got} == {0}
+
+
 def test_substrings_of_an_empty_table(spark):
     assert substring_dedup.dedup_substrings(documents(spark, ["x"]).where("false")).collect() == []
 
