@@ -202,6 +202,23 @@ def test_substrings_against_brute_force(spark, rows_of, window, gram, hot):
         assert rows_of(got, ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]) == sorted(want, key=lambda x: tuple((v is None, str(v)) for v in x))
 
 
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    """Stages written one after another and rounds of union-find leave no shuffle on disk, and the session's setting as it was."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {str(f) for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    before, setting = shuffles(), spark.conf.get(name)
+    sums = spark.range(10000).groupBy((F.col("id") % 100).alias("k")).agg(F.sum("id").alias("n"))
+    edges = common.stage(sums.select("k", (F.col("k") + 1).alias("l")).union(sums.select("k", "n")).toDF("a", "b"), "edges")
+    comps = common.stage(common.components(edges), "comps")
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:  # they are deleted in the background
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert comps.select("comp").distinct().count() == 1
+    assert spark.conf.get(name) == setting
+
+
 def test_rows_of_a_common_window_do_not_grow_with_its_runs(spark):
     """2,000 documents with one passage and different ends: a window is joined in a row for each task, not for each run."""
     passage = [f"p{j}" for j in range(20)]
