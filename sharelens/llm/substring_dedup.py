@@ -13,8 +13,9 @@ A minimiser with over HOT runs doesn't send them to one bucket. Its equal runs
 become one row with the smallest and the largest doc_id before the shuffle, so
 that copies of a passage, however many, don't meet in a task; and as a passage
 in very many documents has as many different runs at its edges, their windows
-travel apart from them: a task packs the runs in which it sees a window into one row,
-and packs, not runs, are joined to the smallest doc_id of their window. A run is named by its minimiser and a 64-bit hash of its words.
+travel apart from them: runs are dealt by hash over packs of bounded size, the runs of a pack that hold a window are one row,
+and packs, not runs, are joined to the smallest doc_id of their window. What a pack's windows found goes back to its runs in the pack,
+so that no task lists all runs of a window. A run is named by its minimiser and a 64-bit hash of its words.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MISSING, flagged, likely_in, row_key, scratch, ship, stage
@@ -36,6 +37,8 @@ ship(__name__)
 WINDOW, GRAM = 13, 6
 #: Different runs of one minimiser that are still sorted together.
 HOT = 256
+#: Windows that a pack of hot runs holds on average.
+PACK = 1 << 14
 #: 64-bit words of the bit filter of shared minimisers: 32 Mbit, 4 MB, whatever the input.
 FILTER = 1 << 19
 _LAST = 2**63 - 1
@@ -116,17 +119,33 @@ def _windows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def met_windows(runs: DataFrame, window: int) -> DataFrame:
-    """(m, least, members array<struct<k, at, last>>): the windows of `runs` (m, k, doc, last, run, n) that start in several documents, with the smallest.
+    """(m, pack, least, members array<struct<k, at, last>>): the windows of `runs` (m, k, doc, last, run, n) that start in several documents, with the smallest.
 
-    A window has a row for each task of `runs` that sees it, so that the rows joined don't grow with
-    the runs it is in; a pack holds what one task saw.
+    A window has a row for each pack that has it, so that the rows joined don't grow with
+    the runs it is in. A run's windows are all in one pack.
     """
+    packs = 1 + (runs.agg(F.sum("n")).first()[0] or 0) // PACK
     member = F.collect_list(F.struct("k", "at", "last")).alias("members")
-    packs = _windows(runs, window).groupBy("m", "words", F.spark_partition_id().alias("pack")).agg(F.min("doc").alias("lo"), F.max("last").alias("hi"), member)
+    packs = _windows(runs, window).groupBy("m", "words", F.pmod("k", F.lit(packs)).alias("pack")).agg(F.min("doc").alias("lo"), F.max("last").alias("hi"), member)
     # Written, so that the join reads it by a shuffle of its own and a hot window can be split.
-    packs = stage(packs.drop("pack"), "packs")
+    packs = stage(packs, "packs")
     least = packs.groupBy("m", "words").agg(F.min("lo").alias("least"), F.max("hi").alias("hi")).where("least < hi").drop("hi")
-    return packs.join(stage(least, "least"), ["m", "words"]).select("m", "least", "members")
+    return packs.join(stage(least, "least"), ["m", "words"]).select("m", "pack", "least", "members")
+
+
+def by_run(met: DataFrame) -> DataFrame:
+    """(m, k, early array<struct<at, least>>): what `met_windows` found that starts before a run's last document, a row for each run, not for each of its windows."""
+    bound = lambda x, use: F.get(F.transform(F.array(x), use), F.lit(0))  # noqa: E731  made once, however often it is used
+    own = F.transform(F.filter("members", lambda x: x["last"] > F.col("least")), lambda x: F.struct(x["k"].alias("k"), x["at"].alias("at"), F.col("least").alias("least")))
+    whole = met.select("m", "pack", own.alias("own")).groupBy("m", "pack").agg(F.sort_array(F.flatten(F.collect_list("own"))).alias("own")).where(F.size("own") > 0)
+
+    def cut(own: Column) -> Column:
+        k = lambda i: F.get(own, i - 1)["k"]
+        firsts = F.filter(F.sequence(F.lit(1), F.size(own)), lambda i: (i == 1) | (k(i) != k(i - 1)))
+        return bound(firsts, lambda at: F.transform(at, lambda i, j: F.slice(own, i, F.coalesce(F.get(at, j + 1), F.size(own) + 1) - i)))
+
+    rows = whole.select("m", F.explode(bound(F.col("own"), cut)).alias("own"))
+    return rows.select("m", F.get("own", F.lit(0))["k"].alias("k"), F.transform("own", lambda x: F.struct(x["at"].alias("at"), x["least"].alias("least"))).alias("early"))
 
 
 def earliest(found: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
@@ -142,9 +161,8 @@ def earliest(found: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFram
     few = _windows(few, window).withColumn("least", F.min("doc").over(Window.partitionBy("m", "words")))
     few = few.where("least < last").groupBy("m", "k").agg(F.collect_list(F.struct("at", "least")).alias("early"))
     # Many: equal runs are one row, their windows travel in packs.
-    one = met_windows(both.where("_hot").drop("_hot").groupBy("m", "k").agg(*ends), window)
-    one = one.select("m", "least", F.explode("members").alias("of")).select("m", "least", "of.*").where("least < last")
-    return few.unionByName(one.groupBy("m", "k").agg(F.collect_list(F.struct("at", "least")).alias("early")))
+    one = stage(both.where("_hot").drop("_hot").groupBy("m", "k").agg(*ends), "hot-runs")
+    return few.unionByName(by_run(met_windows(one, window)))
 
 
 def covered(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:

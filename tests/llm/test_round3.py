@@ -230,6 +230,23 @@ def test_rows_of_a_common_window_do_not_grow_with_its_runs(spark):
     assert {r.least for r in got} == {0}
 
 
+def test_windows_of_a_run_come_back_as_one_row(spark, monkeypatch):
+    """2,000 runs that share eight windows: what is found is a row for each run, and no pack has much more than its share of them."""
+    monkeypatch.setattr(substring_dedup, "PACK", 1000)
+    passage = " ".join(f"p{j}" for j in range(20))
+    runs = spark.createDataFrame([(1, i * 2654435761, i, i, f"{passage} w{i}".encode(), 9) for i in range(2000)], "m long, k long, doc long, last long, run binary, n int")
+    met = substring_dedup.met_windows(runs, 13)
+    packs = Counter()
+    for r in met.collect():
+        packs[r.pack] += len(r.members)
+    assert len(packs) == 19 and max(packs.values()) < 2 * 1000 and sum(packs.values()) == 2000 * 8
+    got = substring_dedup.by_run(met).collect()
+    assert {(r.m, r.k, tuple(map(tuple, r.early))) for r in got} == {(1, i * 2654435761, tuple((at, 0) for at in range(8))) for i in range(1, 2000)}
+    assert len(got) == 1999
+    plan = substring_dedup.by_run(met)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate") == 1 and "explode(members" not in plan
+
+
 def test_substrings_of_an_empty_table(spark):
     assert substring_dedup.dedup_substrings(documents(spark, ["x"]).where("false")).collect() == []
 
