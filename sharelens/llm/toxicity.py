@@ -39,7 +39,7 @@ ship(__name__)
 
 #: The labelled rows have at most so many words in all, so that the index has a bound, also in postings and different words.
 MAX_WORDS = 8_000_000
-K, COMMON, BLOCK, FIRST, PIECE, PRIOR_WEIGHT = 15, 1 / 5, 64, 64, 50_000, 1.0
+K, COMMON, BLOCK, FIRST, LONG, PIECE, PRIOR_WEIGHT = 15, 1 / 5, 64, 64, 128, 50_000, 1.0
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,24 +132,26 @@ class BlockMaxIndex:
         n, (terms, weights) = len(self.ids), self.query(tf) if tf else (np.empty(0, np.int64), np.empty(0))
         row, width = self.common[terms], self.dense.shape[1]
         rare, often, part = terms[row < 0], row[row >= 0], weights[row >= 0]
-        start = self.starts[rare]
-        lengths = self.starts[rare + 1] - start
-        total, score = int(lengths.sum()), np.zeros(width)
-        if total:
-            place = np.repeat(start - np.cumsum(lengths) + lengths, lengths)
-            place += np.arange(total)
-            score = np.bincount(self.short.take(place, mode="clip"), self.weight.take(place, mode="clip") * np.repeat(weights[row < 0], lengths), width)
-        bound = np.repeat(self.most[:, often] @ part, BLOCK)
-        np.minimum(bound, math.sqrt(float(part @ part)) * self.norm, out=bound)
+        start, end, score = self.starts[rare], self.starts[rare + 1], np.zeros(width)
+        if len(rare):
+            size, far = end - start, end - start > LONG
+            place = np.repeat(start[~far] - np.cumsum(size[~far]) + size[~far], size[~far])
+            place += np.arange(len(place))
+            spans = list(zip(start[far].tolist(), end[far].tolist()))  # long lists are read in their order, without their places
+            add = np.repeat(weights[row < 0][np.argsort(far, kind="stable")], np.concatenate([size[~far], size[far]]))
+            add *= np.concatenate([self.weight[place], *[self.weight[lo:hi] for lo, hi in spans]])
+            score = np.bincount(np.concatenate([self.short[place], *[self.short[lo:hi] for lo, hi in spans]]), add, width)
+        cap = math.sqrt(float(part @ part)) * self.norm
+        bound = np.minimum((self.most[:, often] @ part)[:, None], cap.reshape(-1, BLOCK)).ravel()
         bound += score
         bound[n:] = 0
         if own is not None:
             bound[:n][self.ids == own] = 0
         full = lambda at: score[at] + part @ self.dense[np.ix_(often, at)].astype(np.float64)
-        able = np.nonzero(bound > 0)[0]
-        if len(able) > FIRST:
-            first = able[np.argpartition(bound[able], len(able) - FIRST)[-FIRST:]]
-            able = able[bound[able] >= np.sort(full(first))[-K] - 1e-9]
+        least = 0.0
+        if np.count_nonzero(bound) > FIRST:
+            least = np.sort(full(np.argpartition(bound, width - FIRST)[-FIRST:]))[-K] - 1e-9
+        able = np.nonzero((bound >= least) & (bound > 0))[0]
         cosine = np.round(full(able), 12)
         able, cosine = able[cosine > 0], cosine[cosine > 0]
         order = np.lexsort((able, -cosine))[:K]

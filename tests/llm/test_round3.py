@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -336,6 +337,25 @@ def test_toxicity_learns_from_a_bounded_number_of_words(spark):
     assert toxicity.toxicity(docs, labels, words=1000).count() == 240
 
 
+def test_toxicity_reads_postings_in_their_order():
+    """What a search makes besides the index is less than 26 bytes for each posting of its words, and its neighbours are the nearest."""
+    rng = random.Random(5)
+    words = [b"t%d" % i for i in range(400)]
+    examples = [(i, i % 2, Counter(rng.sample(words, 60))) for i in range(3000)]
+    index = toxicity.BlockMaxIndex({w: 1 + i / 400 for i, w in enumerate(words)}, examples, 0.5)
+    asked = Counter(words)
+    index.nearest(asked, None)
+    postings = sum(len(e[2]) for e in examples)
+    tracemalloc.start()
+    at, cosine = index.nearest(asked, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 26 * postings
+    unit = index.unit(asked)
+    exact = sorted((sum(unit[t] * w for t, w in index.unit(e[2]).items()) for e in examples), reverse=True)
+    assert list(cosine) == pytest.approx(exact[: toxicity.K], abs=1e-6)
+
+
 def test_quality_learns_from_all_labels(spark, monkeypatch):
     """17,000 labelled documents outside the held-out third, one of 20 low: all are in the model's rows, and most high ones in a pair."""
     seen, stage = {}, quality_classifier.stage
