@@ -66,6 +66,24 @@ def test_percentiles_of_one_group(eight, n):
         assert largest_part(scans.ranges(wide, [], ["v"])) < 20_000 / 4
 
 
+@pytest.mark.parametrize("spread", [2 / 4000, 0])
+def test_percentiles_order_few_values_of_a_large_group(eight, monkeypatch, spread):
+    """Of 200,000 different values of a group and 100,000 equal ones, those near the wanted ranks are ordered; where a sketch misses, the result is exact too."""
+    put, ranges = [], scans.ranges
+    monkeypatch.setattr(scans, "SPREAD", spread)
+    monkeypatch.setattr(scans, "ranges", lambda df, by, order: put.append(ranges(df, by, order)) or put[-1])
+    df = eight.range(300_000).select((F.col("id") % 2 == 0).alias("g"), F.when(F.col("id") < 200_000, F.xxhash64("id") / 1e9).otherwise(7.0).alias("v"))
+    for by in (["g"], []):
+        put.clear()
+        got = scans.exact_percentiles(df, "v", by, {"a": 0.05, "m": 0.5, "z": 0.999}).collect()
+        assert put[0].count() < 200_000 / 50
+        assert spread == 0 or len(put) == 1
+        values = df.toPandas()
+        for r in got:
+            own = values[values.g == r.g].v if by else values.v
+            assert [r.a, r.m, r.z] == pytest.approx(np.percentile(own, [5, 50, 99.9]), rel=1e-12)
+
+
 def test_percentiles_of_nothing(spark):
     none = spark.createDataFrame([], "g string, v double")
     assert aggregates.percentiles(none, "v", ["g"], [5]).collect() == []
