@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flagged, likely_in, linked_classes, pairs_of_lists, row_key, ship, stage
+from .common import flagged, likely_in, linked_classes, pairs_of_lists, row_key, scratch, ship, stage
 
 ship(__name__)
 
@@ -234,7 +234,8 @@ def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     in no component; of those with equal texts one stays. Null and empty texts
     are linked with nothing, so that only such repeated rows go.
     """
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    with scratch(docs.sparkSession):
+        gone = stage(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone", keep=True)
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
     d, h = row_key()
     key = F.xxhash64(d, F.when(F.col("doc_id").isNull(), h))

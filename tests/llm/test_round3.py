@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import time
 import tracemalloc
@@ -11,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sharelens.llm import centroid_clustering, chat_format, common, pii, quality_classifier, substring_dedup, token_alignment, toxicity
+from sharelens.jobs.shared import shared_dir
+from sharelens.llm import centroid_clustering, chat_format, common, line_dedup, near_dedup, pii, quality_classifier, substring_dedup, token_alignment, toxicity
 
 ODD = [
     None, "", " ", "  ", "\n", "\n\n a", "a\r\nb", "x  y", "x　y   z  q", "<|endoftext|> <s>", "▁a", "éé",
@@ -368,3 +370,36 @@ def test_quality_learns_from_all_labels(spark, monkeypatch):
     assert seen["pairs"].count() > 6 * taught
     found = quality_classifier.score_quality(docs, model).groupBy(F.col("doc_id") % 20 == 0).agg(F.min("score"), F.max("score")).collect()
     assert all(r[1] > 0.5 if not r[0] else r[2] <= 0.5 for r in found)
+
+
+# The pipeline's stages
+
+
+def test_stages_leave_little_behind(spark):
+    """What the line and the near-duplicate stage write on the way is gone before the next stage begins, whoever calls them."""
+    draw = random.Random(5)
+    lines = [sequence(draw, 12, 400) for _ in range(60)]
+    docs = documents(spark, ["\n".join(draw.sample(lines, 4) + [sequence(draw, 9, 400)]) for _ in range(60)])
+    at = shared_dir(spark).removeprefix("file:")
+    tables = lambda: {x for x in os.listdir(at) if "-" in x and os.path.isdir(f"{at}/{x}") and any(y.startswith("part-") for y in os.listdir(f"{at}/{x}"))}
+    for step in (line_dedup.line_dedup_stage, near_dedup.near_dedup_stage):
+        before = tables()
+        assert step(spark, docs, "").count() > 0
+        assert {x.rpartition("-")[0] for x in tables() - before} <= {"gone"}
+
+
+@pytest.mark.parametrize("compared", [0, 64])
+def test_long_lists_by_prefixes_or_dealt(spark, monkeypatch, compared):
+    """Lists of more than a block are compared by prefixes or in pairs of blocks; no line that has its like is kept either way."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 3)
+    monkeypatch.setattr(line_dedup, "COMPARED", compared, raising=False)
+    used, prefixes = [], line_dedup.prefixes
+    monkeypatch.setattr(line_dedup, "prefixes", lambda *a: used.append(1) or prefixes(*a))
+    draw, lines = random.Random(4), []
+    phrase = "the same beginning of all the lines of this list, "
+    for _ in range(40):
+        end = sequence(draw, 12, 900)
+        lines += [phrase + end, phrase + end[:-1] + "!"]
+    found = line_dedup.dedup_lines(documents(spark, lines)).collect()
+    assert sorted(r.doc_id for r in found if r.text) == list(range(0, 80, 2))
+    assert bool(used) == (compared == 0)
