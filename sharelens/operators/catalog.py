@@ -104,7 +104,7 @@ def replay_status(events: DataFrame, root: str = "/myfs", salted: int = SALTED)
     free = F.col("dir").isin("", root)
 
     def judged(rows: DataFrame) -> DataFrame:
-        """(row, status) by the guesses `failed` about earlier events."""
+        """(row, status, old) by the guesses `failed` about earlier events; `old` is what the guess was made from."""
         rows = rows.withColumns(
             {
                 "there": F.last(F.when(~F.col("entry") & ok, F.col("kind")), True).over(before) == "mkdir",
@@ -119,17 +119,13 @@ def replay_status(events: DataFrame, root: str = "/myfs", salted: int = SALTED)
         making = making.when(~free & ~F.coalesce("there", F.lit(False)), "ENOENT").otherwise("OK")
         wrong = was != F.when(F.col("kind") == "rmdir", "mkdir").otherwise("create")
         status = F.when(made, making).when(wrong, "ENOENT").when(F.col("full"), "ENOTEMPTY").otherwise("OK")
-        return rows.select("row", status.alias("status"))
-
-    found = saved(judged(both.withColumn("failed", F.lit(False))))
-    while True:
-        failed = found.where("status <> 'OK'").select("row", F.lit(True).alias("failed"))
-        rows = both.join(failed, "row", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
-        again = saved(judged(rows))
-        old = found.select("row", F.col("status").alias("old"))
-        if again.join(old, "row").where("status <> old").isEmpty():
-            break
-        found = again
+        return rows.select("row", status.alias("status"), "old")
+
+    found = saved(judged(both.withColumns({"failed": F.lit(False), "old": F.lit("OK")})))
+    while not found.where("status <> old").isEmpty():
+        failed = found.where("status <> 'OK'").select("row", F.col("status").alias("old"))
+        rows = both.join(failed, "row", "left").withColumns({"failed": F.col("old").isNotNull(), "old": F.coalesce("old", F.lit("OK"))})
+        found = saved(judged(rows))
     return log.join(found, "row", "left").select("event_id", "t", "kind", "path", "status")
 
 

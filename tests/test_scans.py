@@ -147,6 +147,16 @@ def test_replay_below_a_removed_top_directory(eight):
         assert odd == {20_000: "ENOTEMPTY", 20_001: "ENOTEMPTY", 90_001: "ENOTEMPTY", 90_004: "ENOENT"}
 
 
+def test_replay_judges_no_round_in_vain(eight, monkeypatch):
+    """A log whose events all succeed is judged once: what is guessed at first is found true."""
+    tables, saved = [], catalog.saved
+    monkeypatch.setattr(catalog, "saved", lambda df: tables.append(saved(df)) or tables[-1])
+    log = [(0, "mkdir", "/myfs/a"), (1, "create", "/myfs/a/f"), (2, "unlink", "/myfs/a/f"), (3, "rmdir", "/myfs/a")]
+    df = eight.createDataFrame([(i, i, k, p) for i, k, p in log], "event_id long, t long, kind string, path string")
+    assert {r.status for r in catalog.replay_status(df).collect()} == {"OK"}
+    assert len(tables) == 3  # the log, its events by directory, their states
+
+
 def test_decisions_over_large_sets_travel_once(spark):
     """8 sets of 2,000 ids, each decided on by all its members: what is shuffled grows with the ids, not with their square."""
     store = spark.sparkContext._jsc.sc().statusStore()
